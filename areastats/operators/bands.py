@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areastats.operators.cleaning import recode
+from areastats.operators.cleaning import recode, with_constants
 from areastats.operators.quantiles import exact_quantiles, quantile_name
 from areastats.operators.stats import gap_by_group, group_means, transpose
 
@@ -73,8 +73,11 @@ def quantile_bands(
     """
     names = [quantile_name(p) for p in probs]
     if not by:
-        row = quantile_row(df, cols, probs, exact)
-        return df.withColumns({f"{c}{suffix}": _band(F.col(c), [row[c][q] for q in names]) for c in cols})
+        return with_constants(
+            df,
+            quantile_row(df, cols, probs, exact),
+            lambda row: {f"{c}{suffix}": _band(F.col(c), [row[c][q] for q in names]) for c in cols},
+        )
     by = list(by)
     cuts = exact_quantiles(df, cols, probs, by, exact).groupBy(*by).agg(
         *[F.max(F.when(F.col("metric") == c, F.col(q))).alias(f"_{q}_{c}") for c in cols for q in names]
@@ -117,8 +120,8 @@ def band_gap(
     others as {"high": ..., "low": ...}.
     """
     if cuts is None:
-        row = quantile_row(df, [high, low], (0.25, 0.75))
-        cuts = {"high": row[high]["q75"], "low": row[low]["q25"]}
+        df = df.withColumn("_cuts", quantile_row(df, [high, low], (0.25, 0.75)))
+        cuts = {"high": F.col("_cuts")[high]["q75"], "low": F.col("_cuts")[low]["q25"]}
     return gap_by_group(
         df, group, high, low, F.col(high) > F.lit(cuts["high"]), F.col(low) < F.lit(cuts["low"])
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,14 @@ def sum_columns(df: DataFrame, sums: Mapping[str, Sequence[str]], drop: bool = F
     return out.drop(*{p for parts in sums.values() for p in parts}) if drop else out
 
 
+def with_constants(df: DataFrame, row: Column, make: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+    """Add columns that use figures of a one-row result, given as a scalar subquery holding a struct.
+
+    The subquery enters the plan once, however many columns use it; no join is needed.
+    """
+    return df.withColumn("_row", row).withColumns(dict(make(F.col("_row")))).drop("_row")
+
+
 def recode(
     df: DataFrame,
     cols: str | Sequence[str],

@@ -9,6 +9,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssemble
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areastats.operators.cleaning import with_constants
+
 
 def hash_split(df: DataFrame, key: str | Sequence[str], test_percent: int = 25, into: str = "split") -> DataFrame:
     """Label rows 'train' or 'test' by a hash of their key.
@@ -35,9 +37,10 @@ class Scaling:
     figures: DataFrame
 
     def apply(self, df: DataFrame, suffix: str = "") -> DataFrame:
-        row = self.figures.scalar()
-        return df.withColumns(
-            {f"{c}{suffix}": (F.col(c) - row[f"{c}_offset"]) / row[f"{c}_width"] for c in self.cols}
+        return with_constants(
+            df,
+            self.figures.scalar(),
+            lambda row: {f"{c}{suffix}": (F.col(c) - row[f"{c}_offset"]) / row[f"{c}_width"] for c in self.cols},
         )
 
 

@@ -115,7 +115,7 @@ def exact_quantiles(
     # 3. Exact running count inside the finer cells, then interpolate.
     per_sub = Window.partitionBy(*keys, "cell", "sub").orderBy("value").rowsBetween(*RUNNING)
     found = (
-        values.join(subcells, [*keys, "cell", "sub"])
+        values.join(subcells if by else F.broadcast(subcells), [*keys, "cell", "sub"])
         .withColumn("offset", F.col("offset") + F.sum("n").over(per_sub) - F.col("n"))
         .withColumn("hit", F.explode(_hits(F.col("total"), probs, start, end)))
     )

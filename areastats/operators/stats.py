@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areastats.functions import as_column, gap_percent, percent, round_to, row_sum
+from areastats.operators.cleaning import with_constants
 from areastats.operators.joins import pair_by_rank
 from areastats.operators.quantiles import exact_quantiles, to_long
 
@@ -99,7 +100,9 @@ def class_share(
     if of != "total":
         raise ValueError(f"of must be 'group' or 'total', not {of!r}")
     grand = totals.agg(F.struct(*[F.sum(f"total_{n}").alias(n) for n in names])).scalar()
-    return totals.withColumns({f"share_{n}": percent(f"total_{n}", grand[n]) for n in names})
+    return with_constants(
+        totals, grand, lambda row: {f"share_{n}": percent(f"total_{n}", row[n]) for n in names}
+    )
 
 
 def mean_of_shares(
@@ -143,9 +146,9 @@ def compare_versions(
     }
     totals = with_keys(tagged, [group]).groupBy(group).agg(*[e.alias(c) for c, e in cells.items()])
     grand = totals.agg(F.struct(*[F.sum(c).alias(c) for c in cells])).scalar()
-    return totals.select(
-        group, *[round_to(percent(c, grand[c]), digits, mode).alias(f"share_{c}") for c in cells]
-    )
+    return with_constants(
+        totals, grand, lambda row: {f"share_{c}": round_to(percent(c, row[c]), digits, mode) for c in cells}
+    ).drop(*cells)
 
 
 def gap_by_group(

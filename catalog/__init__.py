@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "joins", "stats")
+MODULES = ("cleaning", "joins", "stats", "bands", "geo", "features")
 
 
 def load():

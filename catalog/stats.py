@@ -211,7 +211,7 @@ _BOX_OUT = rsql(
 )
 
 
-def _long_sql(cols, source, ids=""):
+def long_sql(cols, source, ids=""):
     names = ", ".join(f"'{c}'" for c in cols)
     return (
         f"SELECT * FROM (SELECT {ids} unnest([{names}]) AS metric, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in cols)}]) AS value "
@@ -223,7 +223,7 @@ def _long_sql(cols, source, ids=""):
     "box_stats",
     with_areas(
         f"SELECT metric, count(*) AS n, {_BOX_OUT}, count(*) FILTER (WHERE NOT ok) AS n_outliers FROM j GROUP BY metric",
-        _BOX.format(rows=_long_sql(RATES[:4], "simple"), by=""),
+        _BOX.format(rows=long_sql(RATES[:4], "simple"), by=""),
     ),
 )
 def box_stats(spark, d):
@@ -235,7 +235,7 @@ def box_stats(spark, d):
     "box_stats_by_region",
     with_areas(
         f"SELECT reg, metric, count(*) AS n, {_BOX_OUT}, count(*) FILTER (WHERE NOT ok) AS n_outliers FROM j GROUP BY reg, metric",
-        _BOX.format(rows=_long_sql(RATES[:2], "simple", "reg,"), by="reg,"),
+        _BOX.format(rows=long_sql(RATES[:2], "simple", "reg,"), by="reg,"),
     ),
 )
 def box_stats_by_region(spark, d):
@@ -368,6 +368,6 @@ def transpose_table(spark, d):
     return s.transpose(s.group_sums(areas(spark, d), ["reg"], SIZES), "reg", SIZES, _REGIONS)
 
 
-@query("unpivot_rates", with_areas(_long_sql(RATES, "simple", "area,")))
+@query("unpivot_rates", with_areas(long_sql(RATES, "simple", "area,")))
 def unpivot_rates(spark, d):
     return s.to_long(areas(spark, d), ["area"], RATES)
