@@ -110,23 +110,32 @@ def distortion(df: DataFrame, cols: Sequence[str], centres: Sequence[Sequence[fl
     return assign_centres(df, cols, centres).agg(F.avg("distance").alias("distortion"))
 
 
-def _fit(data: DataFrame, k: int, seed: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=100, featuresCol="features", predictionCol="cluster").fit(data)
+def _best_models(
+    df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int, seed: int, parallel: int
+) -> dict[int, KMeansModel]:
+    """For each k the best of `n_init` starts; the fits share one cached table and run side by side."""
+    data = assemble(df.select(*cols), cols).select("features").persist()
 
+    def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
+        k, start = job
+        est = KMeans(k=k, seed=seed + start, maxIter=100, featuresCol="features", predictionCol="cluster")
+        return k, est.fit(data)
 
-def fit_clusters(
-    df: DataFrame, cols: Sequence[str], k: int = 4, n_init: int = 10, seed: int = 42, parallel: int = 4
-) -> KMeansModel:
-    """K-means: the best of `n_init` starts, by total squared distance."""
-    data = assemble(df.select(*cols), cols).select("features").persist()
     try:
         with ThreadPool(parallel) as pool:
-            models = pool.map(lambda i: _fit(data, k, seed + i), range(n_init))
-        return min(models, key=lambda m: m.summary.trainingCost)
+            fitted = pool.map(fit, [(k, i) for k in ks for i in range(n_init)], chunksize=1)
+        return {k: min((m for j, m in fitted if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
     finally:
         data.unpersist()
 
 
+def fit_clusters(
+    df: DataFrame, cols: Sequence[str], k: int = 4, n_init: int = 10, seed: int = 42, parallel: int = 8
+) -> KMeansModel:
+    """K-means: the best of `n_init` starts, by total squared distance."""
+    return _best_models(df, cols, [k], n_init, seed, parallel)[k]
+
+
 def sorted_centres(model: KMeansModel) -> list[list[float]]:
     """Cluster centres in ascending order, so that numbering does not depend on the start."""
     return sorted([float(v) for v in c] for c in model.clusterCenters())
@@ -138,14 +147,11 @@ def elbow(
     ks: Sequence[int] = (2, 3, 4, 5, 6),
     n_init: int = 10,
     seed: int = 42,
-    parallel: int = 4,
+    parallel: int = 8,
 ) -> DataFrame:
     """Mean distance to the nearest centre for each number of clusters, in one pass over the rows."""
-    data = df.select(*cols).persist()
-    try:
-        centres = {k: sorted_centres(fit_clusters(data, cols, k, n_init, seed, parallel)) for k in ks}
-    finally:
-        data.unpersist()
+    models = _best_models(df, cols, ks, n_init, seed, parallel)
+    centres = {k: sorted_centres(m) for k, m in models.items()}
     row = df.agg(*[F.avg(F.least(*[_distance(cols, c) for c in centres[k]])).alias(str(k)) for k in ks])
     return row.unpivot([], [str(k) for k in ks], "k", "distortion").withColumn("k", F.col("k").cast("int"))
 

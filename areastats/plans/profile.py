@@ -59,7 +59,7 @@ def clean_population(population: DataFrame, establishments: DataFrame, rules: Pr
     """
     working = population.where(in_range("age", rules.age_from, rules.age_below) & differs("n", 0))
     people = working.groupBy("area", "class", "code").agg(F.sum("n").alias("pop"))
-    people = cleaning.lookup(people, establishments, "code", {"reg": "reg", "dep": "dep"}, order=["area"])
+    people = cleaning.lookup(people, establishments, "code", {"reg": "reg", "dep": "dep"}, order=["area", "reg", "dep"])
     people = cleaning.override(people, [(cond, "reg", v) for cond, v in rules.region_fixes])
     people = cleaning.drop_null(people, ["reg"])
     people = _clean_codes(people, rules)
@@ -69,7 +69,7 @@ def clean_population(population: DataFrame, establishments: DataFrame, rules: Pr
 
 def clean_wages(wages: DataFrame, establishments: DataFrame, rules: ProfileRules) -> DataFrame:
     """Rates per area with region and department; unknown departments come from the code."""
-    rows = cleaning.lookup(wages, establishments, "code", {"reg": "reg", "dep": "dep"}, order=["area"])
+    rows = cleaning.lookup(wages, establishments, "code", {"reg": "reg", "dep": "dep"}, order=["area", "reg", "dep"])
     rows = _clean_codes(cleaning.drop_null(rows, ["reg"]), rules)
     rows = rows.withColumn("dep", code_prefix_fill("dep", "code", rules.dep_prefix))
     rows = rows.withColumnsRenamed(dict(rules.rates))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "joins", "stats", "bands", "geo", "features")
+MODULES = ("cleaning", "joins", "stats", "bands", "geo", "features", "reduce", "models", "profile")
 
 
 def load():
