@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areastats.functions import log_cell
@@ -32,23 +32,22 @@ def quantile_name(p: float) -> str:
     return "q" + f"{round(p * 100, 6):g}".replace(".", "_")
 
 
-def _subcell(value: Column, low: Column, high: Column) -> Column:
-    part = F.floor((value - low) / (high - low) * SUBCELLS).cast("int")
-    return F.when(high > low, F.least(part, F.lit(SUBCELLS - 1))).otherwise(F.lit(0))
+def _subcell(value: str, low: str, high: str) -> str:
+    part = f"cast(floor(({value} - {low}) / ({high} - {low}) * {SUBCELLS}) as int)"
+    return f"CASE WHEN {high} > {low} THEN least({part}, {SUBCELLS - 1}) ELSE 0 END"
 
 
-def _ranks(total: Column, probs: Sequence[float]) -> Column:
-    """The two neighbouring ranks of each quantile, counted from 0."""
+def _hits(probs: Sequence[float], start: str, end: str) -> str:
+    """The wanted ranks in [start, end), counted from 0: two neighbouring ones per quantile.
+
+    The expression refers to the column `total`, the number of values.
+    """
     slots = []
     for i, p in enumerate(probs):
-        below = F.floor(F.lit(float(p)) * (total - 1))
-        for j, rank in enumerate((below, F.least(below + 1, total - 1))):
-            slots.append(F.struct(F.lit(2 * i + j).alias("slot"), rank.alias("rank")))
-    return F.array(*slots)
-
-
-def _hits(total: Column, probs: Sequence[float], start: Column, end: Column) -> Column:
-    return F.filter(_ranks(total, probs), lambda r: (r["rank"] >= start) & (r["rank"] < end))
+        below = f"floor({float(p)!r}D * (total - 1))"
+        slots.append(f"named_struct('slot', {2 * i}, 'rank', {below})")
+        slots.append(f"named_struct('slot', {2 * i + 1}, 'rank', least({below} + 1, total - 1))")
+    return f"filter(array({', '.join(slots)}), r -> r.rank >= {start} AND r.rank < {end})"
 
 
 def exact_quantiles(
@@ -68,26 +67,26 @@ def exact_quantiles(
     names = [quantile_name(p) for p in probs]
     vals = to_long(df, by, cols)
     if not exact:
+        at = ", ".join(f"{float(p)!r}D" for p in probs)
         got = vals.groupBy(*keys).agg(
-            F.count("value").alias("n"),
-            F.percentile_approx("value", F.array(*[F.lit(float(p)) for p in probs]), 10000).alias("q"),
+            F.count("value").alias("n"), F.expr(f"percentile_approx(value, array({at}), 10000)").alias("q")
         )
         return got.select(*keys, "n", *[F.col("q")[i].alias(q) for i, q in enumerate(names)])
 
-    vals = vals.withColumn("cell", log_cell("value"))
-
     # 1. Count per cell, find the cells that hold a wanted rank.
+    vals = vals.withColumn("cell", log_cell("value"))
     per_group = Window.partitionBy(*keys)
     cells = (
         vals.groupBy(*keys, "cell")
         .agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .withColumn("end", F.sum("n").over(per_group.orderBy("cell").rowsBetween(*RUNNING)))
-        .withColumn("total", F.sum("n").over(per_group))
-        .withColumn("before", F.col("end") - F.col("n"))
+        .withColumns(
+            {
+                "before": F.sum("n").over(per_group.orderBy("cell").rowsBetween(*RUNNING)) - F.col("n"),
+                "total": F.sum("n").over(per_group),
+            }
+        )
     )
-    wanted = cells.where(
-        F.size(_hits(F.col("total"), probs, F.col("before"), F.col("end"))) > 0
-    ).select(*keys, "cell", "low", "high", "before", "total")
+    wanted = cells.where(f"size({_hits(probs, 'before', 'before + n')}) > 0").drop("n")
 
     # 2. Look again at the numbers of these cells only. Without groups there are at
     #    most 2 * len(probs) cells per column, so this side is safe to broadcast.
@@ -96,41 +95,39 @@ def exact_quantiles(
         inside = counted.join(wanted, [*keys, "cell"])
     else:
         inside = vals.join(F.broadcast(wanted), [*keys, "cell"]).withColumn("n", F.lit(1))
+    figures = [F.sum("n").alias("n"), F.max("before").alias("before"), F.max("total").alias("total")]
     values = (
-        inside.withColumn("sub", _subcell(F.col("value"), F.col("low"), F.col("high")))
+        inside.withColumn("sub", F.expr(_subcell("value", "low", "high")))
         .groupBy(*keys, "cell", "sub", "value")
-        .agg(F.sum("n").alias("n"), F.max("before").alias("before"), F.max("total").alias("total"))
+        .agg(*figures)
     )
     # Both uses of `values` need the same columns, so Spark runs it once and reuses it.
-    per_cell = Window.partitionBy(*keys, "cell")
-    start, end = F.col("before") + F.col("offset"), F.col("before") + F.col("offset") + F.col("n")
+    hits = _hits(probs, "before + offset", "before + offset + n")
+    by_sub = Window.partitionBy(*keys, "cell").orderBy("sub").rowsBetween(*RUNNING)
     subcells = (
         values.groupBy(*keys, "cell", "sub")
-        .agg(F.sum("n").alias("n"), F.max("before").alias("before"), F.max("total").alias("total"))
-        .withColumn("offset", F.sum("n").over(per_cell.orderBy("sub").rowsBetween(*RUNNING)) - F.col("n"))
-        .where(F.size(_hits(F.col("total"), probs, start, end)) > 0)
+        .agg(*figures)
+        .withColumn("offset", F.sum("n").over(by_sub) - F.col("n"))
+        .where(f"size({hits}) > 0")
         .select(*keys, "cell", "sub", "offset")
     )
 
     # 3. Exact running count inside the finer cells, then interpolate.
-    per_sub = Window.partitionBy(*keys, "cell", "sub").orderBy("value").rowsBetween(*RUNNING)
+    by_value = Window.partitionBy(*keys, "cell", "sub").orderBy("value").rowsBetween(*RUNNING)
     found = (
         values.join(subcells if by else F.broadcast(subcells), [*keys, "cell", "sub"])
-        .withColumn("offset", F.col("offset") + F.sum("n").over(per_sub) - F.col("n"))
-        .withColumn("hit", F.explode(_hits(F.col("total"), probs, start, end)))
+        .withColumn("offset", F.col("offset") + F.sum("n").over(by_value) - F.col("n"))
+        .withColumn("hit", F.expr(f"explode({hits})"))
     )
     picked = found.groupBy(*keys).agg(
         F.max("total").alias("n"),
-        *[
-            F.max(F.when(F.col("hit")["slot"] == s, F.col("value"))).alias(f"_v{s}")
-            for s in range(2 * len(probs))
-        ],
+        *[F.expr(f"max(value) FILTER (WHERE hit.slot = {s})").alias(f"_v{s}") for s in range(2 * len(probs))],
     )
     out = []
     for i, (p, name) in enumerate(zip(probs, names)):
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+        at = f"{float(p)!r}D * (n - 1)"
+        low, high = f"_v{2 * i}", f"_v{2 * i + 1}"
+        out.append(F.expr(f"{low} + ({high} - {low}) * ({at} - floor({at}))").alias(name))
     return picked.select(*keys, "n", *out)
 
 
@@ -156,7 +153,7 @@ def rank_rows(df: DataFrame, col: str, ties: Sequence[str] = ()) -> DataFrame:
     by_hash = (F.shiftright("_tie", 54) + SUBCELLS // 2).cast("int")
     rows = rows.join(cells.drop("_n"), "_cell").withColumn(
         "_sub",
-        F.when(F.col("_high") > F.col("_low"), _subcell(F.col("_v"), F.col("_low"), F.col("_high"))).otherwise(by_hash),
+        F.when(F.col("_high") > F.col("_low"), F.expr(_subcell("_v", "_low", "_high"))).otherwise(by_hash),
     )
     subs = rows.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("_m"))
     subs = subs.withColumn(

@@ -20,11 +20,16 @@ EDGES = [125000, 250000, 375000]
 NUMERIC = ["pop", *RATES, *SIZES, "firms"]
 
 
-def _cells():
-    """(name, condition) of every return flag and line status, and of all lines."""
-    for status, c in CLASSES.items():
-        for flag in FLAGS:
-            yield f"{flag.lower()}_{c}", (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status)
+# Every return flag and line status: name and condition, the same in Spark and in the checking SQL.
+CELLS = {
+    f"{flag.lower()}_{c}": f"l_returnflag = '{flag}' AND l_linestatus = '{status}'" for status, c in CLASSES.items() for flag in FLAGS
+}
+BANDS = {
+    "micro": f"o_totalprice < {EDGES[0]}",
+    "small": f"o_totalprice >= {EDGES[0]} AND o_totalprice < {EDGES[1]}",
+    "medium": f"o_totalprice >= {EDGES[1]} AND o_totalprice < {EDGES[2]}",
+    "large": f"o_totalprice >= {EDGES[2]}",
+}
 
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,49 +38,43 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines are summed per order before they meet the orders, so the join carries one
     row per order on either side. Money is summed in whole cents, which is exact.
     """
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    sums = [F.sum(cents).alias("m_all"), F.sum("l_quantity").alias("q_all")]
-    for name, cond in _cells():
-        sums += [F.sum(F.when(cond, cents)).alias(f"m_{name}"), F.sum(F.when(cond, F.col("l_quantity"))).alias(f"q_{name}")]
+    sums = {"m_all": "sum(cents)", "q_all": "sum(l_quantity)"}
+    for name, cond in CELLS.items():
+        sums[f"m_{name}"] = f"sum(cents) FILTER (WHERE {cond})"
+        sums[f"q_{name}"] = f"sum(l_quantity) FILTER (WHERE {cond})"
     for status, c in CLASSES.items():
-        sums.append(F.sum(F.when(F.col("l_linestatus") == status, F.col("l_quantity"))).alias(f"pop_{c}"))
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*sums)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-
-    price = F.col("o_totalprice")
-    lower = [None, *EDGES]
-    upper = [*EDGES, None]
-    bands = []
-    for name, lo, hi in zip(SIZES, lower, upper):
-        cond = F.lit(True) if lo is None else price >= lo
-        cond = cond if hi is None else cond & (price < hi)
-        bands.append(F.count_if(cond).alias(name))
-    names = [c for c in lines.columns if c != "l_orderkey"]
+        sums[f"pop_{c}"] = f"sum(l_quantity) FILTER (WHERE l_linestatus = '{status}')"
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("cents", F.expr("cast(round(l_extendedprice * 100) as bigint)"))
+        .groupBy("l_orderkey")
+        .agg(*[F.expr(f"{e} AS {n}") for n, e in sums.items()])
+    )
     per_area = (
-        orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+        table(spark, sf_dir, "orders")
+        .join(lines, F.expr("o_orderkey = l_orderkey"), "left")
         .groupBy("o_custkey")
-        .agg(*[F.sum(c).alias(c) for c in names], *bands, F.count(F.lit(1)).alias("firms"))
-        .where(F.col("q_all").isNotNull())
+        .agg(
+            *[F.expr(f"sum({n}) AS {n}") for n in sums],
+            *[F.expr(f"count_if({cond}) AS {n}") for n, cond in BANDS.items()],
+            F.expr("count(*) AS firms"),
+        )
+        .where("q_all IS NOT NULL")
     )
     places = (
         table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
-
-    def rate(name: str):
-        return F.col(f"m_{name}").cast("double") / (F.col(f"q_{name}") * 100)
-
-    return places.join(per_area, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.col("c_custkey").alias("area"),
-        F.col("c_name").alias("area_name"),
-        F.col("c_nationkey").alias("dep"),
-        F.col("r_regionkey").alias("reg_no"),
-        F.col("r_name").alias("reg"),
-        F.col("q_all").alias("pop"),
+    return places.join(per_area, F.expr("c_custkey = o_custkey")).selectExpr(
+        "c_custkey AS area",
+        "c_name AS area_name",
+        "c_nationkey AS dep",
+        "r_regionkey AS reg_no",
+        "r_name AS reg",
+        "q_all AS pop",
         *[f"pop_{c}" for c in CLASSES.values()],
-        rate("all").alias("rate_all"),
-        *[rate(n).alias(f"rate_{n}") for n, _ in _cells()],
+        *[f"cast(m_{n} as double) / (q_{n} * 100) AS rate_{n}" for n in ("all", *CELLS)],
         *SIZES,
         "firms",
     )
@@ -84,21 +83,15 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def areas_by_class(df: DataFrame) -> DataFrame:
     """One row per area and class: `class`, and the class's own `pop`."""
     keep = [c for c in df.columns if c not in ("pop", "pop_f", "pop_o")]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"pop_{n}").alias("pop")) for k, n in CLASSES.items()]))
-    long = df.select(*keep, each.alias("_c"))
-    return long.select(*keep, F.col("_c")["class"].alias("class"), F.col("_c")["pop"].alias("pop")).where(F.col("pop").isNotNull())
-
+    pairs = ", ".join(f"'{k}', pop_{n}" for k, n in CLASSES.items())
+    long = df.selectExpr(*keep, f"stack({len(CLASSES)}, {pairs}) AS (class, pop)")
+    return long.where("pop IS NOT NULL")
 
-def _rates_sql() -> str:
-    parts = []
-    for status, c in CLASSES.items():
-        for flag in FLAGS:
-            cond = f"FILTER (WHERE l_returnflag = '{flag}' AND l_linestatus = '{status}')"
-            parts.append(
-                f"CAST(sum(cents) {cond} AS DOUBLE) / (sum(l_quantity) {cond} * 100) AS rate_{flag.lower()}_{c}"
-            )
-    return ", ".join(parts)
 
+_RATES_SQL = ", ".join(
+    f"CAST(sum(cents) FILTER (WHERE {cond}) AS DOUBLE) / (sum(l_quantity) FILTER (WHERE {cond}) * 100) AS rate_{n}"
+    for n, cond in CELLS.items()
+)
 
 # Common table expressions `simple` (one row per area) and `profile` (area and class).
 AREAS_SQL = f"""
@@ -109,14 +102,11 @@ rates AS (
   SELECT o_custkey AS area, sum(l_quantity) AS pop,
     sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS pop_f,
     sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS pop_o,
-    CAST(sum(cents) AS DOUBLE) / (sum(l_quantity) * 100) AS rate_all, {_rates_sql()}
+    CAST(sum(cents) AS DOUBLE) / (sum(l_quantity) * 100) AS rate_all, {_RATES_SQL}
   FROM lines GROUP BY o_custkey),
 sizes AS (
   SELECT o_custkey AS area,
-    count(*) FILTER (WHERE o_totalprice < {EDGES[0]}) AS micro,
-    count(*) FILTER (WHERE o_totalprice >= {EDGES[0]} AND o_totalprice < {EDGES[1]}) AS small,
-    count(*) FILTER (WHERE o_totalprice >= {EDGES[1]} AND o_totalprice < {EDGES[2]}) AS medium,
-    count(*) FILTER (WHERE o_totalprice >= {EDGES[2]}) AS large,
+    {", ".join(f"count(*) FILTER (WHERE {cond}) AS {n}" for n, cond in BANDS.items())},
     count(*) AS firms
   FROM orders GROUP BY o_custkey),
 simple AS (

@@ -17,23 +17,30 @@ _TOTALS = """t AS (SELECT reg, sum(pop) FILTER (WHERE class = 'F') AS total_f, s
 _STATUS_TOTALS = _TOTALS.replace("FROM rows", "FROM profile")
 
 
-def class_rows(spark, d):
-    """Quantity per area and class, summed per order before it is joined to the places."""
-    per_order = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.sum("l_quantity").alias("pop"))
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+def class_rows(spark, d, *extra):
+    """Quantity per area and class: summed per order, joined on the same key, then summed per area.
+
+    `extra` names columns of the orders to keep apart.
+    """
+    sums = {n: f"sum(l_quantity) FILTER (WHERE l_linestatus = '{k}')" for k, n in CLASSES.items()}
     per_area = (
-        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "l_linestatus")
-        .agg(F.sum("pop").alias("pop"))
+        table(spark, d, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(*[F.expr(f"{e} AS {n}") for n, e in sums.items()])
+        .join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey"))
+        .groupBy("o_custkey", *extra)
+        .agg(*[F.sum(n).alias(n) for n in sums])
     )
     places = (
-        table(spark, d, "customer").select("c_custkey", "c_nationkey")
-        .join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        table(spark, d, "customer")
+        .join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
     )
-    return per_area.join(places, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("r_name").alias("reg"), F.col("n_name").alias("dep"), F.col("l_linestatus").alias("class"), "pop"
+    stacked = ", ".join(f"'{k}', {n}" for k, n in CLASSES.items())
+    rows = per_area.join(places, F.expr("o_custkey = c_custkey")).selectExpr(
+        "r_name AS reg", "n_name AS dep", *extra, f"stack({len(sums)}, {stacked}) AS (class, pop)"
     )
+    return rows.where("pop IS NOT NULL")
 
 
 @query(
@@ -77,16 +84,8 @@ def mean_of_shares(spark, d):
         FROM a LEFT JOIN b USING (reg)""",
 )
 def compare_versions(spark, d):
-    rows = (
-        table(spark, d, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.sum("l_quantity").alias("pop"))
-        .join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy(F.col("r_name").alias("reg"), F.col("l_linestatus").alias("class"), "o_orderstatus")
-        .agg(F.sum("pop").alias("pop"))
-    )
-    done = rows.where(F.col("o_orderstatus") == "F")
+    rows = class_rows(spark, d, "o_orderstatus")
+    done = rows.where("o_orderstatus = 'F'")
     return s.compare_versions({"all": rows, "done": done}, "reg", "class", "pop", CLASSES, 2, "half_up")
 
 
