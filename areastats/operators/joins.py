@@ -44,6 +44,14 @@ def equi_join(
     return left.join(right, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _without(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of `left` whose key is not in `right`.
+
+    Only the distinct keys of `right` are shuffled; a frequent key of `left` can be split.
+    """
+    return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def presence_join(
     left: DataFrame,
     right: DataFrame,
@@ -53,31 +61,25 @@ def presence_join(
 ) -> DataFrame:
     """Full outer join with a column saying left_only, right_only or both.
 
-    Built from a left join and an anti join: Spark can split a skewed key in
-    these, which it cannot in a full outer join.
+    Put together from the matches and the rows without one. Spark can split a
+    frequent key in each of the three joins, which it cannot in a full outer join,
+    and the shuffled inputs of the first serve the other two.
     """
     keys = list(keys)
     left, right = _suffixed(left, right, keys, suffixes)
-    flagged = right.withColumn("_hit", F.lit(True))
-    matched = left.join(flagged, keys, "left").withColumn(
-        indicator, F.when(F.col("_hit"), "both").otherwise("left_only")
-    )
-    only_right = right.join(left.select(*keys), keys, "left_anti").withColumn(
-        indicator, F.lit("right_only")
-    )
-    return matched.drop("_hit").unionByName(only_right, allowMissingColumns=True)
+    both = left.join(right, keys).withColumn(indicator, F.lit("both"))
+    only_left = _without(left, right, keys).withColumn(indicator, F.lit("left_only"))
+    only_right = _without(right, left, keys).withColumn(indicator, F.lit("right_only"))
+    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
 
 
 def unmatched(
     left: DataFrame, right: DataFrame, keys: Sequence[str], indicator: str = "presence"
 ) -> DataFrame:
     """Rows whose key is in one table only."""
-    keys = list(keys)
-    only_left = left.join(right.select(*keys), keys, "left_anti")
-    only_right = right.join(left.select(*keys), keys, "left_anti")
-    return only_left.withColumn(indicator, F.lit("left_only")).unionByName(
-        only_right.withColumn(indicator, F.lit("right_only")), allowMissingColumns=True
-    )
+    only_left = _without(left, right, keys).withColumn(indicator, F.lit("left_only"))
+    only_right = _without(right, left, keys).withColumn(indicator, F.lit("right_only"))
+    return only_left.unionByName(only_right, allowMissingColumns=True)
 
 
 def intersect_all(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

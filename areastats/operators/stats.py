@@ -248,9 +248,14 @@ def outliers(df: DataFrame, cols: Sequence[str], ids: Sequence[str], reach: floa
 
 
 def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation over the rows that have both values."""
+    """Pearson correlation over the rows that have both values; NULL if one of them does not vary.
+
+    Spark's `corr` divides by zero in that case, which is an error under ANSI rules.
+    """
     both = df.na.drop("any", subset=[x, y])
-    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("correlation"))
+    rho = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    bounded = F.when(rho.isNotNull(), F.greatest(F.least(rho, F.lit(1.0)), F.lit(-1.0)))
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), bounded.alias("correlation"))
 
 
 def correlation_test(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -262,15 +267,13 @@ def correlation_test(df: DataFrame, x: str, y: str) -> DataFrame:
     row = correlation(both, x, y).first()
     n, r = row["n"], row["correlation"]
     p = None
-    if r is not None and r == r and n > 2:
+    if r is not None and n > 2:
         if abs(r) >= 1.0:
             p = 0.0
         else:
             data = VectorAssembler(inputCols=[x], outputCol="features").transform(both)
             fit = LinearRegression(featuresCol="features", labelCol=y, solver="normal").fit(data)
             p = float(fit.summary.pValues[0])
-    else:
-        r = None
     return df.sparkSession.createDataFrame([(n, r, p)], "n long, correlation double, p_value double")
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areastats.functions import code_prefix_fill, decimal_comma, differs, in_range, map_values, not_in, replace_text
@@ -31,8 +31,8 @@ class ProfileRules:
     region_recodes: Mapping[int, int] = field(default_factory=dict)
     dep_recodes: Mapping[str, str] = field(default_factory=dict)
     code_replacements: Mapping[str, str] = field(default_factory=dict)
-    region_fixes: Sequence[tuple[Column, int]] = ()
-    dep_fixes: Sequence[tuple[Column, str]] = ()
+    region_fixes: Sequence[tuple[str, object, int]] = ()  # (column, value, region to set)
+    dep_fixes: Sequence[tuple[str, object, str]] = ()
     age_from: int = 15
     age_below: int = 65
     no_coordinate: str = "-"
@@ -60,10 +60,10 @@ def clean_population(population: DataFrame, establishments: DataFrame, rules: Pr
     working = population.where(in_range("age", rules.age_from, rules.age_below) & differs("n", 0))
     people = working.groupBy("area", "class", "code").agg(F.sum("n").alias("pop"))
     people = cleaning.lookup(people, establishments, "code", {"reg": "reg", "dep": "dep"}, order=["area", "reg", "dep"])
-    people = cleaning.override(people, [(cond, "reg", v) for cond, v in rules.region_fixes])
+    people = cleaning.override(people, [(F.col(c) == F.lit(v), "reg", to) for c, v, to in rules.region_fixes])
     people = cleaning.drop_null(people, ["reg"])
     people = _clean_codes(people, rules)
-    people = cleaning.override(people, [(cond, "dep", v) for cond, v in rules.dep_fixes])
+    people = cleaning.override(people, [(F.col(c) == F.lit(v), "dep", to) for c, v, to in rules.dep_fixes])
     return stats.group_sums(people, ["area", "class", "code", "reg", "dep"], ["pop"])
 
 

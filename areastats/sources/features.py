@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 # `coordinates` is kept as text, so polygons and multi-polygons share one schema.
 FEATURE_SCHEMA = StructType(
@@ -45,6 +45,6 @@ def read_features(
     if lines:
         rows = spark.read.schema(FEATURE_SCHEMA).json(path)
         return explode_features(rows.select(F.struct("properties", "geometry").alias("f")), "f", props)
-    document = StructType().add("features", "array<" + FEATURE_SCHEMA.simpleString() + ">")
+    document = StructType().add("features", ArrayType(FEATURE_SCHEMA))
     rows = spark.read.option("multiLine", True).schema(document).json(path)
     return explode_features(rows.select(F.explode("features").alias("f")), "f", props)

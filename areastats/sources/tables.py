@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 FORMATS = ("csv", "parquet", "json")
@@ -21,19 +22,20 @@ def read_table(
 ) -> DataFrame:
     """Read a table with a stated schema.
 
-    CSV needs the schema: an inferred one costs a pass over the data and turns
-    codes such as '01' into numbers. Empty CSV fields are NULL.
+    CSV needs the schema: an inferred one costs a pass over the data and turns codes
+    such as '01' into numbers. CSV columns are found by their header, whatever their
+    order; columns not in the schema are left unread, and an empty field is NULL.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
-    reader = spark.read
-    if fmt == "csv":
-        if schema is None:
-            raise ValueError("a CSV table needs a schema")
-        reader = reader.option("header", True).option("enforceSchema", False)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.options(**options).format(fmt).load(path)
+    reader = spark.read.options(**options)
+    if fmt != "csv":
+        return (reader.schema(schema) if schema is not None else reader).format(fmt).load(path)
+    if schema is None:
+        raise ValueError("a CSV table needs a schema")
+    fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+    texts = reader.option("header", True).csv(path)
+    return texts.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
 
 
 def write_table(

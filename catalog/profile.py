@@ -18,8 +18,8 @@ RULES = ProfileRules(
     region_recodes={100 + k: 100 + 5 * (k // 5) for k in range(25) if k % 5},
     dep_recodes={"2A": "20", "2B": "96"},
     code_replacements={"2A": "20", "2B": "20"},
-    region_fixes=[(F.col("area") == "Town 53", 110)],
-    dep_fixes=[(F.col("area") == "Town 53", "55")],
+    region_fixes=[("area", "Town 53", 110)],
+    dep_fixes=[("area", "Town 53", "55")],
 )
 
 
