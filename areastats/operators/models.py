@@ -26,12 +26,15 @@ class ModelSpec:
     """One row of a leader-board: a name, a kind of model and its settings.
 
     Kinds: linear, ridge (alpha), tree (max_depth), forest (trees, max_depth),
-    boosted (rounds, max_depth, step).
+    boosted (rounds, max_depth, step). Tree kinds also take `bins`.
+    `scaled` asks for standardised inputs, `without` leaves columns out.
     """
 
     name: str
     kind: str
     settings: Mapping = field(default_factory=dict)
+    scaled: bool = True
+    without: tuple[str, ...] = ()
 
 
 def _linear(train: DataFrame, n_features: int, label: str, **extra) -> LinearRegression:
@@ -48,10 +51,12 @@ def _ridge_penalty(train: DataFrame, label: str, alpha: float) -> float:
     return alpha * (spread or 0.0) / n
 
 
-def fit_model(train: DataFrame, label: str, spec: ModelSpec, seed: int = 42) -> Model:
-    """Fit one model on a table with a `features` vector."""
+def fit_model(
+    train: DataFrame, label: str, spec: ModelSpec, seed: int = 42, features: str = "features"
+) -> Model:
+    """Fit one model on a table with a feature vector."""
     s = dict(spec.settings)
-    n_features = len(vector_names(train))
+    n_features = len(vector_names(train, features))
     if spec.kind == "linear":
         est = _linear(train, n_features, label, regParam=0.0)
     elif spec.kind == "ridge":
@@ -81,7 +86,7 @@ def fit_model(train: DataFrame, label: str, spec: ModelSpec, seed: int = 42) ->
         raise ValueError(f"unknown kind of model {spec.kind!r}")
     if s:
         raise ValueError(f"unknown settings for {spec.kind}: {sorted(s)}")
-    return est.fit(train)
+    return est.setFeaturesCol(features).fit(train)
 
 
 def _bins(settings: dict) -> dict:
@@ -141,42 +146,43 @@ def regression_metrics(
 def compare_models(
     df: DataFrame,
     label: str,
-    features: Sequence[str],
+    inputs: Mapping[str, Sequence[str]],
     specs: Sequence[ModelSpec],
     keep: Sequence[str] = (),
     split: str = "split",
     seed: int = 42,
-) -> tuple[DataFrame, dict[str, Model], list[str]]:
+) -> tuple[DataFrame, dict[str, Model], dict[str, list[str]]]:
     """Fit each model once on the training rows and predict all rows.
 
-    Returns the predictions (keep..., model, split, label, prediction), the models
-    by name, and the feature names in vector order.
+    `inputs` names the feature columns of each model; models with the same ones
+    share a vector. Returns the predictions (keep..., model, split, label,
+    prediction), the models and their feature names in vector order.
     """
-    data = assemble(df, features).select(*keep, split, F.col(label), "features")
-    names = vector_names(data)
+    vectors: dict[tuple[str, ...], str] = {}
+    for spec in specs:
+        vectors.setdefault(tuple(inputs[spec.name]), f"_v{len(vectors)}")
+    data = df
+    for cols, vector in vectors.items():
+        data = assemble(data, cols, vector)
+    data = data.select(*keep, split, F.col(label).alias("label"), *vectors.values())
+    used = {spec.name: vectors[tuple(inputs[spec.name])] for spec in specs}
+    names = {spec.name: vector_names(data, used[spec.name]) for spec in specs}
+
     train = data.where(F.col(split) == "train").persist()
     try:
-        models = {spec.name: fit_model(train, label, spec, seed) for spec in specs}
+        models = {spec.name: fit_model(train, "label", spec, seed, used[spec.name]) for spec in specs}
     finally:
         train.unpersist()
+
     # One pass over the features scores every model.
     scored = data
-    for i, spec in enumerate(specs):
-        scored = models[spec.name].copy({models[spec.name].predictionCol: f"_p{i}"}).transform(scored)
-    each = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(spec.name).alias("model"), F.col(f"_p{i}").alias("prediction"))
-                for i, spec in enumerate(specs)
-            ]
-        )
-    )
-    long = scored.select(*keep, split, F.col(label).alias("label"), each.alias("_m"))
-    return (
-        long.select(*keep, F.col("_m")["model"].alias("model"), split, "label", F.col("_m")["prediction"].alias("prediction")),
-        models,
-        names,
+    for i, model in enumerate(models.values()):
+        scored = model.copy({model.predictionCol: f"_p{i}"}).transform(scored)
+    pairs = ", ".join(f"'{name}', _p{i}" for i, name in enumerate(models))
+    predictions = scored.selectExpr(
+        *[f"`{c}`" for c in keep], f"stack({len(models)}, {pairs}) AS (model, prediction)", split, "label"
     )
+    return predictions, models, names
 
 
 def leader_board(predictions: DataFrame, by: Sequence[str] = ("model",), split: str = "split") -> DataFrame:

@@ -13,17 +13,23 @@ from areastats.operators import cleaning, features, models
 from areastats.operators.models import ModelSpec
 from areastats.sources import materialise
 
+# Every configuration has its own name. Trees are as deep as Spark's histograms make
+# sensible (10), where "depth_3" does not say otherwise.
 NUMERIC_MODELS = (
     ModelSpec("linear", "linear"),
-    ModelSpec("tree", "tree", {"max_depth": 10}),
-    ModelSpec("forest", "forest", {"trees": 100, "max_depth": 10}),
-    ModelSpec("boosted", "boosted", {"rounds": 100, "max_depth": 6}),
+    ModelSpec("tree_depth_3", "tree", {"max_depth": 3}, scaled=False, without=("pop",)),
+    ModelSpec("tree", "tree", scaled=False),
+    ModelSpec("forest", "forest", scaled=False),
+    ModelSpec("forest_scaled", "forest"),
+    ModelSpec("boosted", "boosted"),
 )
 ONE_HOT_MODELS = (
+    ModelSpec("linear", "linear"),
     ModelSpec("ridge", "ridge", {"alpha": 1e-4}),
-    ModelSpec("tree", "tree", {"max_depth": 10}),
-    ModelSpec("forest", "forest", {"trees": 100, "max_depth": 10}),
-    ModelSpec("boosted", "boosted", {"rounds": 100, "max_depth": 6}),
+    ModelSpec("tree", "tree", scaled=False),
+    ModelSpec("forest", "forest"),
+    ModelSpec("boosted_depth_3", "boosted", {"max_depth": 3}),
+    ModelSpec("boosted", "boosted"),
 )
 
 
@@ -33,10 +39,17 @@ class Variant:
 
     predictions: DataFrame
     models: dict[str, Model]
-    feature_names: list[str]
+    feature_names: dict[str, list[str]]
 
 
-def prepare(df: DataFrame, key: Sequence[str], label: str, numeric: Sequence[str], categories: Sequence[str] = (), test_percent: int = 25) -> DataFrame:
+def prepare(
+    df: DataFrame,
+    key: Sequence[str],
+    label: str,
+    numeric: Sequence[str],
+    categories: Sequence[str] = (),
+    test_percent: int = 25,
+) -> DataFrame:
     """Rows complete in label and features, split into train and test by their key, written once."""
     wanted = df.select(*dict.fromkeys([*key, label, *numeric, *categories]))
     rows = cleaning.coerce_numeric(wanted, [label, *numeric])
@@ -51,19 +64,24 @@ def fit_variant(
     numeric: Sequence[str],
     categories: Sequence[str],
     specs: Sequence[ModelSpec],
-    scale: bool = True,
     unknown: str = "error",
     seed: int = 42,
 ) -> Variant:
     """Scale and encode on what the training rows show, then fit and predict."""
     train = rows.where(F.col("split") == "train")
-    inputs = [f"{c}_scaled" for c in numeric] if scale else list(numeric)
-    out = features.standard_scaling(train, numeric).apply(rows, "_scaled") if scale else rows
+    out = rows
+    if any(spec.scaled for spec in specs):
+        out = features.standard_scaling(train, numeric).apply(out, "_scaled")
+    encoded = []
     if categories:
         out = features.fit_one_hot(train, categories).vector(out, unknown)
-        inputs = [*inputs, *[f"{c}_vec" for c in categories]]
-    predictions, fitted, names = models.compare_models(out, label, inputs, specs, key, seed=seed)
-    return Variant(predictions, fitted, names)
+        encoded = [f"{c}_vec" for c in categories]
+    inputs = {
+        spec.name: [f"{c}_scaled" if spec.scaled else c for c in numeric if c not in spec.without]
+        + [v for c, v in zip(categories, encoded) if c not in spec.without]
+        for spec in specs
+    }
+    return Variant(*models.compare_models(out, label, inputs, specs, key, seed=seed))
 
 
 def model_comparison(

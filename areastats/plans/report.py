@@ -177,10 +177,10 @@ def model_section(
         predictions = part if predictions is None else predictions.unionByName(part)
         for model, fitted in variant.models.items():
             if hasattr(fitted, "featureImportances"):
-                table = models.importances(fitted, variant.feature_names, rows.sparkSession)
+                table = models.importances(fitted, variant.feature_names[model], rows.sparkSession)
                 out[f"importance_{name}_{model}"] = stats.top_k(table, "importance", 20, ties=["feature"])
             else:
-                table = models.coefficients(fitted, variant.feature_names, rows.sparkSession)
+                table = models.coefficients(fitted, variant.feature_names[model], rows.sparkSession)
                 out[f"coefficients_{name}_{model}"] = stats.top_k(table, "magnitude", 20, ties=["feature"])
     predictions = materialise(predictions, "predictions")
     return out | {"predictions": predictions, "leader_board": models.leader_board(predictions, ["variant", "model"])}

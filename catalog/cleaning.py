@@ -236,6 +236,14 @@ def outlier_filter(spark, d):
     return c.drop_where(areas(spark, d), F.col("rate_a_f") >= 1500).select("area", "rate_a_f")
 
 
+@query(
+    "drop_null_rows",
+    with_areas("SELECT area, rate_a_f, rate_a_o FROM simple WHERE rate_a_f IS NOT NULL AND rate_a_o IS NOT NULL"),
+)
+def drop_null_rows(spark, d):
+    return c.drop_null(areas(spark, d).select("area", "rate_a_f", "rate_a_o"), ["rate_a_f", "rate_a_o"])
+
+
 @query(
     "outlier_listing",
     """SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey

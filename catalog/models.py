@@ -152,16 +152,16 @@ def boosted_stumps(spark, d):
 # -- tree models: results depend on the split search, so only their shape is checked ----
 
 _SMALL = {
-    "tree": ModelSpec("tree", "tree", {"max_depth": 3}),
-    "forest": ModelSpec("forest", "forest", {"trees": 20, "max_depth": 5}),
+    "tree": ModelSpec("tree", "tree", {"max_depth": 3}, scaled=False, without=("pop",)),
+    "forest": ModelSpec("forest", "forest", {"trees": 20, "max_depth": 5}, scaled=False),
     "boosted": ModelSpec("boosted", "boosted", {"rounds": 20, "max_depth": 3}),
 }
 
 
 def _importance(spark, d, kind):
     rows = prepare(areas(spark, d), ["area"], "rate_all", NUMERIC)
-    fitted = fit_variant(rows, ["area"], "rate_all", NUMERIC, (), [_SMALL[kind]], scale=False)
-    table_ = m.importances(fitted.models[kind], fitted.feature_names, spark)
+    fitted = fit_variant(rows, ["area"], "rate_all", NUMERIC, (), [_SMALL[kind]])
+    table_ = m.importances(fitted.models[kind], fitted.feature_names[kind], spark)
     return rounded(stats.top_k(table_, "importance", 20, ties=["feature"]))
 
 
@@ -186,7 +186,7 @@ def ols_coefficients_one_hot(spark, d):
     cats = ["class", "reg_no", "dep"]
     rows = prepare(profile, ["area", "class"], "rate_all", NUMERIC, cats)
     fitted = fit_variant(rows, ["area", "class"], "rate_all", NUMERIC, cats, [ModelSpec("ridge", "ridge")])
-    return rounded(stats.top_k(m.coefficients(fitted.models["ridge"], fitted.feature_names, spark), "magnitude", 20, ties=["feature"]))
+    return rounded(stats.top_k(m.coefficients(fitted.models["ridge"], fitted.feature_names["ridge"], spark), "magnitude", 20, ties=["feature"]))
 
 
 @query("model_comparison")

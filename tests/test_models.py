@@ -170,12 +170,26 @@ def test_leader_board(table):
 def test_importances_are_named_from_the_features(spark, table):
     rows_ = prepare(table, ["id"], "y", ["a", "b"], ["g"])
     fitted = fit_variant(rows_, ["id"], "y", ["a", "b"], ["g"], [ModelSpec("tree", "tree", {"max_depth": 4})])
-    assert fitted.feature_names == ["a_scaled", "b_scaled", "g_vec_1", "g_vec_2"]
-    got = {r["feature"]: r["importance"] for r in m.importances(fitted.models["tree"], fitted.feature_names, spark).collect()}
+    names = fitted.feature_names["tree"]
+    assert names == ["a_scaled", "b_scaled", "g_vec_1", "g_vec_2"]
+    got = {r["feature"]: r["importance"] for r in m.importances(fitted.models["tree"], names, spark).collect()}
     assert sum(got.values()) == pytest.approx(1) and got["g_vec_2"] > got["b_scaled"]
     assert fitted.predictions.count() == 400
 
 
+def test_each_model_has_its_own_inputs(table):
+    rows_ = prepare(table, ["id"], "y", ["a", "b"])
+    specs = [
+        ModelSpec("scaled", "tree", {"max_depth": 3}),
+        ModelSpec("raw", "tree", {"max_depth": 3}, scaled=False),
+        ModelSpec("no_b", "linear", without=("b",)),
+    ]
+    fitted = fit_variant(rows_, ["id"], "y", ["a", "b"], (), specs)
+    assert fitted.feature_names == {"scaled": ["a_scaled", "b_scaled"], "raw": ["a", "b"], "no_b": ["a_scaled"]}
+    got = fitted.predictions.groupBy("id").pivot("model", ["scaled", "raw"]).agg(F.max("prediction"))
+    assert got.where("abs(scaled - raw) > 1e-9").count() == 0  # a tree does not mind the scale
+
+
 def test_incomplete_rows_are_left_out_before_the_split(spark):
     df = spark.createDataFrame([(1, "2.5", 1.0), (2, "x", 1.0), (3, "4", None), (4, "5", 2.0)], "id int, a string, y double")
     assert rows(prepare(df, ["id"], "y", ["a"]).select("id", "a", "y")) == [(1, 2.5, 1.0), (4, 5.0, 2.0)]
