@@ -88,10 +88,10 @@ def lookup(
     and shuffles it otherwise; a key frequent in `df` is split by adaptive execution.
     """
     values = {value: value} if isinstance(value, str) else dict(value)
-    ref = ref.select((F.col(ref_key or key)).alias(key), *values).where(F.col(key).isNotNull()) \
-        if order is None else keep_last(
-            ref.where(F.col(ref_key or key).isNotNull()), [ref_key or key], order
-        ).select(F.col(ref_key or key).alias(key), *values)
+    known = ref.where(F.col(ref_key or key).isNotNull())
+    if order is not None:
+        known = keep_last(known, [ref_key or key], order)
+    ref = known.select(F.col(ref_key or key).alias(key), *values)
     clash = [new for new in values.values() if new in df.columns]
     if clash:
         raise ValueError(f"columns already present: {clash}")

@@ -15,7 +15,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areastats.operators.features import assemble, vector_names
+from areastats.operators.features import Scaling, assemble, vector_names
 
 # The normal equations need a features x features matrix on the driver.
 NORMAL_SOLVER_LIMIT = 4096
@@ -101,10 +101,20 @@ def predict(model: Model, df: DataFrame, keep: Sequence[str], label: str) -> Dat
 # -- what a model says --------------------------------------------------------
 
 
-def coefficients(model: Model, names: Sequence[str], spark) -> DataFrame:
-    """Intercept and one coefficient per feature, with its size regardless of sign."""
-    rows = [("intercept", float(model.intercept))]
-    rows += [(n, float(v)) for n, v in zip(names, model.coefficients.toArray(), strict=True)]
+def coefficients(model: Model, names: Sequence[str], spark, scaling: Scaling | None = None) -> DataFrame:
+    """Intercept and one coefficient per feature, with its size regardless of sign.
+
+    Fitting on scaled columns is numerically safer; with their `scaling` the
+    coefficients are given in the units of the columns before it.
+    """
+    values = [float(v) for v in model.coefficients.toArray()]
+    intercept = float(model.intercept)
+    if scaling is not None:
+        row = scaling.figures.first()[0]
+        for i, c in enumerate(scaling.cols):
+            values[i] /= row[f"{c}_width"]
+            intercept -= values[i] * row[f"{c}_offset"]
+    rows = [("intercept", intercept), *zip(names, values, strict=True)]
     table = spark.createDataFrame(rows, "feature string, coefficient double")
     return table.withColumn("magnitude", F.abs("coefficient"))
 

@@ -22,8 +22,9 @@ def _lines(spark, d):
 
 
 def _fit_table(data, label, cols, spec):
-    rows = f.assemble(data, cols)
-    return rounded(m.coefficients(m.fit_model(rows, label, spec), cols, data.sparkSession))
+    scaling = f.standard_scaling(data, cols) if spec.kind == "linear" else None
+    rows = f.assemble(scaling.apply(data) if scaling else data, cols)
+    return rounded(m.coefficients(m.fit_model(rows, label, spec), cols, data.sparkSession, scaling))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Compare registered queries with their SQL: python tests/check.py [name ...]"""
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -12,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-DATA = "/root/testdata/sf0.01"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 def duck(sf_dir=DATA):

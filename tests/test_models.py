@@ -134,6 +134,14 @@ def test_linear_and_ridge_match_closed_form(spark, table):
         assert [r["feature"] for r in got] == ["intercept", "a", "b"]
 
 
+def test_coefficients_in_original_units(spark):
+    df = spark.createDataFrame([(1e6 + i, float(i % 7), 5 + 3 * (1e6 + i) - 2 * (i % 7)) for i in range(50)], "a double, b double, y double")
+    scaling = f.standard_scaling(df, ["a", "b"])
+    model = m.fit_model(f.assemble(scaling.apply(df), ["a", "b"]), "y", ModelSpec("l", "linear"))
+    got = {r["feature"]: r["coefficient"] for r in m.coefficients(model, ["a", "b"], spark, scaling).collect()}
+    assert got == {"intercept": pytest.approx(5, abs=1e-3), "a": pytest.approx(3), "b": pytest.approx(-2)}
+
+
 def test_settings_are_checked(table):
     rows_ = f.assemble(table, ["a"])
     with pytest.raises(ValueError):
