@@ -25,13 +25,12 @@ class DepartmentReport:
 
 
 def department_profile(areas: DataFrame, dep: str, cols: Sequence[str]) -> DataFrame:
-    """Mean band number per department, over areas that have all columns."""
-    banded = bands.quantile_bands(areas, cols)
-    return materialise(bands.band_profile(banded, dep, cols), "band-profile")
+    """Mean band number per department, over areas that have all columns; written once."""
+    return materialise(bands.band_profile(bands.quantile_bands(areas, cols), dep, cols), "band-profile")
 
 
 def department_report(
-    areas: DataFrame,
+    banded: DataFrame,
     dep: str,
     cols: Sequence[str],
     k: int = 4,
@@ -39,8 +38,8 @@ def department_report(
     n_init: int = 10,
     seed: int = 42,
 ) -> DepartmentReport:
-    """Run the report on one row per area. `areas` is read several times: hand in a written table."""
-    profile = department_profile(areas, dep, cols)
+    """Run the report on one row per area with its bands (see `bands.quantile_bands`)."""
+    profile = materialise(bands.band_profile(banded, dep, cols), "band-profile")
     return DepartmentReport(
         profile,
         reduce.principal_components(profile, cols),

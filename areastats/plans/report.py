@@ -126,21 +126,28 @@ def wages_section(p: Prepared, cols: ReportColumns) -> dict[str, DataFrame]:
 
 
 def band_section(
-    p: Prepared, cols: ReportColumns, features: DataFrame | None = None, k: int = 4, n_init: int = 10, recodes: Mapping | None = None
+    p: Prepared,
+    cols: ReportColumns,
+    features: DataFrame | None = None,
+    k: int = 4,
+    n_init: int = 10,
+    recodes: Mapping | None = None,
 ) -> dict[str, DataFrame]:
     """Quartile bands, components and clusters of the departments, and the map layer."""
     rates = list(cols.band_rates)
     areas = within_limits(p.simple, cols)
-    banded = bands.complete_bands(bands.quantile_bands(areas, rates), rates)
     labels = [f"{c}_band" for c in rates]
-    banded = materialise(banded.select("area", "dep", "reg", "reg_name", *labels), "bands")
-    report = clusters.department_report(areas, "dep", rates, k=k, n_init=n_init)
-    listed = {c: bands.band_list(bands.quantile_bands(areas, rates[:2]), [c], ["area", "dep", "reg_name"]) for c in rates[:2]}
+    ids = ["area", "dep", "reg", "reg_name"]
+    # Everything below works on the labels, so the cut points are found once.
+    banded = materialise(bands.quantile_bands(areas, rates).select(*ids, *labels), "bands")
+    complete = bands.complete_bands(banded, rates)
+    report = clusters.department_report(banded, "dep", rates, k=k, n_init=n_init)
+    listed = [bands.band_list(banded, [c], ["area", "dep", "reg_name"]) for c in rates[:2]]
     out = {
         "quartiles": bands.quantile_table(areas, rates),
-        "bands": banded,
-        "bands_described": stats.describe_categories(banded, labels),
-        "bands_unmatched": joins.unmatched(*listed.values(), ["area", "dep", "reg_name"]),
+        "bands": complete,
+        "bands_described": stats.describe_categories(complete, labels),
+        "bands_unmatched": joins.unmatched(*listed, ["area", "dep", "reg_name"]),
         "band_gap": stats.sort_rows(bands.band_gap(areas, "reg_name", *cols.gap_rates), "gap_pct", ties=["reg_name"]),
         "department_profile": report.profile,
         "explained_variance": report.components.variance(),
