@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.regression import (
@@ -161,8 +162,9 @@ def compare_models(
     keep: Sequence[str] = (),
     split: str = "split",
     seed: int = 42,
+    parallel: int = 4,
 ) -> tuple[DataFrame, dict[str, Model], dict[str, list[str]]]:
-    """Fit each model once on the training rows and predict all rows.
+    """Fit each model once on the training rows, several side by side, and predict all rows.
 
     `inputs` names the feature columns of each model; models with the same ones
     share a vector. Returns the predictions (keep..., model, split, label,
@@ -180,7 +182,10 @@ def compare_models(
 
     train = data.where(F.col(split) == "train").persist()
     try:
-        models = {spec.name: fit_model(train, "label", spec, seed, used[spec.name]) for spec in specs}
+        train.count()  # fill the cache once, before the fits start together
+        with ThreadPool(parallel) as pool:
+            fits = pool.map(lambda spec: fit_model(train, "label", spec, seed, used[spec.name]), specs, chunksize=1)
+        models = {spec.name: fitted for spec, fitted in zip(specs, fits)}
     finally:
         train.unpersist()
 
