@@ -40,7 +40,7 @@ def compare(spark_df, con, sql):
     rel = con.sql(sql)
     if sorted(rel.columns) != cols:
         return f"columns {cols} vs {sorted(rel.columns)}"
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "BOOLEAN": "boolean", "DOUBLE": "double", "VARCHAR": "string"}
     theirs = {c: kinds.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
     ours = dict(spark_df.dtypes)
     if ours != theirs:
