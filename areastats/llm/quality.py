@@ -19,6 +19,7 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -28,22 +29,31 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 1500
+PER_CLASS = 2000
 BLOCK = 4096
-DICTIONARY_BYTES = 110_000
+DICTIONARY_BYTES = 8_000
+FRAGMENT = 64
 LEVEL = 3
 
 
-def train_dictionary(texts: Sequence[bytes], size: int) -> zstandard.ZstdCompressionDict:
-    """A trained dictionary, or the texts themselves where they are too few to train on."""
-    blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    if sum(map(len, blocks)) > 20 * size:
+def train_dictionary(texts: Sequence[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on shuffled fragments of the texts, as many from each text.
+
+    Fragments are too short to hold a passage, so the dictionary learns how a class is
+    written, not what a few of its documents happen to quote.
+    """
+    rng = random.Random(len(texts))
+    each = max(1, 60 * size // FRAGMENT // max(1, len(texts)))
+    starts = [(t, rng.randrange(max(1, len(t) - FRAGMENT + 1))) for t in texts for _ in range(each)]
+    pieces = [t[a : a + FRAGMENT] for t, a in starts]
+    rng.shuffle(pieces)
+    samples = [b"".join(pieces[i : i + 16]) for i in range(0, len(pieces), 16)]
+    if sum(map(len, samples)) > 10 * size:
         try:
-            return zstandard.train_dictionary(size, blocks)
-        except zstandard.ZstdError:
+            return zstandard.train_dictionary(size, samples)
+        except zstandard.ZstdError:  # too few different fragments
             pass
-    raw = b"\n".join(b[:512] for b in blocks)[:size]
-    return zstandard.ZstdCompressionDict(raw or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressionDict(b"".join(samples)[:size] or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class CompressionClassifier:
@@ -81,7 +91,7 @@ class CompressionClassifier:
         pairs = [base[:, i] * base[:, j] for i in range(4) for j in range(i, 4)]
         return np.concatenate([np.ones((len(n), 1)), base, np.stack(pairs, 1)], 1)
 
-    def fit_curve(self, texts: Sequence[bytes], labels: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> None:
+    def fit_curve(self, texts: Sequence[bytes], labels: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> None:
         """Weighted logistic regression by Newton steps."""
         made = self.compressors()
         sizes = np.array([self.sizes(made, t) for t in texts], float).reshape(-1, 3)
@@ -96,6 +106,7 @@ class CompressionClassifier:
             g = x.T @ (weight * (labels - p)) - ridge * w
             h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
             step = np.linalg.solve(h, g)
+            step *= min(1.0, 4.0 / np.abs(step).max()) if step.any() else 1.0
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -136,7 +147,7 @@ def fit(
     rows = sorted({(r._label, r._text.encode("utf-8", "surrogatepass")) for r in rows}, key=lambda r: (r[0], zlib.crc32(r[1])))
     by_class = [[t for c, t in rows if c == k] for k in (0, 1)]
     # Half of each class makes its dictionary, the other half the curve.
-    model = CompressionClassifier(*(train_dictionary(by_class[k][::2], DICTIONARY_BYTES) for k in (1, 0)), prior)
+    model = CompressionClassifier(*(train_dictionary(by_class[k][::2]) for k in (1, 0)), prior)
     seen = [t for k in (0, 1) for t in by_class[k][1::2]]
     y = np.array([k for k in (0, 1) for _ in by_class[k][1::2]], float)
     if 0 < y.sum() < len(y):

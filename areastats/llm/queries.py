@@ -1,10 +1,11 @@
 """The registered query of each operator, with its SQL where SQL can express it."""
 
-from areastats.llm import mixing, packing, quality, rules
+from areastats.llm import jaccard, mixing, packing, quality, rules
 
 OPERATORS = {
     "op3_mix_sources": mixing,
     "op6_quality_classifier": quality,
+    "op7_jaccard_join": jaccard,
     "op8_best_fit_packing": packing,
     "op9_quality_rules": rules,
 }
