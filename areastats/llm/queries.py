@@ -1,9 +1,11 @@
 """The registered query of each operator, with its SQL where SQL can express it."""
 
-from areastats.llm import jaccard, mixing, packing, quality, rules
+from areastats.llm import chat, jaccard, mixing, neighbours, packing, quality, rules
 
 OPERATORS = {
+    "op1_chat_formatting": chat,
     "op3_mix_sources": mixing,
+    "op4_embedding_near_dedup": neighbours,
     "op6_quality_classifier": quality,
     "op7_jaccard_join": jaccard,
     "op8_best_fit_packing": packing,
