@@ -154,10 +154,13 @@ def quality_rules(
     rules = order(estimate(sample, [*base, *further]))
     scratch.drop(sample)
     failed = " OR ".join(f"({r.rejects})" for r in base) or "false"
+    # A filter on `kept` must not be pushed below the measures: Spark would write their nested
+    # expressions into it, each as often as it is used. A row number stops that.
     return (
-        measured.withColumns({"base_failed": F.expr(failed), "rejected_by": cascade(rules)})
-        .withColumn("kept", F.col("rejected_by").isNull())
-        .drop("_text", "n_lines")
+        measured.withColumn("_row", F.monotonically_increasing_id())
+        .withColumns({"base_failed": F.expr(failed), "rejected_by": cascade(rules)})
+        .withColumn("kept", F.col("rejected_by").isNull() & (F.col("_row") >= 0))
+        .drop("_text", "n_lines", "_row")
     )
 
 
