@@ -10,14 +10,14 @@ boundary it stands, and it is replicated to them and no others. Whole documents
 serve as first pivots: unrelated texts are all at distance 1 from them, so no window
 would keep any document out of any region.
 
-Regions are then joined recursively with documents as pivots. The member with the fewest shingles ahead of the
-region's own is the pivot (in a group of near copies, the original); every member is
-compared with it, members linked to it form its cell and need no comparison among
-themselves, and what is left (members outside all cells, and pairs across cells) is joined
-again, by all pairs where these are few, else with another pivot. Pairs whose distances to
-the pivot differ by more than 1 - t cannot link (triangle inequality) and are left out. Links of
-pairs inside a cell are implied, so the number of comparisons follows the number
-of documents and not its square; the classes are exact.
+Inside a region a document becomes the pivot: the member with the fewest shingles ahead of the
+region's own (in a group of near copies, the original). Regions with one pivot are joined as
+one. Every member is compared with the pivot; members linked to it form its cell and need no comparison
+among themselves. The members outside the cell are joined with all members again, where pairs
+whose distances to the pivot differ by more than 1 - t cannot link (triangle inequality) and are left out.
+Links inside a cell are implied, so only documents outside a cell cost more than one
+comparison each; regions are dealt out in groups and squares of groups, so that no task holds a
+region. The classes are exact.
 
 The order puts shingles common in the corpus last (counts of all shingles, hashed to 2^21
 counters). It decides only how large regions get, never the result. Shingles are 64-bit hashes.
@@ -39,8 +39,8 @@ WIDTH = 5
 COUNTER_BITS = 21
 CHUNKS = 32
 NEEDED_BITS = 24
-#: A region with at most this many open pairs is finished by all pairs.
-OPEN_PAIRS = 4096
+#: Sets that one task compares with as many others.
+GROUP = 256
 
 _RNG = np.random.default_rng(20240607)
 _ODD = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,33 +200,64 @@ def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
     return docs.mapInArrow(run, "a long, members binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) with the exact distance and whether they link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked, d = [], []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                union = len(p) + len(q) - common
-                linked.append(den * common >= num * union)
-                d.append(1 - common / union)
-            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(d, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["x", "y", "linked", "d"])
-
-    first = pairs.join(sets.select(F.col("a").alias("x"), F.col("members").alias("p")), "x")
-    second = first.join(sets.select(F.col("a").alias("y"), F.col("members").alias("q")), "y")
-    return second.select("x", "y", "p", "q").mapInArrow(run, "x long, y long, linked boolean, d double")
-
-
-def _may_link(m: str, k: str, num: int, den: int) -> str:
-    """SQL: two members of a region can reach the overlap that a link needs, by sizes and places."""
-    n, o = f"({m} & 4294967295)", f"({k} & 4294967295)"
-    i, j = f"shiftright({m}, 32)", f"shiftright({k}, 32)"
-    return f"({den} + {num}) * least({n} - {i}, {o} - {j}) >= {num} * ({n} + {o})"
+def _overlaps(one: np.ndarray, many: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with n others, laid end to end."""
+    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
+    return np.bincount(owner[one[at] == many], minlength=n)
+
+
+def _laid_out(column) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    sizes = np.array([len(x) for x in sets])
+    return sets, sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+
+
+def _compare_with_pivot(num: int, den: int):
+    """For a pivot and one group of its members: each member's exact distance and whether it is linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("a").to_numpy()
+        p = int(table.column("p")[0].as_py())
+        sets, sizes, flat, owner = _laid_out(table.column("members"))
+        at = int(np.flatnonzero(names == p)[0])
+        common = _overlaps(sets[at], flat, owner, len(sets))
+        union = sizes + sizes[at] - common
+        keep = np.arange(len(sets)) != at
+        columns = [np.full(keep.sum(), p), names[keep], (den * common >= num * union)[keep], (1 - common / union)[keep]]
+        return pa.table(columns, ["p", "a", "linked", "d"])
+
+    return run
+
+
+def _compare_rest(num: int, den: int):
+    """For one square of a region: links of members outside the pivot's cell with others, as a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, outside = table.column("a").to_numpy(), table.column("x").to_numpy(zero_copy_only=False)
+        linked, d = table.column("linked").to_numpy(zero_copy_only=False), table.column("d").to_numpy()
+        rows_x, rows_y = np.flatnonzero(outside), np.flatnonzero(~outside)
+        if not len(rows_x) or not len(rows_y):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["u", "v"])
+        sets, sizes, _, _ = _laid_out(table.column("members"))
+        flat = np.concatenate([sets[i] for i in rows_y])
+        owner = np.repeat(np.arange(len(rows_y)), sizes[rows_y])
+        u, v = [], []
+        for i in rows_x:
+            # Triangle inequality: distances to the pivot of linked sets differ by 1 - t at most.
+            near = (np.abs(d[rows_y] - d[i]) <= 1 - num / den + 1e-9) & (names[rows_y] != names[i])
+            near &= (den * np.minimum(sizes[rows_y], sizes[i]) >= num * np.maximum(sizes[rows_y], sizes[i]))
+            if not near.any():
+                continue
+            common = _overlaps(sets[i], flat, owner, len(rows_y))
+            found = np.flatnonzero(near & (den * common >= num * (sizes[rows_y] + sizes[i] - common)))
+            # Members of the cell hang together by the pivot: one link to them will do.
+            cell = found[linked[rows_y[found]]][:1]
+            for j in np.concatenate([cell, found[~linked[rows_y[found]]]]):
+                u.append(names[i])
+                v.append(names[rows_y[j]])
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def jaccard_classes(
@@ -246,75 +277,37 @@ def jaccard_classes(
     named = first.where("chunk IS NULL").select("doc_id", "n", "a")
     counters = spark.sparkContext.broadcast(_counters(first.where("chunk IS NOT NULL").select("chunk", "counts")))
 
-    # Regions with two different sets at least.
+    # Regions with two different sets at least. Many regions of a group of near copies have the
+    # same pivot; they are joined as one region, the union of their members.
     region = Window.partitionBy("s")
     rows = _memberships(texts, counters, width, num, den)
-    rows = rows.withColumns(
-        {
-            "p": F.min(F.struct("m", "a")).over(region),
-            "low": F.min("a").over(region),
-            "high": F.max("a").over(region),
-            "k": F.count("*").over(region),
-        }
-    ).where("low <> high AND a <> p.a")
-    rows = scratch.store(rows.select("s", "a", "m", F.col("p.a").alias("pa"), F.col("p.m").alias("pm"), "k"), "regions")
-    stars = rows.where(_may_link("m", "pm", num, den)).select(F.col("pa").alias("x"), F.col("a").alias("y")).distinct()
-    stars = scratch.store(stars, "pairs")
-
-    # The sets of all members that any comparison can need.
-    members = rows.where("k > 2").select("a").unionByName(stars.select(F.explode(F.array("x", "y")).alias("a")))
+    rows = rows.withColumns({"p": F.min(F.struct("m", "a")).over(region), "low": F.min("a").over(region), "high": F.max("a").over(region)})
+    rows = rows.where("low <> high AND a <> p.a").select(F.col("p.a").alias("p"), "a").distinct()
+    rows = scratch.store(rows, "regions")
+
+    # The sets of all members, each once.
+    members = rows.select(F.explode(F.array("p", "a")).alias("a"))
     bits = spark.sparkContext.broadcast(_needed(members))
     sets = scratch.store(_fetch(texts, bits, width).groupBy("a").agg(F.first("members").alias("members")), "members")
-    checked = scratch.store(_verify(stars, sets, num, den), "checked")
-    links = [checked.where("linked").select("x", "y")]
-    known = [checked]
-
-    # Recursion into regions that have pairs left.
-    state = rows.where("k > 2").select("s", "a", "m", "pa").distinct()
-    state = state.join(checked.withColumnsRenamed({"x": "pa", "y": "a"}), ["pa", "a"], "left").select(
-        "s", "a", "m", F.when(F.col("linked"), F.col("pa")).alias("cell"), "d"
-    )
-    spread = {
-        "nulls": F.count_if(F.col("cell").isNull()).over(region),
-        "k": F.count("*").over(region),
-        "low": F.min("cell").over(region),
-        "high": F.max("cell").over(region),
-    }
-    while True:
-        state = scratch.store(
-            state.withColumns(spread).where("k > 1 AND (nulls > 0 OR low <> high)"), "state"
-        )
-        if state.isEmpty():
-            break
-        few = f"(nulls = 0 OR nulls * k <= {OPEN_PAIRS})"
-        leaf, large = state.where(few), state.where(f"NOT {few}")
-        other = leaf.select("s", *[F.col(c).alias(f"{c}2") for c in ("a", "m", "cell", "d")])
-        near = f"{_may_link('m', 'm2', num, den)} AND coalesce(abs(d - d2) <= {1 - num / den!r}D + 1e-9D, true)"
-        outside = leaf.where("cell IS NULL").join(other, "s").where(f"a <> a2 AND (cell2 IS NOT NULL OR a < a2) AND {near}")
-        across = leaf.where("low <> high AND cell IS NOT NULL").join(other, "s").where(f"cell < cell2 AND {near}")
-        pairs = outside.unionByName(across).select("a", "a2")
-        pivots = large.where("cell IS NULL").groupBy("s").agg(F.min(F.struct("m", "a")).alias("p"))
-        large = large.drop(*spread).join(pivots, "s").where("a <> p.a").withColumn("pa", F.col("p.a"))
-        large = scratch.store(large.withColumn("pm", F.col("p.m")).drop("p"), "large")
-        pairs = pairs.unionByName(large.where(_may_link("m", "pm", num, den)).select(F.col("pa").alias("a"), F.col("a").alias("a2")))
-        pairs = pairs.select(F.least("a", "a2").alias("x"), F.greatest("a", "a2").alias("y")).distinct()
-        for old in known:
-            pairs = pairs.join(old.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-        found = scratch.store(_verify(pairs, sets, num, den), "checked")
-        links.append(found.where("linked").select("x", "y"))
-        known.append(found)
-        every = known[0]
-        for old in known[1:]:
-            every = every.unionByName(old)
-        ends = every.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "linked", F.col("d").alias("to_pivot"))
-        large = large.withColumns({"u": F.least("a", "pa"), "v": F.greatest("a", "pa")}).join(ends, ["u", "v"], "left")
-        state = large.select(
-            "s", "a", "m", F.coalesce("cell", F.when(F.col("linked"), F.col("pa"))).alias("cell"), F.col("to_pivot").alias("d")
-        )
 
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
+    # Every member against its pivot, in groups that hold the pivot and at most some hundred members.
+    group = lambda c, k: F.pmod(F.xxhash64(c), F.ceil(F.col(k) / GROUP)).cast("int")
+    sizes = rows.groupBy("p").agg(F.count("*").alias("k"))
+    starred = rows.join(sizes, "p").select("p", "a", group("a", "k").alias("g"))
+    pivots = starred.select("p", F.col("p").alias("a"), "g").distinct()
+    starred = starred.unionByName(pivots).join(sets, "a").groupBy("p", "g")
+    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(num, den), "p long, a long, linked boolean, d double"), "checked")
+
+    # What is left of each region: members outside the cell, against all its members, in squares of groups.
+    open_ = checked.groupBy("p").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND k > 1")
+    left = checked.join(open_, "p")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.ceil(F.col(k) / GROUP).cast("int") - 1))
+    xs = left.where("NOT linked").select("p", "a", "linked", "d", F.lit(True).alias("x"), group("a", "o").alias("gx"), every("k").alias("gy"))
+    ys = left.select("p", "a", "linked", "d", F.lit(False).alias("x"), every("o").alias("gx"), group("a", "k").alias("gy"))
+    rest = xs.unionByName(ys).join(sets, "a").groupBy("p", "gx", "gy").applyInArrow(_compare_rest(num, den), "u long, v long")
+    edges = checked.where("linked").select(F.col("p").alias("x"), F.col("a").alias("y")).unionByName(
+        rest.select(F.col("u").alias("x"), F.col("v").alias("y"))
+    )
     reach = components(edges, "x", "y")
     named_sets = named.where("n > 0").groupBy("a").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     named_sets = named_sets.join(reach.withColumnRenamed("node", "a"), "a", "left")
