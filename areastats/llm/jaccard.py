@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,20 +178,22 @@ def _needed(names: DataFrame) -> np.ndarray:
 
 
 def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
-    """Names and shingles of the sets in the bitmap."""
+    """Names of the sets in the bitmap, each with a text that has the set: a third of the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, seen = np.unpackbits(bits.value).astype(bool), set()
+        pack = zstandard.ZstdCompressor(level=3)
         schema = pa.schema([("a", pa.int64()), ("members", pa.binary())])
         for batch in batches:
             names, sets, held = [], [], 0
             for body in batch.column(0):
-                s = shingles(body.as_py(), width)
+                text = body.as_py()
+                s = shingles(text, width)
                 a = fingerprint(s)
                 if len(s) and a not in seen and sieve[a & ((1 << NEEDED_BITS) - 1)]:
                     seen.add(a)
                     names.append(a)
-                    sets.append(s.tobytes())
+                    sets.append(pack.compress(text.encode("utf-8", "surrogatepass")))
                     held += len(sets[-1])
                 if held > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
@@ -200,25 +203,37 @@ def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
     return docs.mapInArrow(run, "a long, members binary")
 
 
+def _may_link(m: str, k: str, num: int, den: int) -> str:
+    """SQL: two members of a region can reach the overlap that a link needs, by sizes and places.
+
+    In the first region that they share, what each has up to there is not shared but for the
+    region's own shingle.
+    """
+    n, o = f"({m} & 4294967295)", f"({k} & 4294967295)"
+    i, j = f"shiftright({m}, 32)", f"shiftright({k}, 32)"
+    return f"({den} + {num}) * least({n} - {i}, {o} - {j}) >= {num} * ({n} + {o})"
+
+
 def _overlaps(one: np.ndarray, many: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Sizes of the intersections of one sorted set with n others, laid end to end."""
     at = np.minimum(np.searchsorted(one, many), len(one) - 1)
     return np.bincount(owner[one[at] == many], minlength=n)
 
 
-def _laid_out(column) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+def _laid_out(column, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    sets = [shingles(unpack.decompress(x.as_py()).decode("utf-8", "surrogatepass"), width) for x in column]
     sizes = np.array([len(x) for x in sets])
     return sets, sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
 
 
-def _compare_with_pivot(num: int, den: int):
+def _compare_with_pivot(width: int, num: int, den: int):
     """For a pivot and one group of its members: each member's exact distance and whether it is linked."""
 
     def run(table: pa.Table) -> pa.Table:
         names = table.column("a").to_numpy()
         p = int(table.column("p")[0].as_py())
-        sets, sizes, flat, owner = _laid_out(table.column("members"))
+        sets, sizes, flat, owner = _laid_out(table.column("members"), width)
         at = int(np.flatnonzero(names == p)[0])
         common = _overlaps(sets[at], flat, owner, len(sets))
         union = sizes + sizes[at] - common
@@ -229,7 +244,7 @@ def _compare_with_pivot(num: int, den: int):
     return run
 
 
-def _compare_rest(num: int, den: int):
+def _compare_rest(width: int, num: int, den: int):
     """For one square of a region: links of members outside the pivot's cell with others, as a forest."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -238,7 +253,7 @@ def _compare_rest(num: int, den: int):
         rows_x, rows_y = np.flatnonzero(outside), np.flatnonzero(~outside)
         if not len(rows_x) or not len(rows_y):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["u", "v"])
-        sets, sizes, _, _ = _laid_out(table.column("members"))
+        sets, sizes, _, _ = _laid_out(table.column("members"), width)
         flat = np.concatenate([sets[i] for i in rows_y])
         owner = np.repeat(np.arange(len(rows_y)), sizes[rows_y])
         u, v = [], []
@@ -281,8 +296,11 @@ def jaccard_classes(
     # same pivot; they are joined as one region, the union of their members.
     region = Window.partitionBy("s")
     rows = _memberships(texts, counters, width, num, den)
-    rows = rows.withColumns({"p": F.min(F.struct("m", "a")).over(region), "low": F.min("a").over(region), "high": F.max("a").over(region)})
-    rows = rows.where("low <> high AND a <> p.a").select(F.col("p.a").alias("p"), "a").distinct()
+    figures = {"p": F.min(F.struct("m", "a")), "low": F.min("a"), "high": F.max("a"), "k": F.count("*")}
+    rows = rows.withColumns({name: figure.over(region) for name, figure in figures.items()})
+    # In a region of two, sizes and places tell whether they can link at all.
+    rows = rows.where(f"low <> high AND a <> p.a AND (k > 2 OR {_may_link('m', 'p.m', num, den)})")
+    rows = rows.select(F.col("p.a").alias("p"), "a").distinct()
     rows = scratch.store(rows, "regions")
 
     # The sets of all members, each once.
@@ -296,7 +314,7 @@ def jaccard_classes(
     starred = rows.join(sizes, "p").select("p", "a", group("a", "k").alias("g"))
     pivots = starred.select("p", F.col("p").alias("a"), "g").distinct()
     starred = starred.unionByName(pivots).join(sets, "a").groupBy("p", "g")
-    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(num, den), "p long, a long, linked boolean, d double"), "checked")
+    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(width, num, den), "p long, a long, linked boolean, d double"), "checked")
 
     # What is left of each region: members outside the cell, against all its members, in squares of groups.
     open_ = checked.groupBy("p").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND k > 1")
@@ -304,7 +322,7 @@ def jaccard_classes(
     every = lambda k: F.explode(F.sequence(F.lit(0), F.ceil(F.col(k) / GROUP).cast("int") - 1))
     xs = left.where("NOT linked").select("p", "a", "linked", "d", F.lit(True).alias("x"), group("a", "o").alias("gx"), every("k").alias("gy"))
     ys = left.select("p", "a", "linked", "d", F.lit(False).alias("x"), every("o").alias("gx"), group("a", "k").alias("gy"))
-    rest = xs.unionByName(ys).join(sets, "a").groupBy("p", "gx", "gy").applyInArrow(_compare_rest(num, den), "u long, v long")
+    rest = xs.unionByName(ys).join(sets, "a").groupBy("p", "gx", "gy").applyInArrow(_compare_rest(width, num, den), "u long, v long")
     edges = checked.where("linked").select(F.col("p").alias("x"), F.col("a").alias("y")).unionByName(
         rest.select(F.col("u").alias("x"), F.col("v").alias("y"))
     )
