@@ -19,8 +19,8 @@ Links inside a cell are implied, so only documents outside a cell cost more than
 comparison each; regions are dealt out in groups and squares of groups, so that no task holds a
 region. The classes are exact.
 
-The order puts shingles common in the corpus last (counts of all shingles, hashed to 2^21
-counters). It decides only how large regions get, never the result. Shingles are 64-bit hashes.
+The order puts shingles common in the corpus last (counts of all shingles, hashed to 2^24
+counters of one byte). It decides only how large regions get, never the result. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from areastats.llm.common import Scratch, byte_words, components
 
 WIDTH = 5
-COUNTER_BITS = 21
+COUNTER_BITS = 24
 CHUNKS = 32
 NEEDED_BITS = 24
 #: Sets that one task compares with as many others.
@@ -80,7 +80,12 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
         )
-        counters, pending, held = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+        counters, pending, held = np.zeros(1 << COUNTER_BITS, np.uint32), [], 0
+
+        def count():
+            some, times = np.unique(np.concatenate(pending), return_counts=True)
+            counters[some] += times.astype(np.uint32)
+
         for batch in batches:
             n, a = [], []
             for body in batch.column(1):
@@ -90,37 +95,38 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
                 pending.append(buckets(s))
                 held += len(s)
                 if held > 2_000_000:
-                    counters += np.bincount(np.concatenate(pending), minlength=len(counters))
+                    count()
                     pending, held = [], 0
             none = pa.nulls(len(n))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
         if pending:
-            counters += np.bincount(np.concatenate(pending), minlength=len(counters))
-        parts = np.minimum(counters, 65535).astype("<u2").reshape(CHUNKS, -1)
+            count()
+        parts = np.minimum(counters, 255).astype(np.uint8).reshape(CHUNKS, -1)
+        pack = zstandard.ZstdCompressor(level=1)
         some = [i for i in range(CHUNKS) if parts[i].any()]
         none = pa.nulls(len(some)).cast(pa.int64())
-        columns = [none, none, none, pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())]
+        columns = [none, none, none, pa.array(some, pa.int32()), pa.array([pack.compress(parts[i].tobytes()) for i in some], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, n long, a long, chunk int, counts binary")
 
 
 def _counters(parts: DataFrame) -> np.ndarray:
-    """Summed counters: 2^21 numbers of two bytes, whatever the input."""
+    """Summed counters: 2^24 bytes, whatever the input."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << COUNTER_BITS) // CHUNKS, np.int64)
+        total, unpack = np.zeros((1 << COUNTER_BITS) // CHUNKS, np.uint64), zstandard.ZstdDecompressor()
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), "<u2")
-        total = np.minimum(total, 65535).astype("<u2").tobytes()
+                total += np.frombuffer(unpack.decompress(x.as_py()), np.uint8)
+        total = np.minimum(total, 255).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.binary())], ["chunk", "counts"])
 
     summed = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros((CHUNKS, (1 << COUNTER_BITS) // CHUNKS), np.uint16)
-    for row in summed.collect():
-        out[row.chunk] = np.frombuffer(row.counts, "<u2")
+    out = np.zeros((CHUNKS, (1 << COUNTER_BITS) // CHUNKS), np.uint8)
+    for row in summed.toLocalIterator():
+        out[row.chunk] = np.frombuffer(row.counts, np.uint8)
     return out.reshape(-1)
 
 
