@@ -393,6 +393,26 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+class Index:
+    """Finds keys that are all in a sorted table: by one hashed slot, the few that share a slot by search."""
+
+    BITS = 22
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.slots = np.zeros(1 << self.BITS, np.int32)
+        self.slots[self._slot(table)] = np.arange(len(table), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(keys)]
+        other = np.flatnonzero(self.table[at] != keys)
+        at[other] = np.searchsorted(self.table, keys[other])
+        return at
+
+
 def predict(model, low, keys: np.ndarray) -> np.ndarray:
     """Probability of the last byte of each key, averaged over the seatings."""
     tables, sampled = model if model else ([], [[]] * len(low))
@@ -478,6 +498,7 @@ def _scores(parts: DataFrame, answers: DataFrame, n: int, v: int, docs_taught: i
             return k[order], x[order]
 
         sequences, logs = in_order(sequences, logs)
+        place = Index(sequences)
         words, counts = in_order(words, counts)
         under = math.log10(n + 0.1 * (v + 1))
         end = math.log10(docs_taught + 0.1) - under
@@ -490,7 +511,7 @@ def _scores(parts: DataFrame, answers: DataFrame, n: int, v: int, docs_taught: i
                 size += len(texts[at]) + 1
                 at += 1
             chunk = [t + b"\n" for t in texts[some:at]]
-            found = logs[find(sequences, ngrams(chunk))[0]].astype(np.float64)
+            found = logs[place(ngrams(chunk))].astype(np.float64)
             starts = np.concatenate([[0], np.cumsum([len(t) for t in chunk])[:-1]])
             score = np.add.reduceat(found, starts)
             for i, text in enumerate(chunk):
