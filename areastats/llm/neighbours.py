@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from areastats.llm.common import Scratch, components
 
-BLOCK_DIMS = 8
-GRID_DIMS = 3
+BLOCK_DIMS = 16
+GRID_DIMS = 2
 SEED = 11
 #: Members of a cell that one task compares with as many others.
 GROUP = 1024
@@ -41,16 +41,23 @@ def rotation(dims: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def turn(x: np.ndarray) -> np.ndarray:
+    """Rotated unit vectors; a row's result does not depend on the rows beside it."""
+    scaled = x / np.abs(x).max(1, keepdims=True)
+    unit = scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+    return np.einsum("ij,kj->ik", unit, rotation(x.shape[1]))
+
+
 def blocks(dims: int) -> list[slice]:
     return [slice(i, min(i + BLOCK_DIMS, dims)) for i in range(0, dims, BLOCK_DIMS)]
 
 
 def cells(part: np.ndarray, radius: float) -> Iterator[tuple[int, tuple, bool]]:
-    """(row, cell, at home) for the rows of one block: its cell, and smaller cells within its radius."""
+    """(row, cell, at home) for the rows of one block: its cell (two radii wide), and smaller cells within its radius."""
     from itertools import product
 
     g = min(GRID_DIMS, part.shape[1])
-    scaled = part[:, :g] / radius
+    scaled = part[:, :g] / (2 * radius)
     home = np.floor(scaled).astype(np.int64)
     frac = scaled - home
     for i in range(len(part)):
@@ -62,7 +69,7 @@ def cells(part: np.ndarray, radius: float) -> Iterator[tuple[int, tuple, bool]]:
         reach = np.zeros(len(part))
         for j, s in enumerate(step):
             reach += (frac[:, j] if s < 0 else 1 - frac[:, j] if s > 0 else 0.0) ** 2
-        for i in np.flatnonzero(reach <= slack):
+        for i in np.flatnonzero(reach <= slack / 4):
             yield i, tuple(home[i] + np.array(step)), False
 
 
@@ -72,14 +79,12 @@ def _spread(vectors: DataFrame, budget: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["label", "dims", "cell", "block", "home", "rep", "n", "vector", "turned"]
+        names = ["label", "dims", "cell", "block", "home", "rep", "n", "vector"]
         for batch in batches:
             pdf = batch.to_pandas()
             for dims, part in pdf.groupby("dims"):
                 x = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True)
-                unit /= np.abs(x).max(1, keepdims=True)
-                turned = unit @ rotation(dims).T
+                turned = turn(x)
                 labels, reps, n, raw = part["label"].to_numpy(), part["rep"].to_numpy(), part["n"].to_numpy(), part["vector"].to_numpy()
                 for b, where in enumerate(blocks(dims)):
                     radius = (budget * (where.stop - where.start) / dims * (1 + SLACK)) ** 0.5
@@ -98,12 +103,11 @@ def _spread(vectors: DataFrame, budget: float) -> DataFrame:
                                 pa.array(reps[s], pa.int64()),
                                 pa.array(n[s], pa.int64()),
                                 pa.array([np.asarray(raw[i], np.float64).tobytes() for i in s], pa.binary()),
-                                pa.array([turned[i].tobytes() for i in s], pa.binary()),
                             ],
                             names,
                         )
 
-    schema = "label long, dims int, cell long, block int, home boolean, rep long, n long, vector binary, turned binary"
+    schema = "label long, dims int, cell long, block int, home boolean, rep long, n long, vector binary"
     return vectors.mapInArrow(run, schema)
 
 
@@ -113,7 +117,7 @@ def _join_cell(cosine: float, budget: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dims, block = int(pdf["dims"].iloc[0]), int(pdf["block"].iloc[0])
         x = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(-1, dims)
-        t = np.frombuffer(b"".join(pdf["turned"]), np.float64).reshape(-1, dims)
+        t = turn(x)
         home, group = pdf["home"].to_numpy(), pdf["grp"].to_numpy()
         rep, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
