@@ -233,6 +233,34 @@ def _laid_out(column, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return sets, sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parities of the set's shingles by 1024 slots: two sets differ in at least as many shingles as slots."""
+    slots = np.bincount(((s >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024)
+    return np.packbits((slots & 1).astype(bool)).tobytes()
+
+
+def _sift(num: int, den: int):
+    """For one square of a region: members that sizes, signatures and pivot distances leave a partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, outside = table.column("a").to_numpy(), table.column("x").to_numpy(zero_copy_only=False)
+        n, d = table.column("n").to_numpy(), table.column("d").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(names), -1)
+        xs, ys = np.flatnonzero(outside), np.flatnonzero(~outside)
+        keep = np.zeros(len(names), bool)
+        for i in xs:
+            differ = np.bitwise_count(bits[ys] ^ bits[i]).sum(1)
+            near = (np.abs(d[ys] - d[i]) <= 1 - num / den + 1e-9) & (names[ys] != names[i])
+            near &= den * np.minimum(n[ys], n[i]) >= num * np.maximum(n[ys], n[i])
+            near &= (den + num) * differ <= (den - num) * (n[ys] + n[i])
+            if near.any():
+                keep[i] = True
+                keep[ys[near]] = True
+        return table.filter(pa.array(keep)).select(["p", "gx", "gy", "a", "linked", "d", "x"])
+
+    return run
+
+
 def _compare_with_pivot(width: int, num: int, den: int):
     """For a pivot and one group of its members: each member's exact distance and whether it is linked."""
 
@@ -244,8 +272,9 @@ def _compare_with_pivot(width: int, num: int, den: int):
         common = _overlaps(sets[at], flat, owner, len(sets))
         union = sizes + sizes[at] - common
         keep = np.arange(len(sets)) != at
-        columns = [np.full(keep.sum(), p), names[keep], (den * common >= num * union)[keep], (1 - common / union)[keep]]
-        return pa.table(columns, ["p", "a", "linked", "d"])
+        columns = [np.full(keep.sum(), p), names[keep], (den * common >= num * union)[keep], (1 - common / union)[keep], sizes[keep]]
+        signs = pa.array([signature(x) for x, k in zip(sets, keep) if k], pa.binary())
+        return pa.table([*columns, signs], ["p", "a", "linked", "d", "n", "sig"])
 
     return run
 
@@ -320,15 +349,19 @@ def jaccard_classes(
     starred = rows.join(sizes, "p").select("p", "a", group("a", "k").alias("g"))
     pivots = starred.select("p", F.col("p").alias("a"), "g").distinct()
     starred = starred.unionByName(pivots).join(sets, "a").groupBy("p", "g")
-    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(width, num, den), "p long, a long, linked boolean, d double"), "checked")
+    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(width, num, den), "p long, a long, linked boolean, d double, n long, sig binary"), "checked")
 
     # What is left of each region: members outside the cell, against all its members, in squares of groups.
     open_ = checked.groupBy("p").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND k > 1")
     left = checked.join(open_, "p")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.ceil(F.col(k) / GROUP).cast("int") - 1))
-    xs = left.where("NOT linked").select("p", "a", "linked", "d", F.lit(True).alias("x"), group("a", "o").alias("gx"), every("k").alias("gy"))
-    ys = left.select("p", "a", "linked", "d", F.lit(False).alias("x"), every("o").alias("gx"), group("a", "k").alias("gy"))
-    rest = xs.unionByName(ys).join(sets, "a").groupBy("p", "gx", "gy").applyInArrow(_compare_rest(width, num, den), "u long, v long")
+    xs = left.where("NOT linked").select("p", "a", "linked", "d", "n", "sig", F.lit(True).alias("x"), group("a", "o").alias("gx"), every("k").alias("gy"))
+    ys = left.select("p", "a", "linked", "d", "n", "sig", F.lit(False).alias("x"), every("o").alias("gx"), group("a", "k").alias("gy"))
+    tile = ["p", "gx", "gy"]
+    sifted = xs.unionByName(ys).groupBy(*tile).applyInArrow(
+        _sift(num, den), "p long, gx int, gy int, a long, linked boolean, d double, x boolean"
+    )
+    rest = scratch.store(sifted, "sifted").join(sets, "a").groupBy(*tile).applyInArrow(_compare_rest(width, num, den), "u long, v long")
     edges = checked.where("linked").select(F.col("p").alias("x"), F.col("a").alias("y")).unionByName(
         rest.select(F.col("u").alias("x"), F.col("v").alias("y"))
     )
