@@ -80,11 +80,11 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
         )
-        counters, pending, held = np.zeros(1 << COUNTER_BITS, np.uint32), [], 0
+        counters, pending, held = np.zeros(1 << COUNTER_BITS, np.uint8), [], 0
 
         def count():
             some, times = np.unique(np.concatenate(pending), return_counts=True)
-            counters[some] += times.astype(np.uint32)
+            counters[some] = np.minimum(counters[some] + times, 255)
 
         for batch in batches:
             n, a = [], []
@@ -94,7 +94,7 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
                 a.append(fingerprint(s))
                 pending.append(buckets(s))
                 held += len(s)
-                if held > 2_000_000:
+                if held > 500_000:
                     count()
                     pending, held = [], 0
             none = pa.nulls(len(n))
@@ -102,7 +102,7 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
         if pending:
             count()
-        parts = np.minimum(counters, 255).astype(np.uint8).reshape(CHUNKS, -1)
+        parts = counters.reshape(CHUNKS, -1)
         pack = zstandard.ZstdCompressor(level=1)
         some = [i for i in range(CHUNKS) if parts[i].any()]
         none = pa.nulls(len(some)).cast(pa.int64())
@@ -187,7 +187,7 @@ def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
     """Names of the sets in the bitmap, each with a text that has the set: a third of the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, seen = np.unpackbits(bits.value).astype(bool), set()
+        sieve, seen = np.frombuffer(bits.value, np.uint8), set()
         pack = zstandard.ZstdCompressor(level=3)
         schema = pa.schema([("a", pa.int64()), ("members", pa.binary())])
         for batch in batches:
@@ -196,7 +196,8 @@ def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
                 text = body.as_py()
                 s = shingles(text, width)
                 a = fingerprint(s)
-                if len(s) and a not in seen and sieve[a & ((1 << NEEDED_BITS) - 1)]:
+                slot = a & ((1 << NEEDED_BITS) - 1)
+                if len(s) and a not in seen and sieve[slot >> 3] >> (7 - (slot & 7)) & 1:
                     seen.add(a)
                     names.append(a)
                     sets.append(pack.compress(text.encode("utf-8", "surrogatepass")))
