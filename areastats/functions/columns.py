@@ -139,9 +139,15 @@ def mercator_y(lat: str | Column) -> Column:
 def log_cell(c: str | Column, per_unit: int = 1024) -> Column:
     """Integer cell of a number; a larger number never falls in a lower cell.
 
-    The cell width grows with the magnitude, so the number of cells is bounded
-    (about 710 * per_unit on either side of zero) whatever the data looks like.
+    A cell is as wide as a fixed part of the numbers in it, for small numbers as for large ones.
+    The logarithms of doubles lie between -745 and 710, so there are at most 1,455 * per_unit
+    cells on either side of zero; zero and the two infinities have cells of their own.
     """
     c = as_column(c)
-    size = F.floor(F.log1p(F.abs(c)) * per_unit).cast("int")
-    return F.when(c < 0, -size).otherwise(size)
+    size = F.abs(c)
+    cell = (
+        F.when(size == 0, F.lit(0))
+        .when(size == float("inf"), F.lit(1500 * per_unit))
+        .otherwise(F.floor((F.log(size) + 746) * per_unit).cast("int"))
+    )
+    return F.when(c < 0, -cell).otherwise(cell)

@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areastats.functions import log_cell
+from areastats.sources import materialise
 
 SUBCELLS = 1024
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
 def to_long(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Columns to rows (ids, metric, value); missing values are left out."""
+    """Columns to rows (ids, metric, value); missing values (NULL or NaN) are left out."""
     typed = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
-    return typed.unpivot(list(ids), list(cols), "metric", "value").where(F.col("value").isNotNull())
+    return typed.unpivot(list(ids), list(cols), "metric", "value").where("value IS NOT NULL AND NOT isnan(value)")
 
 
 def quantile_name(p: float) -> str:
@@ -89,12 +90,9 @@ def exact_quantiles(
     wanted = cells.where(f"size({_hits(probs, 'before', 'before + n')}) > 0").drop("n")
 
     # 2. Look again at the numbers of these cells only. Without groups there are at
-    #    most 2 * len(probs) cells per column, so this side is safe to broadcast.
-    if by:
-        counted = vals.groupBy(*keys, "cell", "value").agg(F.count(F.lit(1)).alias("n"))
-        inside = counted.join(wanted, [*keys, "cell"])
-    else:
-        inside = vals.join(F.broadcast(wanted), [*keys, "cell"]).withColumn("n", F.lit(1))
+    #    most 2 * len(probs) cells per column, so this side is safe to broadcast; with
+    #    groups Spark measures it. Either way numbers are left out before they are counted.
+    inside = vals.join(wanted if by else F.broadcast(wanted), [*keys, "cell"]).withColumn("n", F.lit(1))
     figures = [F.sum("n").alias("n"), F.max("before").alias("before"), F.max("total").alias("total")]
     values = (
         inside.withColumn("sub", F.expr(_subcell("value", "low", "high")))
@@ -127,41 +125,27 @@ def exact_quantiles(
     for i, (p, name) in enumerate(zip(probs, names)):
         at = f"{float(p)!r}D * (n - 1)"
         low, high = f"_v{2 * i}", f"_v{2 * i + 1}"
-        out.append(F.expr(f"{low} + ({high} - {low}) * ({at} - floor({at}))").alias(name))
+        out.append(F.expr(f"CASE WHEN {low} = {high} THEN {low} ELSE {low} + ({high} - {low}) * ({at} - floor({at})) END").alias(name))
     return picked.select(*keys, "n", *out)
 
 
 def rank_rows(df: DataFrame, col: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Add `rank` (0, 1, 2, ...) by ascending `col`; rows without a value are left out.
+    """Add `rank` (0, 1, 2, ...) by ascending `col`; rows without a value (NULL or NaN) are left out.
 
-    Equal values are ordered by hash of `ties`, then by `ties`. The work is split
-    by cells; a cell that holds one repeated value is split by that hash instead.
+    Equal values are ordered by hash of `ties`, then by `ties`. The rows are cut into ranges
+    of (value, hash), so a value that many rows share is cut as well, and written once: the
+    counts per range and the ranks inside them must come from the same cut. Rows equal in
+    value and in all of `ties` stay in one range.
     """
     ties = list(ties) or df.columns
-    rows = (
-        df.where(F.col(col).isNotNull())
-        .withColumn("_v", F.col(col).cast("double"))
-        .withColumn("_cell", log_cell("_v"))
-    )
-    rows = rows.withColumn("_tie", F.xxhash64(*ties))
-    cells = rows.groupBy("_cell").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-    )
-    # Unpartitioned, but over counts: one row per cell, and their number is bounded.
-    cells = cells.withColumn("_before", F.sum("_n").over(Window.orderBy("_cell").rowsBetween(*RUNNING)) - F.col("_n"))
-    # The high bits of the hash keep its order, so the sub-cells of ties are ordered too.
-    by_hash = (F.shiftright("_tie", 54) + SUBCELLS // 2).cast("int")
-    rows = rows.join(cells.drop("_n"), "_cell").withColumn(
-        "_sub",
-        F.when(F.col("_high") > F.col("_low"), F.expr(_subcell("_v", "_low", "_high"))).otherwise(by_hash),
-    )
-    subs = rows.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("_m"))
-    subs = subs.withColumn(
-        "_sub_before",
-        F.sum("_m").over(Window.partitionBy("_cell").orderBy("_sub").rowsBetween(*RUNNING)) - F.col("_m"),
-    ).drop("_m")
-    inside = F.row_number().over(Window.partitionBy("_cell", "_sub").orderBy("_v", "_tie", *ties))
-    ranked = rows.join(subs, ["_cell", "_sub"]).withColumn("_row", inside)
-    return ranked.withColumn("rank", F.col("_before") + F.col("_sub_before") + F.col("_row") - 1).select(
-        *df.columns, "rank"
-    )
+    spark = df.sparkSession
+    rows = df.withColumn("_v", F.col(col).cast("double")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.withColumn("_tie", F.xxhash64(*ties)).repartitionByRange(parts, "_v", "_tie")
+    ranges = materialise(ranges.withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # Unpartitioned, but over one row per range.
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(*RUNNING)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_v", "_tie", *ties))
+    ranked = ranges.withColumn("_row", inside).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_row") - 1).alias("rank"))

@@ -42,10 +42,12 @@ def group_sums(
 def group_means(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str] | Mapping[str, str], drop_null_keys: bool = True
 ) -> DataFrame:
-    """Means per group; a mapping renames: {source column: result column}."""
+    """Means per group, NaN counting as missing; a mapping renames: {source column: result column}."""
     names = cols if isinstance(cols, Mapping) else {c: c for c in cols}
     rows = with_keys(df, keys) if drop_null_keys else df
-    return rows.groupBy(*keys).agg(*[F.avg(c).alias(new) for c, new in names.items()])
+    fractional = {c for c, t in df.dtypes if t in ("double", "float")}
+    known = {c: F.when(~F.isnan(c), F.col(c)) if c in fractional else F.col(c) for c in names}
+    return rows.groupBy(*keys).agg(*[F.avg(known[c]).alias(new) for c, new in names.items()])
 
 
 def collapse(

@@ -6,11 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 FORMATS = ("csv", "parquet", "json")
+# Texts that stand for a missing field.
+MISSING = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def read_table(
@@ -18,13 +23,16 @@ def read_table(
     path: str | Sequence[str],
     schema: StructType | str | None = None,
     fmt: str = "csv",
+    missing: Sequence[str] = MISSING,
     **options,
 ) -> DataFrame:
     """Read a table with a stated schema.
 
     CSV needs the schema: an inferred one costs a pass over the data and turns codes
     such as '01' into numbers. CSV columns are found by their header, whatever their
-    order; columns not in the schema are left unread, and an empty field is NULL.
+    order; columns not in the schema are left unread. An empty field and a text of
+    `missing` are NULL. The files of one folder must have the same header: a file with
+    another one is an error, never a mix-up of columns.
     """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}")
@@ -34,8 +42,13 @@ def read_table(
     if schema is None:
         raise ValueError("a CSV table needs a schema")
     fields = (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
-    texts = reader.option("header", True).csv(path)
-    return texts.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+    texts = reader.option("header", True).option("enforceSchema", False).csv(path)
+
+    def known(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.when(~c.isin(*missing), c) if missing else c
+
+    return texts.select(*[known(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def write_table(

@@ -282,6 +282,25 @@ def csv_round_trip(spark, d):
     return read_table(spark, path, _CSV_SCHEMA)
 
 
+@query(
+    "csv_missing_markers",
+    """SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS code, c_name AS name, nullif(c_mktsegment, 'BUILDING') AS seg,
+       CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer""",
+)
+def csv_missing_markers(spark, d):
+    """Texts such as NA and NaN in a file stand for missing fields, in text and number columns."""
+    rows = table(spark, d, "customer").select(
+        pad_code("c_custkey", 9).alias("code"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "N/A").otherwise(F.col("c_mktsegment")).alias("seg"),
+        F.when(F.col("c_acctbal") < -500, "NA").when(F.col("c_acctbal") < 0, "NaN")
+        .otherwise(F.col("c_acctbal").cast("string")).alias("balance"),
+    )
+    path = scratch_path(spark, "csv")
+    write_table(rows, path, "csv")
+    return read_table(spark, path, _CSV_SCHEMA)
+
+
 @query(
     "size_totals_by_region",
     with_areas(f"SELECT reg, {', '.join(f'CAST(sum({s}) AS BIGINT) AS {s}' for s in SIZES)} FROM simple GROUP BY reg"),

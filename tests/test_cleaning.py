@@ -78,6 +78,19 @@ def test_csv_by_header(spark, tmp_path):
         read_table(spark, str(path))
 
 
+def test_csv_missing_markers_and_differing_headers(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("code,b\nNA,NaN\n02,N/A\n03,1.5\n")
+    assert rows(read_table(spark, str(tmp_path / "m.csv"), "code string, b double")) == [("02", None), ("03", 1.5), (None, None)]
+    kept = read_table(spark, str(tmp_path / "m.csv"), "code string", missing=())
+    assert rows(kept) == [("02",), ("03",), ("NA",)]
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("code,area\n01,X\n")
+    (folder / "b.csv").write_text("area,code\nY,02\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(folder), "code string, area string").collect()
+
+
 def test_write_and_materialise(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     for fmt in ("csv", "parquet", "json"):

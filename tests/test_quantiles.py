@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from areastats.functions import log_cell
 from areastats.operators import bands as b
 from areastats.operators.quantiles import exact_quantiles, quantile_name, rank_rows
 
@@ -53,6 +54,30 @@ def test_quantiles_by_group_and_with_gaps(spark):
         assert (r["n"], r["q25"], r["q50"]) == (len(v), v.quantile(0.25), v.quantile(0.5))
 
 
+def test_missing_and_infinite_values(spark):
+    df = spark.createDataFrame([(v,) for v in [5.0, 6.0, 7.0, 8.0, float("nan"), float("nan"), None]], "v double")
+    assert exact_quantiles(df, ["v"]).first()[1:] == (4, 5.75, 6.5, 7.25)
+    assert [r["rank"] for r in rank_rows(df, "v").orderBy("v").collect()] == [0, 1, 2, 3]
+    inf = float("inf")
+    df = spark.createDataFrame([(v,) for v in [-inf, -inf, -1.0, 0.0, 1.0, inf, inf]], "v double")
+    assert exact_quantiles(df, ["v"], [0, 0.5, 1]).first()[2:] == (-inf, 0.0, inf)
+
+
+def test_small_values_fall_in_many_cells(spark):
+    df = frame(spark, np.r_[RNG.uniform(0, 1e-6, 20000), 9e-4, -9e-4])
+    top = df.groupBy(log_cell("v")).count().agg(F.max("count")).first()[0]
+    assert top < 200
+
+
+def test_a_repeated_value_beside_others_is_cut(spark):
+    df = frame(spark, np.r_[np.full(9990, 20000.0), np.full(10, 20001.0)])
+    got = rank_rows(df, "v", ["id"])
+    assert [r[0] for r in got.select("rank").orderBy("rank").collect()] == list(range(10000))
+    assert got.where("v = 20001").agg(F.min("rank")).first()[0] == 9990
+    parts = df.withColumn("t", F.xxhash64("id")).repartitionByRange(8, "v", "t").groupBy(F.spark_partition_id()).count()
+    assert parts.agg(F.max("count")).first()[0] < 3000
+
+
 def test_quantiles_do_not_depend_on_partitioning(spark):
     df = frame(spark, SHAPES["normal"])
     assert rows(exact_quantiles(df, ["v"])) == rows(exact_quantiles(df.repartition(7), ["v"]))
