@@ -18,16 +18,20 @@ from pyspark.sql import functions as F
 
 from areastats.operators.features import Scaling, assemble, vector_names
 
-# The normal equations need a features x features matrix on the driver.
+# The normal equations need a features x features matrix on the driver; Spark's own limit.
 NORMAL_SOLVER_LIMIT = 4096
+# As deep as Spark grows a tree.
+DEEPEST = 30
 
 
 @dataclass(frozen=True)
 class ModelSpec:
     """One row of a leader-board: a name, a kind of model and its settings.
 
-    Kinds: linear, ridge (alpha), tree (max_depth), forest (trees, max_depth),
-    boosted (rounds, max_depth, step). Tree kinds also take `bins`.
+    Kinds: linear (solver), ridge (alpha, solver), tree (max_depth), forest (trees, max_depth),
+    boosted (rounds, max_depth, step). Tree kinds also take `bins`. Trees and forests grow as
+    deep as Spark can (30 levels) unless `max_depth` says otherwise; `solver` is "normal" (exact,
+    at most 4096 features) unless "l-bfgs" is asked for.
     `scaled` asks for standardised inputs, `without` leaves columns out.
     """
 
@@ -38,8 +42,9 @@ class ModelSpec:
     without: tuple[str, ...] = ()
 
 
-def _linear(train: DataFrame, n_features: int, label: str, **extra) -> LinearRegression:
-    solver = "normal" if n_features <= NORMAL_SOLVER_LIMIT else "l-bfgs"
+def _linear(n_features: int, label: str, solver: str, **extra) -> LinearRegression:
+    if solver == "normal" and n_features > NORMAL_SOLVER_LIMIT:
+        raise ValueError(f"{n_features} features: the normal solver takes {NORMAL_SOLVER_LIMIT}, set solver to 'l-bfgs'")
     return LinearRegression(labelCol=label, solver=solver, standardization=False, **extra)
 
 
@@ -59,18 +64,18 @@ def fit_model(
     s = dict(spec.settings)
     n_features = len(vector_names(train, features))
     if spec.kind == "linear":
-        est = _linear(train, n_features, label, regParam=0.0)
+        est = _linear(n_features, label, s.pop("solver", "normal"), regParam=0.0)
     elif spec.kind == "ridge":
         penalty = _ridge_penalty(train, label, s.pop("alpha", 1e-4))
-        est = _linear(train, n_features, label, regParam=penalty, elasticNetParam=0.0)
+        est = _linear(n_features, label, s.pop("solver", "normal"), regParam=penalty, elasticNetParam=0.0)
     elif spec.kind == "tree":
-        est = DecisionTreeRegressor(labelCol=label, seed=seed, maxDepth=s.pop("max_depth", 10), **_bins(s))
+        est = DecisionTreeRegressor(labelCol=label, seed=seed, maxDepth=s.pop("max_depth", DEEPEST), **_bins(s))
     elif spec.kind == "forest":
         est = RandomForestRegressor(
             labelCol=label,
             seed=seed,
             numTrees=s.pop("trees", 100),
-            maxDepth=s.pop("max_depth", 10),
+            maxDepth=s.pop("max_depth", DEEPEST),
             featureSubsetStrategy="all",
             **_bins(s),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce as fold
@@ -111,29 +112,42 @@ def distortion(df: DataFrame, cols: Sequence[str], centres: Sequence[Sequence[fl
 
 
 def _best_models(
-    df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int, seed: int, parallel: int
+    df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int, seed: int, parallel: int, max_iter: int
 ) -> dict[int, KMeansModel]:
-    """For each k the best of `n_init` starts; the fits share one cached table and run side by side."""
+    """For each k the best of `n_init` starts; the fits share one cached table and run side by side.
+
+    A best fit that still moved after `max_iter` rounds is reported as a warning.
+    """
     data = assemble(df.select(*cols), cols).select("features").persist()
 
     def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
         k, start = job
-        est = KMeans(k=k, seed=seed + start, maxIter=100, featuresCol="features", predictionCol="cluster")
+        est = KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
         return k, est.fit(data)
 
     try:
         with ThreadPool(parallel) as pool:
             fitted = pool.map(fit, [(k, i) for k in ks for i in range(n_init)], chunksize=1)
-        return {k: min((m for j, m in fitted if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
+        best = {k: min((m for j, m in fitted if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
+        for k, model in best.items():
+            if model.summary.numIter >= max_iter:
+                warnings.warn(f"{k} clusters: still moving after {max_iter} rounds", stacklevel=2)
+        return best
     finally:
         data.unpersist()
 
 
 def fit_clusters(
-    df: DataFrame, cols: Sequence[str], k: int = 4, n_init: int = 10, seed: int = 42, parallel: int = 8
+    df: DataFrame,
+    cols: Sequence[str],
+    k: int = 4,
+    n_init: int = 10,
+    seed: int = 42,
+    parallel: int = 8,
+    max_iter: int = 300,
 ) -> KMeansModel:
     """K-means: the best of `n_init` starts, by total squared distance."""
-    return _best_models(df, cols, [k], n_init, seed, parallel)[k]
+    return _best_models(df, cols, [k], n_init, seed, parallel, max_iter)[k]
 
 
 def sorted_centres(model: KMeansModel) -> list[list[float]]:
@@ -148,9 +162,10 @@ def elbow(
     n_init: int = 10,
     seed: int = 42,
     parallel: int = 8,
+    max_iter: int = 300,
 ) -> DataFrame:
     """Mean distance to the nearest centre for each number of clusters, in one pass over the rows."""
-    models = _best_models(df, cols, ks, n_init, seed, parallel)
+    models = _best_models(df, cols, ks, n_init, seed, parallel, max_iter)
     centres = {k: sorted_centres(m) for k, m in models.items()}
     row = df.agg(*[F.avg(F.least(*[_distance(cols, c) for c in centres[k]])).alias(str(k)) for k in ks])
     return row.unpivot([], [str(k) for k in ks], "k", "distortion").withColumn("k", F.col("k").cast("int"))

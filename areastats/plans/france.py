@@ -64,7 +64,9 @@ RATES = {
     "SNHMHE14": "employee_m",
     "SNHMHO14": "worker_m",
 }
-AGE_RATES = ["SNHM1814", "SNHM2614", "SNHM5014"] + [f"SNHM{s}{a}14" for s in "FH" for a in (18, 26, 50)]
+AGE_RATES = [
+    "SNHM1814", "SNHM2614", "SNHM5014", "SNHMF1814", "SNHMF2614", "SNHMF5014", "SNHMH1814", "SNHMH2614", "SNHMH5014",
+]
 
 POPULATION_SCHEMA = "NIVGEO string, CODGEO string, LIBGEO string, MOCO string, AGEQ80_17 int, SEXE int, NB double"
 GEOGRAPHY_SCHEMA = (
@@ -102,6 +104,7 @@ COLUMNS = ReportColumns(
     sizes=list(SIZES),
     large="large",
     rate_limits={"worker_m": 50},
+    band_pairs=list(zip(_MEN, _WOMEN)),
 )
 
 

@@ -13,8 +13,8 @@ from areastats.operators import cleaning, features, models
 from areastats.operators.models import ModelSpec
 from areastats.sources import materialise
 
-# Every configuration has its own name. Trees are as deep as Spark's histograms make
-# sensible (10), where "depth_3" does not say otherwise.
+# Every configuration has its own name. Trees grow to Spark's limit of 30 levels where
+# "depth_3" does not say otherwise.
 NUMERIC_MODELS = (
     ModelSpec("linear", "linear"),
     ModelSpec("tree_depth_3", "tree", {"max_depth": 3}, scaled=False, without=("pop",)),

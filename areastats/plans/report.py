@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areastats.operators import bands, cleaning, geo, joins, models, stats
+from areastats.operators import bands, cleaning, geo, models, stats
 from areastats.operators.models import ModelSpec
 from areastats.plans import clusters, leaderboard
 from areastats.plans.profile import (
@@ -36,6 +36,7 @@ class ReportColumns:
     large: str
     total: str = "firms"
     rate_limits: Mapping[str, float] = field(default_factory=dict)
+    band_pairs: Sequence[tuple[str, str]] = ()
 
     @property
     def numeric(self) -> list[str]:
@@ -125,6 +126,29 @@ def wages_section(p: Prepared, cols: ReportColumns) -> dict[str, DataFrame]:
     return out
 
 
+def unmatched_bands(banded: DataFrame, pairs: Sequence[tuple[str, str]], keys: Sequence[str]) -> DataFrame:
+    """Per pair of columns the rows that have a band in one of the two only, in one pass.
+
+    Both bands stand in the same row, so no join is needed: pair, keys..., metric, band, presence.
+    """
+    if not pairs:
+        raise ValueError("state the pairs of columns to compare")
+    sides = F.array(
+        *[
+            F.struct(
+                F.lit(f"{x}/{y}").alias("pair"),
+                F.when(F.col(f"{y}_band").isNull(), F.lit(x)).otherwise(F.lit(y)).alias("metric"),
+                F.coalesce(f"{x}_band", f"{y}_band").alias("band"),
+                F.when(F.col(f"{y}_band").isNull(), "left_only").otherwise("right_only").alias("presence"),
+                (F.col(f"{x}_band").isNull() != F.col(f"{y}_band").isNull()).alias("alone"),
+            )
+            for x, y in pairs
+        ]
+    )
+    listed = banded.select(*keys, F.explode(sides).alias("side"))
+    return listed.where("side.alone").select("side.pair", *keys, "side.metric", "side.band", "side.presence")
+
+
 def band_section(
     p: Prepared,
     cols: ReportColumns,
@@ -142,12 +166,11 @@ def band_section(
     banded = materialise(bands.quantile_bands(areas, rates).select(*ids, *labels), "bands")
     complete = bands.complete_bands(banded, rates)
     report = clusters.department_report(banded, "dep", rates, k=k, n_init=n_init)
-    listed = [bands.band_list(banded, [c], ["area", "dep", "reg_name"]) for c in rates[:2]]
     out = {
         "quartiles": bands.quantile_table(areas, rates),
         "bands": complete,
         "bands_described": stats.describe_categories(complete, labels),
-        "bands_unmatched": joins.unmatched(*listed, ["area", "dep", "reg_name"]),
+        "bands_unmatched": unmatched_bands(banded, cols.band_pairs, ["area", "dep", "reg_name"]),
         "band_gap": stats.sort_rows(bands.band_gap(areas, "reg_name", *cols.gap_rates), "gap_pct", ties=["reg_name"]),
         "department_profile": report.profile,
         "explained_variance": report.components.variance(),

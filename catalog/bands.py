@@ -10,7 +10,7 @@ from catalog.areas import RATES, areas, with_areas
 from catalog.registry import query, rounded, rsql, table
 from catalog.stats import long_sql
 
-COLS = RATES[:4]
+COLS = RATES
 
 
 def _cuts(cols):
@@ -83,13 +83,13 @@ def quantile_bands(spark, d):
 @query(
     "bands_by_region",
     with_areas(
-        f"SELECT area, reg, {', '.join(f'{_band(c)} AS {c}_band' for c in COLS[:2])} FROM simple JOIN cuts USING (reg)",
-        _cuts(COLS[:2]).replace("(SELECT ", "(SELECT reg, ", 1).replace("FROM simple", "FROM simple GROUP BY reg"),
+        f"SELECT area, reg, {', '.join(f'{_band(c)} AS {c}_band' for c in COLS)} FROM simple JOIN cuts USING (reg)",
+        _cuts(COLS).replace("(SELECT ", "(SELECT reg, ", 1).replace("FROM simple", "FROM simple GROUP BY reg"),
     ),
 )
 def bands_by_region(spark, d):
-    banded = b.quantile_bands(area_rates(spark, d), COLS[:2], by=["reg"])
-    return banded.select("area", "reg", *[f"{c}_band" for c in COLS[:2]])
+    banded = b.quantile_bands(area_rates(spark, d), COLS, by=["reg"])
+    return banded.select("area", "reg", *[f"{c}_band" for c in COLS])
 
 
 @query(
@@ -127,7 +127,7 @@ def band_counts(spark, d):
            FROM (SELECT rate_a_f_band AS x, rate_a_o_band AS y FROM banded WHERE rate_a_f_band IS NOT NULL OR rate_a_o_band IS NOT NULL)
            GROUP BY ALL""",
         _cuts(COLS),
-        _banded(["rate_a_f", "rate_n_f", "rate_r_f", "rate_a_o"]),
+        _banded(COLS),
     ),
 )
 def band_presence(spark, d):

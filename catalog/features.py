@@ -19,14 +19,14 @@ def hash_split(spark, d):
     "standardise",
     with_areas(
         "SELECT area, split, "
-        + rsql({c: f"({c} - avg({c}) FILTER (WHERE split = 'train') OVER ()) / stddev_pop({c}) FILTER (WHERE split = 'train') OVER ()" for c in RATES[:3]})
+        + rsql({c: f"({c} - avg({c}) FILTER (WHERE split = 'train') OVER ()) / stddev_pop({c}) FILTER (WHERE split = 'train') OVER ()" for c in RATES})
         + ", constant FROM s",
         f"s AS (SELECT *, {SPLIT_SQL.format(key='CAST(area AS VARCHAR)')} AS split, CAST(0 AS DOUBLE) AS constant FROM simple)",
     ),
 )
 def standardise(spark, d):
     rows = f.hash_split(areas(spark, d).withColumn("constant", F.lit(5.0)), "area")
-    cols = [*RATES[:3], "constant"]
+    cols = [*RATES, "constant"]
     scaled = f.standard_scaling(rows.where(F.col("split") == "train"), cols).apply(rows)
     return rounded(scaled.select("area", "split", *cols))
 
@@ -35,13 +35,13 @@ def standardise(spark, d):
     "minmax",
     with_areas(
         "SELECT area, "
-        + rsql({c: f"(CAST({c} AS DOUBLE) - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())" for c in [*RATES[:2], *SIZES]})
+        + rsql({c: f"(CAST({c} AS DOUBLE) - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ())" for c in [*RATES, *SIZES]})
         + ", CAST(0 AS DOUBLE) AS constant FROM simple"
     ),
 )
 def minmax(spark, d):
     rows = areas(spark, d).withColumn("constant", F.lit(5.0))
-    cols = [*RATES[:2], *SIZES, "constant"]
+    cols = [*RATES, *SIZES, "constant"]
     return rounded(f.minmax_scaling(rows, cols).apply(rows).select("area", *cols))
 
 

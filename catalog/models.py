@@ -152,16 +152,16 @@ def boosted_stumps(spark, d):
 
 # -- tree models: results depend on the split search, so only their shape is checked ----
 
-_SMALL = {
+_TREES = {
     "tree": ModelSpec("tree", "tree", {"max_depth": 3}, scaled=False, without=("pop",)),
-    "forest": ModelSpec("forest", "forest", {"trees": 20, "max_depth": 5}, scaled=False),
-    "boosted": ModelSpec("boosted", "boosted", {"rounds": 20, "max_depth": 3}),
+    "forest": ModelSpec("forest", "forest", scaled=False),
+    "boosted": ModelSpec("boosted", "boosted"),
 }
 
 
 def _importance(spark, d, kind):
     rows = prepare(areas(spark, d), ["area"], "rate_all", NUMERIC)
-    fitted = fit_variant(rows, ["area"], "rate_all", NUMERIC, (), [_SMALL[kind]])
+    fitted = fit_variant(rows, ["area"], "rate_all", NUMERIC, (), [_TREES[kind]])
     table_ = m.importances(fitted.models[kind], fitted.feature_names[kind], spark)
     return rounded(stats.top_k(table_, "importance", 20, ties=["feature"]))
 
@@ -181,21 +181,65 @@ def boosted_importance(spark, d):
     return _importance(spark, d, "boosted")
 
 
-@query("ols_coefficients_one_hot")
-def ols_coefficients_one_hot(spark, d):
+def _one_hot_coefficients(spark, d, kind, cats):
     profile = areas_by_class(areas(spark, d))
-    cats = ["class", "reg_no", "dep"]
     rows = prepare(profile, ["area", "class"], "rate_all", NUMERIC, cats)
-    fitted = fit_variant(rows, ["area", "class"], "rate_all", NUMERIC, cats, [ModelSpec("ridge", "ridge")])
-    return rounded(stats.top_k(m.coefficients(fitted.models["ridge"], fitted.feature_names["ridge"], spark), "magnitude", 20, ties=["feature"]))
+    fitted = fit_variant(rows, ["area", "class"], "rate_all", NUMERIC, cats, [ModelSpec(kind, kind)])
+    return rounded(stats.top_k(m.coefficients(fitted.models[kind], fitted.feature_names[kind], spark), "magnitude", 20, ties=["feature"]))
+
+
+# Firms are the sum of the sizes and departments lie in regions: least squares has no single answer
+# on these columns, so the figures below are one of many. `ols_within_groups` has a single one.
+@query("ols_coefficients_one_hot")
+def ols_coefficients_one_hot(spark, d):
+    return _one_hot_coefficients(spark, d, "linear", ["class", "reg_no", "dep"])
+
+
+@query("ridge_coefficients_one_hot")
+def ridge_coefficients_one_hot(spark, d):
+    return _one_hot_coefficients(spark, d, "ridge", ["class", "reg_no", "dep"])
+
+
+# One number and one category: the slope is the one within the groups, the category columns are the
+# differences of the groups' remaining means to the first group's.
+_WITHIN = (
+    "o AS (SELECT rate_all AS y, rate_a_f AS x, dep FROM simple WHERE rate_a_f IS NOT NULL)",
+    "g AS (SELECT dep, avg(y) AS my, avg(x) AS mx, covar_pop(x, y) * count(*) AS xy, var_pop(x) * count(*) AS xx FROM o GROUP BY dep)",
+    "k AS (SELECT sum(xy) / sum(xx) AS slope FROM g)",
+    "i AS (SELECT dep, my - slope * mx AS level FROM g, k)",
+    "z AS (SELECT arg_min(level, dep) AS base, min(dep) AS first FROM i)",
+)
+
+
+@query(
+    "ols_within_groups",
+    with_areas(
+        f"""SELECT feature, {rsql({'coefficient': 'b', 'magnitude': 'abs(b)'})} FROM (
+            SELECT 'rate_a_f' AS feature, slope AS b FROM k UNION ALL SELECT 'intercept', base FROM z
+            UNION ALL SELECT 'dep_vec_' || dep, level - base FROM i, z WHERE dep <> first)""",
+        *_WITHIN,
+    ),
+)
+def ols_within_groups(spark, d):
+    """Least squares on a number and a one-hot category."""
+    rows = prepare(areas(spark, d), ["area"], "rate_all", ["rate_a_f"], ["dep"])
+    data = f.assemble(f.fit_one_hot(rows, ["dep"]).vector(rows), ["rate_a_f", "dep_vec"])
+    return rounded(m.coefficients(m.fit_model(data, "rate_all", ModelSpec("linear", "linear")), f.vector_names(data), spark))
+
+
+@query(
+    "tree_full_depth",
+    f"SELECT l_quantity, {r('avg(l_extendedprice)', 4)} AS prediction FROM lineitem GROUP BY 1",
+)
+def tree_full_depth(spark, d):
+    """A tree without a stated depth tells every value of a column apart."""
+    return _stump(spark, d, ModelSpec("tree", "tree", {"bins": 64}))
 
 
 @query("model_comparison")
 def model_comparison_query(spark, d):
     profile = areas_by_class(areas(spark, d))
-    numeric = [ModelSpec("linear", "linear"), _SMALL["tree"], _SMALL["forest"], _SMALL["boosted"]]
-    one_hot = [ModelSpec("ridge", "ridge"), _SMALL["tree"], _SMALL["forest"], _SMALL["boosted"]]
-    board = model_comparison(profile, ["area", "class"], "rate_all", NUMERIC, ["class", "reg_no", "dep"], numeric, one_hot)
+    board = model_comparison(profile, ["area", "class"], "rate_all", NUMERIC, ["class", "reg_no", "dep"])
     return rounded(board)
 
 

@@ -124,11 +124,11 @@ def gap_pct_region(spark, d):
 
 @query(
     "region_means",
-    with_areas(f"SELECT reg AS region, {rsql({n: f'avg({c})' for c, n in zip(RATES[:4], 'abcd')})} FROM simple GROUP BY reg"),
+    with_areas(f"SELECT reg AS region, {rsql({n: f'avg({c})' for c, n in zip(RATES, 'abcdef')})} FROM simple GROUP BY reg"),
 )
 def region_means(spark, d):
-    means = s.group_means(areas(spark, d), ["reg"], RATES[:4])
-    return rounded(rename_columns(s.sort_rows(means, RATES[0], ascending=False), ["region", "a", "b", "c", "d"]))
+    means = s.group_means(areas(spark, d), ["reg"], RATES)
+    return rounded(rename_columns(s.sort_rows(means, RATES[0], ascending=False), ["region", *"abcdef"]))
 
 
 @query(
@@ -222,24 +222,24 @@ def long_sql(cols, source, ids=""):
     "box_stats",
     with_areas(
         f"SELECT metric, count(*) AS n, {_BOX_OUT}, count(*) FILTER (WHERE NOT ok) AS n_outliers FROM j GROUP BY metric",
-        _BOX.format(rows=long_sql(RATES[:4], "simple"), by=""),
+        _BOX.format(rows=long_sql(RATES, "simple"), by=""),
     ),
 )
 def box_stats(spark, d):
-    rows = materialise(areas(spark, d).select(*RATES[:4]), "areas")
-    return rounded(s.box_stats(rows, RATES[:4]))
+    rows = materialise(areas(spark, d).select(*RATES), "areas")
+    return rounded(s.box_stats(rows, RATES))
 
 
 @query(
     "box_stats_by_region",
     with_areas(
         f"SELECT reg, metric, count(*) AS n, {_BOX_OUT}, count(*) FILTER (WHERE NOT ok) AS n_outliers FROM j GROUP BY reg, metric",
-        _BOX.format(rows=long_sql(RATES[:2], "simple", "reg,"), by="reg,"),
+        _BOX.format(rows=long_sql(RATES, "simple", "reg,"), by="reg,"),
     ),
 )
 def box_stats_by_region(spark, d):
-    rows = materialise(areas(spark, d).select("reg", *RATES[:2]), "areas")
-    return rounded(s.box_stats(rows, RATES[:2], by=["reg"]))
+    rows = materialise(areas(spark, d).select("reg", *RATES), "areas")
+    return rounded(s.box_stats(rows, RATES, by=["reg"]))
 
 
 @query(

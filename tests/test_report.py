@@ -96,6 +96,7 @@ COLUMNS = report.ReportColumns(
     sizes=["micro", "small", "medium", "large"],
     large="large",
     rate_limits={"rate_f": 1900},
+    band_pairs=[("rate_f", "rate_o")],
 )
 
 
