@@ -119,6 +119,19 @@ def test_descriptive_sections(prepared):
         assert table.count() > 0, name
 
 
+def test_every_pair_of_bands_is_compared(spark):
+    banded = spark.createDataFrame(
+        [("p", "Q1", None, "Q2", "Q2"), ("q", "Q1", "Q3", None, "Q4"), (None, None, "Q2", None, None)],
+        "area string, a_band string, b_band string, c_band string, d_band string",
+    )
+    got = report.unmatched_bands(banded, [("a", "b"), ("c", "d")], ["area"])
+    assert sorted(tuple(r) for r in got.fillna("-").collect()) == [
+        ("a/b", "-", "b", "Q2", "right_only"),
+        ("a/b", "p", "a", "Q1", "left_only"),
+        ("c/d", "q", "d", "Q4", "right_only"),
+    ]
+
+
 def test_band_section(spark, prepared, tmp_path):
     features = prepared.simple.select("dep").distinct().selectExpr("dep", "'[]' AS coordinates")
     got = report.band_section(prepared, COLUMNS, features, k=3, n_init=2)
