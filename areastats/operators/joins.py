@@ -62,8 +62,8 @@ def presence_join(
     """Full outer join with a column saying left_only, right_only or both.
 
     Put together from the matches and the rows without one. Spark can split a
-    frequent key in each of the three joins, which it cannot in a full outer join,
-    and the shuffled inputs of the first serve the other two.
+    frequent key in each of the three joins, which it cannot in a full outer join.
+    Each input is read for the matches and again for the rows without one.
     """
     keys = list(keys)
     left, right = _suffixed(left, right, keys, suffixes)
