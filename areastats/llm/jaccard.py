@@ -19,8 +19,13 @@ Links inside a cell are implied, so only documents outside a cell cost more than
 comparison each; regions are dealt out in groups and squares of groups, so that no task holds a
 region. The classes are exact.
 
+Before texts are read for a region, its members are sifted by their sizes and signatures (parities of
+slots, as many as shingles, which bound from below how many shingles differ): a member stays if the bound lets it
+link with the pivot or with any other member. Only the texts of those that stay are shuffled.
+
 The order puts shingles common in the corpus last (counts of all shingles, hashed to 2^24
-counters of one byte). It decides only how large regions get, never the result. Shingles are 64-bit hashes.
+counters, on a scale of logarithms in one byte). It decides only how large regions get, never the
+result. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -78,7 +83,7 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
+            [("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("sig", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())]
         )
         counters, pending, held = np.zeros(1 << COUNTER_BITS, np.uint8), [], 0
 
@@ -87,40 +92,42 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
             counters[some] = np.minimum(counters[some] + times, 255)
 
         for batch in batches:
-            n, a = [], []
+            n, a, signs = [], [], []
             for body in batch.column(1):
                 s = shingles(body.as_py(), width)
                 n.append(len(s))
                 a.append(fingerprint(s))
+                signs.append(signature(s) if len(s) else None)
                 pending.append(buckets(s))
                 held += len(s)
                 if held > 500_000:
                     count()
                     pending, held = [], 0
             none = pa.nulls(len(n))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            own = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(signs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*own, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if pending:
             count()
         parts = counters.reshape(CHUNKS, -1)
         pack = zstandard.ZstdCompressor(level=1)
         some = [i for i in range(CHUNKS) if parts[i].any()]
         none = pa.nulls(len(some)).cast(pa.int64())
-        columns = [none, none, none, pa.array(some, pa.int32()), pa.array([pack.compress(parts[i].tobytes()) for i in some], pa.binary())]
+        packed = pa.array([pack.compress(parts[i].tobytes()) for i in some], pa.binary())
+        columns = [none, none, none, pa.nulls(len(some), pa.list_(pa.int64())), pa.array(some, pa.int32()), packed]
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, n long, a long, sig array<long>, chunk int, counts binary")
 
 
 def _counters(parts: DataFrame) -> np.ndarray:
-    """Summed counters: 2^24 bytes, whatever the input."""
+    """Summed counters: 2^24 bytes, whatever the input. A byte holds eight times the binary logarithm, so none is ever full."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, unpack = np.zeros((1 << COUNTER_BITS) // CHUNKS, np.uint64), zstandard.ZstdDecompressor()
         for batch in batches:
             for x in batch.column("counts"):
                 total += np.frombuffer(unpack.decompress(x.as_py()), np.uint8)
-        total = np.minimum(total, 255).astype(np.uint8).tobytes()
+        total = np.minimum(np.round(8 * np.log2(1.0 + total)), 255).astype(np.uint8).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total], pa.binary())], ["chunk", "counts"])
 
     summed = parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
@@ -210,6 +217,17 @@ def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
     return docs.mapInArrow(run, "a long, members binary")
 
 
+def _may_be_near(num: int, den: int) -> str:
+    """SQL: the sizes and signatures of a member and its pivot leave room for a link."""
+    least = "least(size(sig), size(p_sig))"
+    # Both brought to the shorter length, as `fold` does.
+    short = "transform(sequence(0, {least} - 1), i -> aggregate(sequence(i, size({c}) - 1, {least}), 0L, (s, k) -> s ^ {c}[k]))"
+    brought = lambda c: f"if(size({c}) = {least}, {c}, {short.format(c=c, least=least)})"
+    differ = f"aggregate(zip_with({brought('sig')}, {brought('p_sig')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    sizes = f"{den} * least(n, p_n) >= {num} * greatest(n, p_n)"
+    return f"{sizes} AND ({den} + {num}) * {differ} <= ({den} - {num}) * (n + p_n)"
+
+
 def _may_link(m: str, k: str, num: int, den: int) -> str:
     """SQL: two members of a region can reach the overlap that a link needs, by sizes and places.
 
@@ -234,10 +252,20 @@ def _laid_out(column, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return sets, sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Parities of the set's shingles by 1024 slots: two sets differ in at least as many shingles as slots."""
-    slots = np.bincount(((s >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024)
-    return np.packbits((slots & 1).astype(bool)).tobytes()
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by slots: two sets differ in at least as many shingles as slots.
+
+    A power of two of slots, 1,024 or as many as the set has shingles, so that a long text's
+    slots tell as much. The signature for half the slots is the exclusive or of both halves.
+    """
+    slots = 1 << max(10, (len(s) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(8)) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def fold(signatures: np.ndarray, length: int) -> np.ndarray:
+    """Rows of signatures brought to `length` integers, a power-of-two part of theirs."""
+    return np.bitwise_xor.reduce(signatures.reshape(len(signatures), -1, length), axis=1)
 
 
 def _sift(num: int, den: int):
@@ -246,11 +274,19 @@ def _sift(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         names, outside = table.column("a").to_numpy(), table.column("x").to_numpy(zero_copy_only=False)
         n, d = table.column("n").to_numpy(), table.column("d").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(names), -1)
+        signs = [np.asarray(x.values.to_numpy()) for x in table.column("sig")]
+        width = np.array([len(x) for x in signs])
         xs, ys = np.flatnonzero(outside), np.flatnonzero(~outside)
         keep = np.zeros(len(names), bool)
+        alike = [(w, at, np.stack([signs[j] for j in ys[at]])) for w in np.unique(width[ys]) for at in [np.flatnonzero(width[ys] == w)]]
+        folded: dict[tuple[int, int], np.ndarray] = {}
         for i in xs:
-            differ = np.bitwise_count(bits[ys] ^ bits[i]).sum(1)
+            differ = np.zeros(len(ys), np.int64)
+            for w, at, many in alike:
+                least = min(w, width[i])
+                if (w, least) not in folded:
+                    folded[w, least] = fold(many, least)
+                differ[at] = np.bitwise_count(folded[w, least] ^ fold(signs[i][None], least)).sum(1)
             near = (np.abs(d[ys] - d[i]) <= 1 - num / den + 1e-9) & (names[ys] != names[i])
             near &= den * np.minimum(n[ys], n[i]) >= num * np.maximum(n[ys], n[i])
             near &= (den + num) * differ <= (den - num) * (n[ys] + n[i])
@@ -274,7 +310,7 @@ def _compare_with_pivot(width: int, num: int, den: int):
         union = sizes + sizes[at] - common
         keep = np.arange(len(sets)) != at
         columns = [np.full(keep.sum(), p), names[keep], (den * common >= num * union)[keep], (1 - common / union)[keep], sizes[keep]]
-        signs = pa.array([signature(x) for x, k in zip(sets, keep) if k], pa.binary())
+        signs = pa.array([signature(x) for x, k in zip(sets, keep) if k], pa.list_(pa.int64()))
         return pa.table([*columns, signs], ["p", "a", "linked", "d", "n", "sig"])
 
     return run
@@ -339,30 +375,45 @@ def jaccard_classes(
     rows = rows.select(F.col("p.a").alias("p"), "a").distinct()
     rows = scratch.store(rows, "regions")
 
+    group = lambda c, k: F.pmod(F.xxhash64(c), F.ceil(F.col(k) / GROUP)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.ceil(F.col(k) / GROUP).cast("int") - 1))
+    tile = ["p", "gx", "gy"]
+
+    def squares(regions: DataFrame) -> DataFrame:
+        """Members not `linked`, against all members of their region that are left a partner by sizes,
+        signatures and pivot distances, in squares of groups."""
+        open_ = regions.groupBy("p").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND k > 1")
+        left = regions.join(open_, "p")
+        kept = ["p", "a", "linked", "d", "n", "sig"]
+        xs = left.where("NOT linked").select(*kept, F.lit(True).alias("x"), group("a", "o").alias("gx"), every("k").alias("gy"))
+        ys = left.select(*kept, F.lit(False).alias("x"), every("o").alias("gx"), group("a", "k").alias("gy"))
+        return xs.unionByName(ys).groupBy(*tile).applyInArrow(
+            _sift(num, den), "p long, gx int, gy int, a long, linked boolean, d double, x boolean"
+        )
+
+    # Members that sizes and signatures leave a partner in their region, before any text is read.
+    signs = first.where("n > 0").groupBy("a").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    pivot = signs.withColumnsRenamed({"a": "p", "n": "p_n", "sig": "p_sig"})
+    signed = rows.join(signs, "a").join(pivot, "p")
+    signed = signed.select("p", "a", F.expr(_may_be_near(num, den)).alias("linked"), F.lit(0.0).alias("d"), "n", "sig")
+    signed = scratch.store(signed, "signed")
+    rows = signed.where("linked").select("p", "a").unionByName(squares(signed).select("p", "a")).distinct()
+    rows = scratch.store(rows, "candidates")
+
     # The sets of all members, each once.
     members = rows.select(F.explode(F.array("p", "a")).alias("a"))
     bits = spark.sparkContext.broadcast(_needed(members))
     sets = scratch.store(_fetch(texts, bits, width).groupBy("a").agg(F.first("members").alias("members")), "members")
 
     # Every member against its pivot, in groups that hold the pivot and at most some hundred members.
-    group = lambda c, k: F.pmod(F.xxhash64(c), F.ceil(F.col(k) / GROUP)).cast("int")
     sizes = rows.groupBy("p").agg(F.count("*").alias("k"))
     starred = rows.join(sizes, "p").select("p", "a", group("a", "k").alias("g"))
     pivots = starred.select("p", F.col("p").alias("a"), "g").distinct()
     starred = starred.unionByName(pivots).join(sets, "a").groupBy("p", "g")
-    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(width, num, den), "p long, a long, linked boolean, d double, n long, sig binary"), "checked")
+    checked = scratch.store(starred.applyInArrow(_compare_with_pivot(width, num, den), "p long, a long, linked boolean, d double, n long, sig array<long>"), "checked")
 
     # What is left of each region: members outside the cell, against all its members, in squares of groups.
-    open_ = checked.groupBy("p").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("o")).where("o > 0 AND k > 1")
-    left = checked.join(open_, "p")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.ceil(F.col(k) / GROUP).cast("int") - 1))
-    xs = left.where("NOT linked").select("p", "a", "linked", "d", "n", "sig", F.lit(True).alias("x"), group("a", "o").alias("gx"), every("k").alias("gy"))
-    ys = left.select("p", "a", "linked", "d", "n", "sig", F.lit(False).alias("x"), every("o").alias("gx"), group("a", "k").alias("gy"))
-    tile = ["p", "gx", "gy"]
-    sifted = xs.unionByName(ys).groupBy(*tile).applyInArrow(
-        _sift(num, den), "p long, gx int, gy int, a long, linked boolean, d double, x boolean"
-    )
-    rest = scratch.store(sifted, "sifted").join(sets, "a").groupBy(*tile).applyInArrow(_compare_rest(width, num, den), "u long, v long")
+    rest = scratch.store(squares(checked), "sifted").join(sets, "a").groupBy(*tile).applyInArrow(_compare_rest(width, num, den), "u long, v long")
     edges = checked.where("linked").select(F.col("p").alias("x"), F.col("a").alias("y")).unionByName(
         rest.select(F.col("u").alias("x"), F.col("v").alias("y"))
     )

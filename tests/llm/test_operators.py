@@ -126,6 +126,29 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard.jaccard_classes(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m in ((10, 12), (900, 1100), (3000, 2500), (5000, 700)):
+        both = np.unique(rng.integers(0, 2**63, min(n, m) // 2, dtype=np.uint64))
+        a, b = (np.union1d(both, rng.integers(0, 2**63, k - len(both), dtype=np.uint64)) for k in (n, m))
+        x, y = jaccard.signature(a), jaccard.signature(b)
+        assert len(x) * 64 >= len(a)
+        least = min(len(x), len(y))
+        differ = np.bitwise_count(jaccard.fold(x[None], least) ^ jaccard.fold(y[None], least)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_jaccard_of_long_and_short_texts(spark):
+    # Long near copies, long texts that share one passage only, and a region of many unrelated texts.
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    long, passage = words(4000), words(60)
+    texts = [" ".join(long), " ".join([*long[:3900], *words(100)]), " ".join([*long[:2000], *words(2000)])]
+    texts += [" ".join([*passage, *words(n)]) for n in (5, 8, 100, 1500, 3000, 3000)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
 def test_packing_ids_and_places(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
