@@ -62,6 +62,51 @@ def null_safe_join(spark, d):
     return j.equi_join(a, b, ["seg", "dep"], null_safe=True)
 
 
+_NULL_SETS = """many AS (SELECT nullif(o_orderstatus, 'F') AS st, nullif(o_orderpriority, '1-URGENT') AS pr, count(*) AS n
+             FROM orders WHERE o_totalprice >= 375000 GROUP BY ALL),
+           few AS (SELECT nullif(o_orderstatus, 'F') AS st, nullif(o_orderpriority, '1-URGENT') AS pr, count(*) AS m
+             FROM orders WHERE o_totalprice < 125000 AND o_orderpriority <> '5-LOW' GROUP BY ALL)"""
+
+
+def _null_sets(spark, d):
+    orders = table(spark, d, "orders")
+    keys = [F.nullif("o_orderstatus", F.lit("F")).alias("st"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("pr")]
+    many, few = orders.where("o_totalprice >= 375000"), orders.where("o_totalprice < 125000 AND o_orderpriority <> '5-LOW'")
+    return many.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), few.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+
+
+_NULL_SAFE = "many.st IS NOT DISTINCT FROM few.st AND many.pr IS NOT DISTINCT FROM few.pr"
+_PRESENCE = "CASE WHEN m IS NULL THEN 'left_only' WHEN n IS NULL THEN 'right_only' ELSE 'both' END"
+
+
+@query(
+    "presence_join_null_safe",
+    f"""WITH {_NULL_SETS} SELECT coalesce(many.st, few.st) AS st, coalesce(many.pr, few.pr) AS pr, n, m, {_PRESENCE} AS presence
+        FROM many FULL JOIN few ON {_NULL_SAFE}""",
+)
+def presence_join_null_safe(spark, d):
+    return j.presence_join(*_null_sets(spark, d), ["st", "pr"], null_safe=True)
+
+
+@query(
+    "unmatched_null_safe",
+    f"""WITH {_NULL_SETS} SELECT * FROM (
+          SELECT coalesce(many.st, few.st) AS st, coalesce(many.pr, few.pr) AS pr, n, m, {_PRESENCE} AS presence
+          FROM many FULL JOIN few ON {_NULL_SAFE}) WHERE presence <> 'both'""",
+)
+def unmatched_null_safe(spark, d):
+    return j.unmatched(*_null_sets(spark, d), ["st", "pr"], null_safe=True)
+
+
+@query(
+    "align_null_safe",
+    f"""WITH {_NULL_SETS} SELECT coalesce(many.st, few.st) AS st, coalesce(many.pr, few.pr) AS pr, n, m
+        FROM many FULL JOIN few ON {_NULL_SAFE}""",
+)
+def align_null_safe(spark, d):
+    return j.align(*_null_sets(spark, d), ["st", "pr"], null_safe=True)
+
+
 @query(
     "presence_join",
     f"""WITH {_SETS} SELECT area, st, many.n AS n_x, few.n AS n_y,

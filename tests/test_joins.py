@@ -63,3 +63,16 @@ def test_pair_by_rank(spark):
     a = spark.createDataFrame([("p", 30), ("q", 10), ("r", 20)], "k string, x int")
     b = spark.createDataFrame([("p", 1), ("q", 3), ("r", 2)], "k string, y int")
     assert rows(j.pair_by_rank(a, "x", b, "y"), "rank") == [(0, 10, 1), (1, 20, 2), (2, 30, 3)]
+
+
+def test_null_keys_match_only_when_asked(spark):
+    a = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, x string")
+    b = spark.createDataFrame([(1, "d"), (None, "e"), (4, "f")], "k int, y string")
+    safe = {(r.k, r.x, r.y, r.presence) for r in j.presence_join(a, b, ["k"], null_safe=True).collect()}
+    assert safe == {(1, "a", "d", "both"), (None, "b", "e", "both"), (3, "c", None, "left_only"), (4, None, "f", "right_only")}
+    assert {r.k for r in j.unmatched(a, b, ["k"], null_safe=True).collect()} == {3, 4}
+    assert {r.k for r in j.unmatched(a, b, ["k"]).collect()} == {3, 4, None}
+    assert {r.k for r in j.intersect_all([a, b], ["k"], null_safe=True).collect()} == {1, None}
+    assert {tuple(r) for r in j.align(a, b, ["k"], null_safe=True).collect()} == {
+        (1, "a", "d"), (None, "b", "e"), (3, "c", None), (4, None, "f")
+    }
