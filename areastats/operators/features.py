@@ -78,18 +78,19 @@ class OneHot:
 
     def columns(self, df: DataFrame, unknown: str = "error") -> DataFrame:
         """Add one 0/1 column per category. An unseen value is an error, or all zeros with "zero"."""
-        exprs = {}
+        # Whether a value is known is asked once per column, not once per category.
+        seen = {}
         for c, values in self.categories.items():
-            known = F.col(c).isin(values)
-            for v in values[1:]:
-                flag = (F.col(c) == F.lit(v)).cast("int")
-                if unknown == "error":
-                    problem = F.raise_error(F.concat(F.lit(f"unseen category in {c}: "), F.col(c).cast("string")))
-                    flag = F.when(F.coalesce(known, F.lit(False)), flag).otherwise(problem.cast("int"))
-                else:
-                    flag = F.coalesce(flag, F.lit(0))
-                exprs[f"{c}_{v}"] = flag
-        return df.withColumns(exprs)
+            known = F.when(F.coalesce(F.col(c).isin(values), F.lit(False)), F.col(c))
+            if unknown == "error":
+                known = known.otherwise(F.raise_error(F.concat(F.lit(f"unseen category in {c}: "), F.col(c).cast("string"))))
+            seen[f"_known_{c}"] = known
+        flags = {
+            f"{c}_{v}": F.coalesce((F.col(f"_known_{c}") == F.lit(v)).cast("int"), F.lit(0))
+            for c, values in self.categories.items()
+            for v in values[1:]
+        }
+        return df.withColumns(seen).withColumns(flags).drop(*seen)
 
     def vector(self, df: DataFrame, unknown: str = "error") -> DataFrame:
         """Add a sparse vector `<column>_vec` per column, for columns of many categories."""
@@ -110,14 +111,15 @@ class OneHot:
         return df
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 10_000) -> OneHot:
-    """Learn the categories of each column; a column with too many is an error, not cut short."""
-    found = {}
-    for c in cols:
-        values = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_categories + 1).collect()
-        if len(values) > max_categories:
+def fit_one_hot(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> OneHot:
+    """Learn the categories of all columns in one pass; they are collected, as part of the model.
+
+    Where the caller states `max_categories`, a column with more is an error, not cut short.
+    """
+    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols]).first().asDict() if cols else {}
+    for c, values in found.items():
+        if max_categories is not None and len(values) > max_categories:
             raise ValueError(f"{c} has more than {max_categories} categories")
-        found[c] = sorted(r[0] for r in values)
     return OneHot(found)
 
 

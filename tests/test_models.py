@@ -201,3 +201,12 @@ def test_each_model_has_its_own_inputs(table):
 def test_incomplete_rows_are_left_out_before_the_split(spark):
     df = spark.createDataFrame([(1, "2.5", 1.0), (2, "x", 1.0), (3, "4", None), (4, "5", 2.0)], "id int, a string, y double")
     assert rows(prepare(df, ["id"], "y", ["a"]).select("id", "a", "y")) == [(1, 2.5, 1.0), (4, 5.0, 2.0)]
+
+
+def test_one_hot_of_many_categories(spark):
+    df = spark.range(3000).selectExpr("concat('c', id % 400) AS t", "id")
+    coder = f.fit_one_hot(df, ["t"])
+    out = coder.columns(df)
+    total = F.aggregate(F.array(*coder.names()), F.lit(0), lambda s, v: s + v)
+    got = out.select("t", total.alias("ones")).groupBy("ones").agg(F.count_distinct("t").alias("k")).collect()
+    assert {r.ones: r.k for r in got} == {1: 399, 0: 1}
