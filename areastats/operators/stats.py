@@ -187,21 +187,34 @@ def describe_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per text column: values present, distinct values, the commonest and how often it occurs.
 
     Of equally common values the smallest is named. Values are counted before they
-    are summarised, so no task holds all distinct values of a column.
+    are summarised, so no task holds all distinct values of a column. A column without
+    any value has a row with counts of 0.
     """
     texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-    counts = (
-        texts.unpivot([], list(cols), "metric", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("metric", "value")
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
+    counts = texts.unpivot([], list(cols), "metric", "value").groupBy("metric", "value").agg(F.count(F.lit(1)).alias("freq"))
+    present = F.when(F.col("value").isNotNull(), F.col("freq"))
     return counts.groupBy("metric").agg(
-        F.sum("freq").alias("n"),
-        F.count(F.lit(1)).alias("n_unique"),
-        F.min_by("value", F.struct(-F.col("freq"), F.col("value"))).alias("top"),
-        F.max("freq").alias("freq"),
+        F.coalesce(F.sum(present), F.lit(0)).alias("n"),
+        F.count("value").alias("n_unique"),
+        F.min_by("value", F.when(present.isNotNull(), F.struct(-F.col("freq"), F.col("value")))).alias("top"),
+        F.max(present).alias("freq"),
+    )
+
+
+def describe_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per number column: values present, mean, sample standard deviation, minimum, quartiles, maximum.
+
+    NaN counts as missing. A column without any value has a row with n = 0.
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "metric", "value")
+    figures = numbers.withColumn("value", F.when(~F.isnan("value"), F.col("value"))).groupBy("metric").agg(
+        F.count("value").alias("n"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("minimum"),
+        F.max("value").alias("maximum"),
     )
+    return figures.join(exact_quantiles(df, cols).drop("n"), "metric", "left")
 
 
 def _with_fences(df: DataFrame, cols: Sequence[str], by: Sequence[str], reach: float) -> DataFrame:

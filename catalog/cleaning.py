@@ -223,6 +223,17 @@ def ratio_rounding(spark, d):
     return rows.select("o_orderkey", round_to(pct, 4, "half_up").alias("pct"), F.abs(F.col("o_totalprice") - 250000).alias("off"))
 
 
+@query(
+    "half_even_rounding",
+    """SELECT o_orderkey, round_even(CAST(o_custkey % 1000 AS DOUBLE) / 8, 2) AS even,
+        CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE round_even(CAST(o_orderkey % 16 AS DOUBLE) / 32 * 100, 1) END AS pct FROM orders""",
+)
+def half_even_rounding(spark, d):
+    """Eighths and thirty-seconds: every tie is exact, and goes to the even digit."""
+    pct = F.when(F.col("o_custkey") % 7 != 0, round_to(percent(F.col("o_orderkey") % 16, F.lit(32)), 1))
+    return table(spark, d, "orders").select("o_orderkey", round_to((F.col("o_custkey") % 1000) / 8).alias("even"), pct.alias("pct"))
+
+
 @query("distinct_values", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 def distinct_values(spark, d):
     return c.distinct_values(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])

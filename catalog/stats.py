@@ -197,6 +197,23 @@ def describe_categories(spark, d):
     return s.describe_categories(table(spark, d, "part"), ["p_brand", "p_type", "p_name"])
 
 
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "none"]
+
+
+@query(
+    "describe_numbers",
+    f"""WITH t AS (SELECT *, NULL AS none FROM lineitem),
+       l AS (SELECT unnest([{', '.join(f"'{c}'" for c in _NUMBERS)}]) AS metric,
+             unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in _NUMBERS)}]) AS value FROM t)
+       SELECT metric, count(value) AS n, {rsql({'mean': 'avg(value)', 'std': 'stddev_samp(value)', 'minimum': 'min(value)',
+       'maximum': 'max(value)', 'q25': 'quantile_cont(value, 0.25)', 'q50': 'quantile_cont(value, 0.5)',
+       'q75': 'quantile_cont(value, 0.75)'})} FROM l GROUP BY metric""",
+)
+def describe_numbers(spark, d):
+    """Figures of the number columns of lineitem, and of a column that has no value."""
+    return rounded(s.describe_numbers(table(spark, d, "lineitem").withColumn("none", F.lit(None)), _NUMBERS))
+
+
 _BOX = """l AS ({rows}),
   f AS (SELECT {by} metric, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75
         FROM l GROUP BY ALL),

@@ -128,3 +128,11 @@ def test_sorting_puts_missing_last(spark):
 def test_transpose(spark):
     df = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "k string, x int, y int")
     assert rows(s.transpose(df, "k", ["x", "y"], ["a", "b"])) == [("x", 1, 3), ("y", 2, 4)]
+
+
+def test_describe_keeps_columns_without_values(spark):
+    df = spark.createDataFrame([(1.0, None, "a", None), (float("nan"), None, "a", None), (3.0, None, None, None)], "x double, y double, s string, t string")
+    numbers = {r.metric: (r.n, r.mean, r.q50) for r in s.describe_numbers(df, ["x", "y"]).collect()}
+    assert numbers == {"x": (2, 2.0, 2.0), "y": (0, None, None)}
+    texts = {r.metric: (r.n, r.n_unique, r.top, r.freq) for r in s.describe_categories(df, ["s", "t"]).collect()}
+    assert texts == {"s": (2, 1, "a", 2), "t": (0, 0, None, None)}
