@@ -120,7 +120,11 @@ def _pass_one(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _counters(parts: DataFrame) -> np.ndarray:
-    """Summed counters: 2^24 bytes, whatever the input. A byte holds eight times the binary logarithm, so none is ever full."""
+    """Summed counters: 2^24 bytes, whatever the input.
+
+    A byte holds eight times the binary logarithm of the sum. A part, which counts one task's
+    rows, stops at 255, so a very common shingle is counted too low, but still as common.
+    """
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, unpack = np.zeros((1 << COUNTER_BITS) // CHUNKS, np.uint64), zstandard.ZstdDecompressor()
