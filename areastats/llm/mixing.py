@@ -10,8 +10,9 @@ A leaf with budget b and t tokens is given out in epochs: as many whole epochs a
 a prefix of a last one. Documents stand in an order seeded per epoch; the prefix
 ends with the last document that still fits whole.
 
-Defined results: NULL level values are a child of their own; a NULL, negative or missing weight
-counts as 0, and such a child receives nothing; a NULL text has no tokens, and documents
+Defined results: NULL level values are a child of their own; a value without a weight, NULL too, has
+its level's default weight; a negative weight, or a default not given, counts as 0, and such a
+child receives nothing; a NULL text has no tokens, and documents
 without tokens come along with each whole epoch of their leaf and at their place in a prefix.
 Repeated rows count like other documents. An empty table gives an empty result. Columns of the input are
 kept whatever their names; only those starting with `_mix` are reserved.
@@ -62,7 +63,7 @@ def share_out(nodes: DataFrame, parent: Sequence[str], total: Column) -> DataFra
 
 def mix_sources(
     docs: DataFrame,
-    levels: Mapping[str, tuple[str, Mapping[str, float] | float]],
+    levels: Mapping[str, tuple[str, Mapping[str, float] | float] | tuple[str, Mapping[str, float], float]],
     budget_share: float = 1.0,
     max_epochs: int = 2,
     seed: int = 7,
@@ -72,7 +73,8 @@ def mix_sources(
     """Documents with `_mix_tokens`, `_mix_<level>` and `_mix_copies`, how often each is taken (0 if not at all).
 
     `levels` maps a level's name, outermost first, to its value (an SQL expression) and its weights (a mapping of
-    values to weights, or one weight for every value). The budget is `budget_share` of all tokens.
+    values to weights, or one weight for every value), and, after a mapping, the weight of each value that
+    it lacks (0 if not given). The budget is `budget_share` of all tokens.
 
     No task holds a leaf: tokens are summed per leaf and slice of the hashed order (65,536
     slices), the running sums of these tell in which slice the prefix ends, and only the
@@ -99,7 +101,7 @@ def mix_sources(
     for i, name in enumerate(names):
         weights = levels[name][1]
         if isinstance(weights, Mapping):
-            w = F.lit(0.0)
+            w = F.lit(float(levels[name][2] if len(levels[name]) > 2 else 0.0))
             for value, given in weights.items():
                 w = F.when(F.col(keys[i]) == value, F.lit(float(given))).otherwise(w)
         else:
@@ -162,12 +164,16 @@ def _seeded(seed: int, key: str) -> Column:
     return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("_mix_epochs").cast("string"), F.col(key).cast("string")))
 
 
-#: Levels of the registered query: a domain is a source's number modulo 4.
+#: Levels of the registered query: a domain is a source's number modulo 4 (told by its last two digits, so the
+#: number may be of any length), or the CRC-32 of a source that ends in none. A NULL source is a domain of its own.
 LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 DOMAIN_WEIGHTS = {"0": 0.4, "1": 0.3, "2": 0.2, "3": 0.1}
+#: Weight of a domain or language that has none above, NULL too: as much as the least that has.
+DEFAULT_WEIGHT = 0.1
+DOMAIN = "cast(coalesce(try_cast(regexp_extract(source, '([0-9]{1,2})$', 1) as int), crc32(source)) % 4 as string)"
 LEVELS = {
-    "domain": ("cast(cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4 as string)", DOMAIN_WEIGHTS),
-    "language": ("lang", LANGUAGE_WEIGHTS),
+    "domain": (DOMAIN, DOMAIN_WEIGHTS, DEFAULT_WEIGHT),
+    "language": ("lang", LANGUAGE_WEIGHTS, DEFAULT_WEIGHT),
     "source": ("source", 1.0),
 }
 

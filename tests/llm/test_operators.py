@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from areastats.llm import chat, jaccard, language_model, licences, mixing, neighbours, packing, quality, rules, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -74,6 +75,23 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix_sources(documents(spark, ODD).limit(0), mixing.LEVELS).count() == 0
 
 
+def test_mixing_unlisted_and_missing_values(spark):
+    made = [("src1", "en"), ("src5", "en"), ("wiki", "de"), ("crawl20230101123456", "fr"), (None, "en"), ("src2", None), ("src3", "pt"), ("", "en"), (None, None)]
+    rows = [(100 * k + i, "word " * 10, lang, source, 50) for k, (source, lang) in enumerate(made) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.mix_sources(docs, mixing.LEVELS).collect()
+    assert len(out) == len(rows)
+    taken = Counter()
+    for r in out:
+        taken[r.source, r.lang] += r._mix_copies
+    assert set(taken) == set(made) and min(taken.values()) > 0
+    domain = {r.source: r._mix_domain for r in out}
+    assert domain["src1"] == domain["src5"] == "1" and domain["crawl20230101123456"] == "0"
+    assert domain["wiki"] == str(zlib.crc32(b"wiki") % 4) and domain[""] == "0"
+    mixed = Counter((r.source, r.lang) for r in corpus_pipeline.mix(spark, docs, "").collect())
+    assert mixed == taken
+
+
 def links_of(vectors, cosine):
     out = {}
     for i, (_, v, a) in enumerate(vectors):
