@@ -50,16 +50,31 @@ def default_vocabulary() -> str:
 def encoder(folder: str | None):
     """Byte-level BPE with the ids of byte_bpe_50k.json, read from the same vocabulary's ranks.
 
-    Strings of special tokens inside a text are ordinary text.
+    The JSON's added tokens are cut out of a text wherever they stand, as its tokenizer does
+    with and without `add_special_tokens`; see `encode_all`.
     """
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
-    with open(os.path.join(folder or default_vocabulary(), "byte_bpe_50k.tiktoken"), "rb") as f:
+    folder = folder or default_vocabulary()
+    with open(os.path.join(folder, "byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(os.path.join(folder, "byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    special = {t["content"]: t["id"] for t in added}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def encode_all(enc, text: str) -> list[int]:
+    """Ids of a text, its added tokens among them."""
+    if any(t in text for t in enc.special_tokens_set):
+        return enc.encode(text, allowed_special="all")
+    return enc.encode_ordinary(text)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -76,7 +91,7 @@ def tokenise(docs: DataFrame, text: str, key: str, capacity: int, folder: str |
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array(enc.encode_ordinary(body.as_py() or "") + [END], dtype="<u4")
+                ids = np.array(encode_all(enc, body.as_py() or "") + [END], dtype="<u4")
                 for i, (start, length) in enumerate(cut(len(ids), capacity)):
                     crc = zlib.crc32(ids[start : start + length].tobytes())
                     for column, value in zip(rows, (doc, i, start, length, crc)):

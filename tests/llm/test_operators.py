@@ -184,6 +184,25 @@ def test_packing_ids_and_places(spark):
     assert packing.pack(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_packing_ids_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end}", f"a{end}b", f"  {end}\n\n {end}  x", f"<|{end}|>", "<|endoftext|", "<|EndOfText|>", f"é{end}é 12{end}34 " * 400]
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.encoder(None)
+    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = packing.pack(documents(spark, texts)).toPandas()
+    for i, plain in enumerate(want):
+        assert packing.encode_all(enc, texts[i]) == plain
+        ids = np.array([*plain, packing.END], "<u4")
+        own = rows[rows.doc_id == i]
+        assert own.length.sum() == len(ids)
+        for r in own.itertuples():
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+
+
 def test_sweep_places_every_rank_once():
     counts = {700: 3, 400: 5, 300: 7, 24: 100, 1: 13}
     fill = Counter()
