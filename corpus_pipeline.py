@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areastats.llm import jaccard, mixing, packing, quality, rules
-from areastats.llm.common import Scratch
+from areastats.llm.common import SEPARATORS, Scratch
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +27,21 @@ def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id.
+    """One row of each class of near-duplicates: the one with the smallest id, a NULL id last.
 
-    Rows that repeat an id are one document here.
+    Rows are told apart by hashes of their own, not by ids: texts that share an id are judged each for
+    itself, and a class without any id keeps a row too. Of rows with the same id in one class the hash of all columns
+    decides. A row without words is a class of its own; rows equal in all columns are one.
     """
-    classes = jaccard.jaccard_classes(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    blank = F.trim(F.coalesce("text", F.lit("")), F.lit(SEPARATORS)) == ""
+    named = rows.select(F.when(blank, F.col("_row")).otherwise(F.xxhash64("text")).alias("_name"), "_row", "doc_id", "text")
+    classes = jaccard.jaccard_classes(named.select("_name", "text"), key="_name")
+    classes = classes.select("_name", F.col("component_id").alias("_class")).distinct()
+    # Minima that tasks combine before the shuffle: of each text, then of each class.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")
+    kept = named.groupBy("_name").agg(first).join(classes, "_name").groupBy("_class").agg(F.min("_first").alias("_first"))
+    return rows.join(kept.select("_first._row"), "_row").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,6 +144,66 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard.jaccard_classes(documents(spark, texts).limit(0)).count() == 0
 
 
+def kept_by_brute_force(rows):
+    """Rows (doc_id, text, ...) as one of each class: all pairs, smallest id first and NULL last; rows equal in all columns are one."""
+    rows = list(dict.fromkeys(rows))
+    sets = [set(jaccard.shingles(r[1]).tolist()) for r in rows]
+    group = list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and 100 * len(s & sets[j]) >= 75 * len(s | sets[j]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    classes = {}
+    for r, g in zip(rows, group):
+        classes.setdefault(g, []).append(r)
+    return [[r for r in c if r[0] == min((x[0] for x in c if x[0] is not None), default=None)] for c in classes.values()]
+
+
+def rows_without_and_with_repeated_ids(texts):
+    near = [" ".join([*t.split()[:-1], "changed"]) for t in texts]
+    made = [(0, texts[0]), (1, near[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, near[3])]
+    made += [(2, texts[4]), (None, texts[4]), (2, near[4]), (3, texts[5]), (3, texts[5]), (4, texts[5])]
+    return [(i, t, "en", f"src{k % 3}", len(t)) for k, (i, t) in enumerate(made)] + [(3, texts[5], "en", "src1", len(texts[5]))] * 2
+
+
+def test_one_of_each_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, 60)) for _ in range(6)]
+    made = rows_without_and_with_repeated_ids(texts)
+    made += [(None, None, "en", "src0", 0), (5, "", "en", None, 0), (5, " ", None, "src0", 0), (6, None, "en", "src0", 0), (None, None, "en", "src0", 0)]
+    got = [[tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()] for docs in
+           (spark.createDataFrame(made, DOCS).repartition(3), spark.createDataFrame(made[::-1], DOCS).repartition(5))]
+    assert sorted(got[0], key=str) == sorted(got[1], key=str)
+    want = kept_by_brute_force(made)
+    assert len(got[0]) == len(want) and all(sum(r in c for r in got[0]) == 1 for c in want)
+
+
+def test_pipeline_against_brute_force(spark, small_data, tmp_path):
+    given = [tuple(r) for r in spark.read.parquet(f"{small_data}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{small_data}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(given, DOCS)
+    regular = corpus_pipeline.keep_regular(spark, corpus_pipeline.keep_good(spark, docs, small_data), small_data)
+    texts = [r.text for r in regular.orderBy("doc_id").collect()][:6]
+    assert len(texts) == 6
+    odd = [(i if i is None else 10**6 + i, *rest) for i, *rest in rows_without_and_with_repeated_ids([f"{t} extra" for t in texts])]
+    docs = spark.createDataFrame(given + odd, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    regular = corpus_pipeline.keep_regular(spark, corpus_pipeline.keep_good(spark, docs, str(tmp_path)), str(tmp_path))
+    want = kept_by_brute_force([tuple(r) for r in regular.collect()])
+    one = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, regular, str(tmp_path)).collect()]
+    assert len(one) == len(want) and all(sum(r in c for r in one) == 1 for c in want)
+    mixed = mixing.mix_sources(spark.createDataFrame(one, DOCS), mixing.LEVELS).collect()
+    copies = Counter()
+    for r in mixed:
+        ids = [*packing.encode_all(packing.encoder(None), r.text), packing.END]
+        for piece, (start, length) in enumerate(packing.cut(len(ids), packing.CAPACITY)):
+            copies[r.doc_id, piece, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())] += r._mix_copies
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed) == +copies
+
+
 def test_signatures_bound_the_difference():
     rng = np.random.default_rng(9)
     for n, m in ((10, 12), (900, 1100), (3000, 2500), (5000, 700)):
