@@ -9,7 +9,9 @@ than trust, else allowed.
 Edges join hosts: links with a host of their own in the pages' markup, and a host with its parent domain,
 both ways, where that has pages too. Edges are counted per pair of hosts before anything else, so a host with a third of
 all pages is one row; scores are joined to edges and summed, with no step that gathers a
-host's neighbours. Iterations are fixed; what is left out decays by the damping each step.
+host's neighbours. Scores start from the seeds' own and only grow. Steps go on until no host's score grows by more than
+`TOLERANCE` of itself over the last few, and trust and distrust are compared by their ratio: neither the distance from a
+seed nor the number of hosts, which scores shrink with, decides.
 
 Defined results: a NULL url, or one without `://`, has empty host and path; no rule fits it,
 and it is allowed. NULL markup has no links. Repeated rows are judged alike and count each
@@ -27,8 +29,13 @@ from areastats.llm.common import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
+#: Steps of the SQL beside the query; the operator goes on until scores settle.
 ITERATIONS = 20
 STORE_EVERY = 5
+#: Largest growth of any host's score, as part of itself, in the last STORE_EVERY steps.
+TOLERANCE = 1e-8
+#: Distrust must exceed trust by so much of it: above rounding and what TOLERANCE leaves open.
+MARGIN = 1e-7
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?\s*[a-z][a-z0-9+.-]*://([^/?#\"'\s<>]+)"
 
 
@@ -74,8 +81,11 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return linked.unionByName(family.select("e.src", "e.dst", F.lit(1).cast("long").alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """Trust and distrust per host (kind, host, score) from seeds (kind, host, s), both kinds at once."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Trust and distrust per host (kind, host, score) from seeds (kind, host, s), both kinds at once.
+
+    A host first reached counts as grown by all of its score, so no path ends before its last host.
+    """
     scratch = Scratch(edges.sparkSession)
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), "w")
@@ -84,14 +94,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     steps = scratch.store(both.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("w") / F.col("all")).alias("share")), "steps")
     total = seeds.groupBy("kind").agg(F.sum("s").alias("all"))
     start = scratch.store(seeds.where("s > 0").join(total, "kind").select("kind", "host", (F.col("s") / F.col("all")).alias("score")), "seeds")
-    scores = start
-    for i in range(iterations):
-        moved = steps.join(scores.withColumnRenamed("host", "a"), ["kind", "a"])
-        moved = moved.select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        again = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-        scores = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (i + 1) % STORE_EVERY == 0:
-            scores = scratch.store(scores, "scores")
+    again = start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
+    scores, growth = scratch.store(again, "scores"), 1.0
+    while growth > tolerance:
+        before = scores
+        for _ in range(STORE_EVERY):
+            moved = steps.join(scores.withColumnRenamed("host", "a"), ["kind", "a"])
+            moved = moved.select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+            scores = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        scores = scratch.store(scores, "scores")
+        grown = scores.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host")
+        grown = grown.agg(F.sum("score").alias("more"), F.max("score").alias("score")).where("score > 0")
+        growth = grown.agg(F.coalesce(F.max(F.col("more") / F.col("score")), F.lit(0.0))).first()[0]
+        scratch.drop(before)
     return scores
 
 
@@ -119,13 +134,13 @@ def judge_urls(
         *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
     )
     per_host = scratch.store(per_host.join(hosts, "host"), "host-scores")
-    spread = F.round(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)), 12)
+    distrusted = F.coalesce(F.col("distrust") > F.col("trust") * (1 + MARGIN), F.lit(False))
     return judged.join(per_host, "host", "left").select(
         F.col("_key").alias(key),
         "host",
         "path",
         "rule",
-        F.coalesce("given", F.when(spread > 0, "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("given", F.when(distrusted, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"),
         F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )

@@ -318,6 +318,22 @@ def test_predictions_sum_to_one():
     assert math.isclose(language_model.predict(model, low, context | np.arange(256, dtype=np.uint64)).sum(), 1, rel_tol=1e-9)
 
 
+def test_urls_far_from_seeds_and_with_tiny_scores(spark):
+    link = lambda host: f'<a href="http://{host}/">'
+    made = [("bad", ""), *[(f"c{i}", link(f"c{i - 1}" if i else "bad")) for i in range(31)]]
+    # Each hop leaves one 4,001st of a score: the fourth has about 1e-15.
+    for i in range(4):
+        made += [(f"t{i}", link(f"t{i - 1}" if i else "bad")), (f"noise{i}", link(f"t{i - 1}" if i else "bad") * 4000)]
+    made += [("good", link("g0") + link("both")), *[(f"g{i}", link(f"g{i + 1}")) for i in range(30)], ("g30", ""), ("both", link("bad"))]
+    pages = spark.createDataFrame([(i, f"http://{h}/", x) for i, (h, x) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.host: r for r in urls.judge_urls(pages, [("allow", "good/"), ("block", "bad/")]).collect()}
+    assert 0 < got["t3"].distrust < 5e-13 and got["t3"].trust == 0
+    assert all(got[h].verdict == ("allow" if h in ("good", "both") or h[0] == "g" else "block") for h, _ in made)
+    # Settled scores solve the equation of the walk.
+    assert got["g0"].trust == pytest.approx(0.85 * got["good"].trust / 2, rel=1e-6)
+    assert got["c30"].distrust == pytest.approx(0.85 * got["c29"].distrust, rel=1e-6)
+
+
 def test_urls_and_licences_odd_rows(spark):
     mit = "<p>Released under the MIT License.</p>"
     rows = [(1, None, None), (2, "no scheme", ""), (3, "http://A.example.org/es/x?q", mit), (3, "http://A.example.org/es/x?q", mit), (None, "http://b.net", "x")]
