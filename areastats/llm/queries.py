@@ -1,7 +1,21 @@
 """The registered query of each operator, with its SQL where SQL can express it."""
 
 import corpus_pipeline
-from areastats.llm import chat, jaccard, language_model, licences, mixing, neighbours, packing, quality, rules, urls
+from areastats.llm import (
+    centroids,
+    chat,
+    interaction,
+    jaccard,
+    language_model,
+    licences,
+    lines,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    rules,
+    urls,
+)
 
 OPERATORS = {
     "op1_chat_formatting": chat,
@@ -14,6 +28,9 @@ OPERATORS = {
     "op8_best_fit_packing": packing,
     "op9_quality_rules": rules,
     "op10_lm_scoring": language_model,
+    "op11_centroid_clustering": centroids,
+    "op12_line_dedup": lines,
+    "op13_filter_interaction": interaction,
 }
 
 QUERIES = {name: module.query for name, module in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
