@@ -126,12 +126,14 @@ def cells_of(column: pa.Array, dims: int) -> np.ndarray:
 def whole_vectors(vectors: DataFrame, column: str, key: str, dims: int, scale: int) -> DataFrame:
     """(id, vector): the vectors that count, as integers."""
     v = F.col(column)
-    kept = vectors.select(F.col(key).alias("id"), v.alias("v")).where((F.size("v") == dims) & F.forall("v", lambda x: x.isNotNull()))
-    kept = kept.where(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    whole = lambda x: F.floor(x.cast("double") * scale)
-    small = F.forall("v", lambda x: F.abs(x.cast("double") * scale) < LARGEST)
+    length = F.coalesce(F.size(v) == dims, F.lit(False))
+    finite = length & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    scaled = lambda x: x.cast("double") * scale
+    small = F.forall(v, lambda x: F.abs(scaled(x)) < LARGEST)
     message = F.lit(f"a component times {scale} is 2^27 or more: its distances do not fit a long")
-    return kept.select("id", F.when(small, F.transform("v", lambda x: whole(x).cast("int"))).otherwise(F.raise_error(message)).alias("vector"))
+    # Each condition holds its own guard: a filter may be evaluated before those beside it.
+    whole = F.when(finite & small, F.transform(v, lambda x: F.floor(scaled(x)).cast("int"))).when(finite, F.raise_error(message))
+    return vectors.select(F.col(key).alias("id"), whole.alias("vector"), finite.alias("finite")).where("finite").drop("finite")
 
 
 @dataclass

@@ -40,7 +40,8 @@ BATCHES = 4
 SLOT = 2048
 UPPER = re.compile("[A-Z]+")
 MARKS = re.compile(r"[#$%&*|]")
-MASKED = "slot int, h1 long, h2 long, id long, part string, mask int"
+#: No column holds a NULL: pandas would make its numbers floating, and lose the last digits of hashes and ids.
+MASKED = "slot int, h1 long, h2 long, id long, part string, mask int, final boolean, named boolean"
 CHANGE = "id long, part string, mask int, n long"
 
 
@@ -53,7 +54,7 @@ def failures(text: str) -> int:
 
 
 def masked(docs: DataFrame, slots: int) -> DataFrame:
-    """A row per document: slot, text hash, id, part and mask. h1 is NULL where the mask is final."""
+    """A row per document: slot, text hash, id, part and mask; whether the mask is final, and the row has an id."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -63,26 +64,27 @@ def masked(docs: DataFrame, slots: int) -> DataFrame:
                 continue
             texts = [t or "" for t in batch.column(1).to_pylist()]
             halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts), "<i8").reshape(-1, 2)
-            out = pd.DataFrame({"h1": halves[:, 0], "h2": halves[:, 1], "id": batch.column(0).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)})
+            ids = batch.column(0)
+            named = ids.is_valid().to_numpy(zero_copy_only=False)
+            out = pd.DataFrame({"h1": halves[:, 0], "h2": halves[:, 1], "id": ids.fill_null(0).to_numpy(), "named": named})
             out["part"] = [p or "" for p in batch.column(2).to_pylist()]
-            out["mask"] = [failures(t) for t in texts]
-            known = out["id"].notna()
-            least = out.groupby(["h1", "h2"])["id"].transform("min")
-            copy = known & (out["id"] != least).fillna(False)
-            final = copy | ~known
-            out.loc[copy, "mask"] |= COPY
-            own = pd.util.hash_array(out["id"].fillna(0).to_numpy(np.int64)).astype(np.int64)
-            spread = np.where(final, np.where(known, own, np.arange(len(out))), out["h1"])
+            out["mask"] = np.array([failures(t) for t in texts], np.int32)
+            copy = pd.Series(False, out.index)
+            own = out[named]
+            copy[own.index] = own["id"] != own.groupby(["h1", "h2"])["id"].transform("min")
+            out["mask"] |= np.where(copy, COPY, 0).astype(np.int32)
+            out["final"] = copy | ~named
+            # What is final has no business with its text's slot.
+            spread = np.where(out["final"], pd.util.hash_array(np.where(named, out["id"], np.arange(len(out)))).astype(np.int64), out["h1"])
             out["slot"] = (spread % slots).astype(np.int32)
-            out["h1"] = out["h1"].astype("Int64").mask(final)
-            out["mask"] = out["mask"].astype(np.int32)
-            yield pa.RecordBatch.from_pandas(out[["slot", "h1", "h2", "id", "part", "mask"]], schema=ARROW, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(out[ARROW.names], schema=ARROW, preserve_index=False)
 
     return docs.mapInArrow(measure, MASKED)
 
 
 ARROW = pa.schema(
     [("slot", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32())]
+    + [("final", pa.bool_()), ("named", pa.bool_())]
 )
 HELD = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
 
@@ -103,17 +105,16 @@ def settle(held: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.Data
 def retract(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Keyed state of one slot: the holders as an Arrow stream."""
     rows = pd.concat(list(frames), ignore_index=True)
-    final = rows[rows["h1"].isna()]
+    final = rows[rows["final"]]
     if len(final):
-        yield final[["id", "part", "mask"]].assign(n=1)
-    rows = rows[rows["h1"].notna()]
+        yield final[["part", "mask"]].assign(id=final["id"].astype("Int64").where(final["named"]), n=1)[["id", "part", "mask", "n"]]
+    rows = rows[~rows["final"]]
     if not len(rows):
         return
     held = HELD.empty_table()
     if state.exists:
         held = pa.ipc.open_stream(state.get[0]).read_all()
-    rows = rows[["h1", "h2", "id", "part", "mask"]].astype({"h1": "int64", "id": "int64"})
-    kept, changes = settle(held.to_pandas(), rows)
+    kept, changes = settle(held.to_pandas(), rows[["h1", "h2", "id", "part", "mask"]])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, HELD) as writer:
         writer.write_table(pa.Table.from_pandas(kept, schema=HELD, preserve_index=False))
