@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    LinearRegression,
-    RandomForestRegressor,
-)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from areastats.operators import trees
 from areastats.operators.features import Scaling, assemble, vector_names
+from areastats.operators.trees import Growth
+from areastats.sources import materialise
 
 # The normal equations need a features x features matrix on the driver; Spark's own limit.
 NORMAL_SOLVER_LIMIT = 4096
-# As deep as Spark grows a tree.
-DEEPEST = 30
 
 
 @dataclass(frozen=True)
@@ -29,9 +25,9 @@ class ModelSpec:
     """One row of a leader-board: a name, a kind of model and its settings.
 
     Kinds: linear (solver), ridge (alpha, solver), tree (max_depth), forest (trees, max_depth),
-    boosted (rounds, max_depth, step). Tree kinds also take `bins`. Trees and forests grow as
-    deep as Spark can (30 levels) unless `max_depth` says otherwise; `solver` is "normal" (exact,
-    at most 4096 features) unless "l-bfgs" is asked for.
+    boosted (rounds, max_depth, step, reg_lambda, gamma, min_child, bins). Trees and forests grow until
+    their leaves are pure unless `max_depth` says otherwise; tree kinds also take `unit` and `local_rows` (see
+    `trees`). `solver` is "normal" (exact, at most 4096 features) unless "l-bfgs" is asked for.
     `scaled` asks for standardised inputs, `without` leaves columns out.
     """
 
@@ -57,10 +53,64 @@ def _ridge_penalty(train: DataFrame, label: str, alpha: float) -> float:
     return alpha * (spread or 0.0) / n
 
 
-def fit_model(
-    train: DataFrame, label: str, spec: ModelSpec, seed: int = 42, features: str = "features"
-) -> Model:
+def tree_growth(spec: ModelSpec) -> Growth:
+    """How the trees of a specification grow."""
+    given = {
+        "tree": {},
+        "forest": {"trees": 100, "bootstrap": True},
+        "boosted": {"rounds": 100, "max_depth": 6, "reg_lambda": 1.0, "gamma": 0.0},
+    }[spec.kind]
+    known = {"max_depth", "unit", "local_rows"}
+    known |= {"forest": {"trees"}, "boosted": {"rounds", "step", "reg_lambda", "gamma", "min_child", "bins"}}.get(spec.kind, set())
+    if set(spec.settings) - known:
+        raise ValueError(f"unknown settings for {spec.kind}: {sorted(set(spec.settings) - known)}")
+    return Growth(**(given | dict(spec.settings)))
+
+
+@dataclass(frozen=True)
+class TreeModel:
+    """Trees of a training table. They are grown again for each use, always the same, beside the rows to predict."""
+
+    rows: DataFrame  # row, key, x, y, trains
+    growth: Growth
+    features: str = "features"
+
+    @classmethod
+    def of(cls, train: DataFrame, label: str, growth: Growth, features: str) -> TreeModel:
+        x = vector_to_array(features)
+        key = F.xxhash64(x, F.col(label)).cast("string")
+        number = -1 - F.monotonically_increasing_id()  # below those of the rows to predict
+        rows = train.select(number.alias("row"), key.alias("key"), x.alias("x"), F.col(label).cast("double").alias("y"), F.lit(True).alias("trains"))
+        return cls(materialise(rows, "tree-rows"), growth, features)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows of a table with a `prediction`."""
+        given = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "tree-given")
+        new = given.select(
+            F.col("_row").alias("row"), F.lit("").alias("key"), vector_to_array(self.features).alias("x"), F.lit(0.0).alias("y"), F.lit(False).alias("trains")
+        )
+        found = trees.predictions(trees.grow(self.rows.unionByName(new), self.growth))
+        return given.join(found, F.col("_row") == F.col("row")).drop("_row", "row")
+
+    def importances(self, names: Sequence[str]) -> DataFrame:
+        return trees.feature_importances(trees.grow(self.rows, self.growth), self.growth, names)
+
+
+@dataclass(frozen=True)
+class GrownTrees:
+    """What has been grown for one model of a comparison."""
+
+    grown: DataFrame
+    growth: Growth
+
+    def importances(self, names: Sequence[str]) -> DataFrame:
+        return trees.feature_importances(self.grown, self.growth, names)
+
+
+def fit_model(train: DataFrame, label: str, spec: ModelSpec, features: str = "features") -> Model | TreeModel:
     """Fit one model on a table with a feature vector."""
+    if spec.kind in ("tree", "forest", "boosted"):
+        return TreeModel.of(train, label, tree_growth(spec), features)
     s = dict(spec.settings)
     n_features = len(vector_names(train, features))
     if spec.kind == "linear":
@@ -68,26 +118,6 @@ def fit_model(
     elif spec.kind == "ridge":
         penalty = _ridge_penalty(train, label, s.pop("alpha", 1e-4))
         est = _linear(n_features, label, s.pop("solver", "normal"), regParam=penalty, elasticNetParam=0.0)
-    elif spec.kind == "tree":
-        est = DecisionTreeRegressor(labelCol=label, seed=seed, maxDepth=s.pop("max_depth", DEEPEST), **_bins(s))
-    elif spec.kind == "forest":
-        est = RandomForestRegressor(
-            labelCol=label,
-            seed=seed,
-            numTrees=s.pop("trees", 100),
-            maxDepth=s.pop("max_depth", DEEPEST),
-            featureSubsetStrategy="all",
-            **_bins(s),
-        )
-    elif spec.kind == "boosted":
-        est = GBTRegressor(
-            labelCol=label,
-            seed=seed,
-            maxIter=s.pop("rounds", 100),
-            maxDepth=s.pop("max_depth", 6),
-            stepSize=s.pop("step", 0.3),
-            **_bins(s),
-        )
     else:
         raise ValueError(f"unknown kind of model {spec.kind!r}")
     if s:
@@ -95,11 +125,7 @@ def fit_model(
     return est.setFeaturesCol(features).fit(train)
 
 
-def _bins(settings: dict) -> dict:
-    return {"maxBins": settings.pop("bins")} if "bins" in settings else {}
-
-
-def predict(model: Model, df: DataFrame, keep: Sequence[str], label: str) -> DataFrame:
+def predict(model: Model | TreeModel, df: DataFrame, keep: Sequence[str], label: str) -> DataFrame:
     """Prediction beside the true value: keep..., label, prediction."""
     return model.transform(df).select(*keep, F.col(label).alias("label"), "prediction")
 
@@ -125,11 +151,9 @@ def coefficients(model: Model, names: Sequence[str], spark, scaling: Scaling | N
     return table.withColumn("magnitude", F.abs("coefficient"))
 
 
-def importances(model: Model, names: Sequence[str], spark) -> DataFrame:
+def importances(model: TreeModel | GrownTrees, names: Sequence[str]) -> DataFrame:
     """Importance of every feature of a tree model; features never used have 0."""
-    values = model.featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, values, strict=True)]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return model.importances(names)
 
 
 # -- scores -------------------------------------------------------------------
@@ -166,13 +190,12 @@ def compare_models(
     specs: Sequence[ModelSpec],
     keep: Sequence[str] = (),
     split: str = "split",
-    seed: int = 42,
-    parallel: int = 4,
-) -> tuple[DataFrame, dict[str, Model], dict[str, list[str]]]:
-    """Fit each model once on the training rows, several side by side, and predict all rows.
+) -> tuple[DataFrame, dict[str, Model | GrownTrees], dict[str, list[str]]]:
+    """Fit each model once on the training rows and predict all rows.
 
     `inputs` names the feature columns of each model; models with the same ones
-    share a vector. Returns the predictions (keep..., model, split, label,
+    share a vector. `keep` is the key of the rows. All tree models grow in one job, which predicts the other
+    rows as it goes. Returns the predictions (keep..., model, split, label,
     prediction), the models and their feature names in vector order.
     """
     vectors: dict[tuple[str, ...], str] = {}
@@ -181,27 +204,39 @@ def compare_models(
     data = df
     for cols, vector in vectors.items():
         data = assemble(data, cols, vector)
-    data = data.select(*keep, split, F.col(label).alias("label"), *vectors.values())
+    data = data.select(*keep, split, F.col(label).cast("double").alias("label"), *vectors.values())
     used = {spec.name: vectors[tuple(inputs[spec.name])] for spec in specs}
     names = {spec.name: vector_names(data, used[spec.name]) for spec in specs}
+    data = materialise(data.withColumn("_row", F.monotonically_increasing_id()), "model-vectors")
 
-    train = data.where(F.col(split) == "train").persist()
-    try:
-        train.count()  # fill the cache once, before the fits start together
-        with ThreadPool(parallel) as pool:
-            fits = pool.map(lambda spec: fit_model(train, "label", spec, seed, used[spec.name]), specs, chunksize=1)
-        models = {spec.name: fitted for spec, fitted in zip(specs, fits)}
-    finally:
-        train.unpersist()
-
-    # One pass over the features scores every model.
-    scored = data
-    for i, model in enumerate(models.values()):
-        scored = model.copy({model.predictionCol: f"_p{i}"}).transform(scored)
-    pairs = ", ".join(f"'{name}', _p{i}" for i, name in enumerate(models))
-    predictions = scored.selectExpr(
-        *[f"`{c}`" for c in keep], f"stack({len(models)}, {pairs}) AS (model, prediction)", split, "label"
-    )
+    train = data.where(F.col(split) == "train")
+    models: dict[str, Model | GrownTrees] = {}
+    parts, growing, n = [], None, data.count()
+    for spec in specs:
+        if spec.kind in ("tree", "forest", "boosted"):
+            rows = data.select(
+                F.col("_row").alias("row"),
+                F.concat_ws("|", *[F.col(k).cast("string") for k in keep]).alias("key"),
+                vector_to_array(used[spec.name]).alias("x"),
+                F.col("label").alias("y"),
+                (F.col(split) == "train").alias("trains"),
+            )
+            grown = trees.grow(rows, tree_growth(spec), n).withColumn("model", F.lit(spec.name))
+            growing = grown if growing is None else growing.unionByName(grown)
+        else:
+            models[spec.name] = fit_model(train, "label", spec, used[spec.name])
+            scored = models[spec.name].transform(data).withColumn("model", F.lit(spec.name))
+            parts.append(scored.select(*keep, "model", "prediction", split, "label"))
+    if growing is not None:
+        growing = materialise(growing, "grown-trees")
+        values = growing.where("feature < 0 AND NOT isnan(value)").groupBy("model", "row").agg(F.avg("value").alias("prediction"))
+        parts.append(data.join(values, F.col("_row") == F.col("row")).select(*keep, "model", "prediction", split, "label"))
+        for spec in specs:
+            if spec.name not in models:
+                models[spec.name] = GrownTrees(growing.where(F.col("model") == spec.name), tree_growth(spec))
+    predictions = parts[0]
+    for part in parts[1:]:
+        predictions = predictions.unionByName(part)
     return predictions, models, names
 
 

@@ -13,8 +13,7 @@ from areastats.operators import cleaning, features, models
 from areastats.operators.models import ModelSpec
 from areastats.sources import materialise
 
-# Every configuration has its own name. Trees grow to Spark's limit of 30 levels where
-# "depth_3" does not say otherwise.
+# Every configuration has its own name. Trees grow until their leaves are pure where "depth_3" does not say otherwise.
 NUMERIC_MODELS = (
     ModelSpec("linear", "linear"),
     ModelSpec("tree_depth_3", "tree", {"max_depth": 3}, scaled=False, without=("pop",)),
@@ -38,7 +37,7 @@ class Variant:
     """One set of features with the models fitted on it."""
 
     predictions: DataFrame
-    models: dict[str, Model]
+    models: dict[str, Model | models.GrownTrees]
     feature_names: dict[str, list[str]]
 
 
@@ -65,7 +64,6 @@ def fit_variant(
     categories: Sequence[str],
     specs: Sequence[ModelSpec],
     unknown: str = "error",
-    seed: int = 42,
 ) -> Variant:
     """Scale and encode on what the training rows show, then fit and predict."""
     train = rows.where(F.col("split") == "train")
@@ -81,7 +79,7 @@ def fit_variant(
         + [v for c, v in zip(categories, encoded) if c not in spec.without]
         for spec in specs
     }
-    return Variant(*models.compare_models(out, label, inputs, specs, key, seed=seed))
+    return Variant(*models.compare_models(out, label, inputs, specs, key))
 
 
 def model_comparison(
@@ -92,12 +90,11 @@ def model_comparison(
     categories: Sequence[str],
     numeric_specs: Sequence[ModelSpec] = NUMERIC_MODELS,
     one_hot_specs: Sequence[ModelSpec] = ONE_HOT_MODELS,
-    seed: int = 42,
 ) -> DataFrame:
     """Leader-board over both variants: variant, model, and scores on train and test rows."""
     rows = prepare(df, key, label, numeric, categories)
-    plain = fit_variant(rows, key, label, numeric, (), numeric_specs, seed=seed)
-    coded = fit_variant(rows, key, label, numeric, categories, one_hot_specs, seed=seed)
+    plain = fit_variant(rows, key, label, numeric, (), numeric_specs)
+    coded = fit_variant(rows, key, label, numeric, categories, one_hot_specs)
     both = plain.predictions.withColumn("variant", F.lit("numeric")).unionByName(
         coded.predictions.withColumn("variant", F.lit("one_hot"))
     )

@@ -206,8 +206,8 @@ def model_section(
         part = variant.predictions.withColumn("variant", F.lit(name))
         predictions = part if predictions is None else predictions.unionByName(part)
         for model, fitted in variant.models.items():
-            if hasattr(fitted, "featureImportances"):
-                table = models.importances(fitted, variant.feature_names[model], rows.sparkSession)
+            if isinstance(fitted, models.GrownTrees):
+                table = models.importances(fitted, variant.feature_names[model])
                 out[f"importance_{name}_{model}"] = stats.top_k(table, "importance", 20, ties=["feature"])
             else:
                 table = models.coefficients(fitted, variant.feature_names[model], rows.sparkSession)

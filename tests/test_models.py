@@ -180,7 +180,7 @@ def test_importances_are_named_from_the_features(spark, table):
     fitted = fit_variant(rows_, ["id"], "y", ["a", "b"], ["g"], [ModelSpec("tree", "tree", {"max_depth": 4})])
     names = fitted.feature_names["tree"]
     assert names == ["a_scaled", "b_scaled", "g_vec_1", "g_vec_2"]
-    got = {r["feature"]: r["importance"] for r in m.importances(fitted.models["tree"], names, spark).collect()}
+    got = {r["feature"]: r["importance"] for r in m.importances(fitted.models["tree"], names).collect()}
     assert sum(got.values()) == pytest.approx(1) and got["g_vec_2"] > got["b_scaled"]
     assert fitted.predictions.count() == 400
 
