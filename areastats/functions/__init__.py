@@ -2,11 +2,14 @@
 from areastats.functions.columns import (  # noqa: F401
     as_column,
     code_prefix_fill,
+    correlation_p_value,
     decimal_comma,
     differs,
     gap_percent,
     in_range,
+    incomplete_beta,
     log_cell,
+    log_gamma,
     map_values,
     mercator_x,
     mercator_y,

@@ -151,3 +151,53 @@ def log_cell(c: str | Column, per_unit: int = 1024) -> Column:
         .otherwise(F.floor((F.log(size) + 746) * per_unit).cast("int"))
     )
     return F.when(c < 0, -cell).otherwise(cell)
+
+
+# -- distributions ------------------------------------------------------------
+
+# Lanczos coefficients of the gamma function for g = 7.
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+#: Steps of the continued fraction; it settles within about the square root of the degrees of freedom.
+FRACTION_STEPS = 1000
+
+
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z >= 0.5."""
+    series = reduce(add, [F.lit(c) / (z + (i - 1.0)) for i, c in enumerate(LANCZOS) if i], F.lit(LANCZOS[0]))
+    t = z + 6.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (z - 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function for 0 < x < 1, by its continued fraction."""
+    # The fraction converges quickly on one side of the mean; the other side is 1 minus its mirror image.
+    mirrored = x >= (a + 1.0) / (a + b + 2.0)
+    p, q, v = F.when(mirrored, b).otherwise(a), F.when(mirrored, a).otherwise(b), F.when(mirrored, 1.0 - x).otherwise(x)
+    given = F.struct(p.alias("p"), q.alias("q"), v.alias("v"))
+
+    def step(s: Column, m: Column) -> Column:
+        p, q, v = s["g"]["p"], s["g"]["q"], s["g"]["v"]
+        even = m * (q - m) * v / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * v / ((p + 2 * m) * (p + 2 * m + 1))
+        d1, c1 = 1.0 / (1.0 + even * s["d"]), 1.0 + even / s["c"]
+        d2, c2 = 1.0 / (1.0 + odd * d1), 1.0 + odd / c1
+        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d1 * c1 * d2 * c2).alias("h"), s["g"].alias("g"))
+
+    first = 1.0 / (1.0 - (p + q) * v / (p + 1.0))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"), given.alias("g"))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), lambda m: m.cast("double"))
+    fraction = F.aggregate(steps, start, step, lambda s: s["h"])
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1.0 - x))
+    side = front * fraction / p
+    return F.when(mirrored, 1.0 - side).otherwise(side)
+
+
+def correlation_p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation over n pairs; NULL below three pairs, 0 for a perfect one."""
+    x = 1.0 - r * r
+    inside = F.when((n > 2) & (x > 0) & (x < 1), F.struct(((n - 2) / 2.0).alias("a"), x.alias("x")))
+    tail = incomplete_beta(inside["a"], F.lit(0.5), inside["x"])
+    return F.when((n > 2) & (x <= 0), F.lit(0.0)).when((n > 2) & (x >= 1), F.lit(1.0)).when(inside.isNotNull(), tail)

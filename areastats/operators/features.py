@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,6 +24,34 @@ def hash_split(df: DataFrame, key: str | Sequence[str], test_percent: int = 25,
     return df.withColumn(into, F.when(slot < test_percent, "test").otherwise("train"))
 
 
+def exact_split(df: DataFrame, key: str | Sequence[str], test_percent: float = 25, seed: int = 42, into: str = "split") -> DataFrame:
+    """Label exactly ceil(n * test_percent / 100) rows 'test', the others 'train', by a seeded hash of their key.
+
+    The rows with the smallest hashes are the test rows; rows that share a key are told apart by a hash of their
+    content. The hash at the cut is an exact order statistic, found digit by digit from counts of prefixes.
+    Rows equal in all columns stay together: if the cut falls among them, they are 'train'.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    text = lambda cols: [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    by_key = F.md5(F.concat_ws("|", F.lit(str(seed)), *text(keys)))
+    mark = F.concat(by_key, F.md5(F.to_json(F.struct(*df.columns))))
+    hashes = df.select(mark.alias("h"))
+    wanted = math.ceil(hashes.count() * test_percent / 100)
+    cut, before = "", 0
+    # Three hex digits a step: at most 4,096 counts come to the driver.
+    while before < wanted and len(cut) < 64:
+        width = min(len(cut) + 3, 64)
+        counts = hashes.where(F.col("h").startswith(cut)).groupBy(F.substring("h", 1, width).alias("p")).count()
+        for row in counts.orderBy("p").collect():
+            cut = row["p"]
+            if before + row["count"] > wanted:
+                break
+            before += row["count"]
+        else:
+            cut = "g"  # above every hash: all rows
+    return df.withColumn(into, F.when(mark < cut, "test").otherwise("train"))
+
+
 # -- scaling ------------------------------------------------------------------
 
 

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from areastats.operators import trees
 from areastats.operators.features import Scaling, assemble, vector_names
+from areastats.operators.least_squares import LinearFit, least_squares
 from areastats.operators.trees import Growth
 from areastats.sources import materialise
 
-# The normal equations need a features x features matrix on the driver; Spark's own limit.
+# The normal equations need a features x features matrix on the driver.
 NORMAL_SOLVER_LIMIT = 4096
+#: Ending of the names of scaled columns.
+SCALED = "_scaled"
 
 
 @dataclass(frozen=True)
@@ -38,12 +41,6 @@ class ModelSpec:
     without: tuple[str, ...] = ()
 
 
-def _linear(n_features: int, label: str, solver: str, **extra) -> LinearRegression:
-    if solver == "normal" and n_features > NORMAL_SOLVER_LIMIT:
-        raise ValueError(f"{n_features} features: the normal solver takes {NORMAL_SOLVER_LIMIT}, set solver to 'l-bfgs'")
-    return LinearRegression(labelCol=label, solver=solver, standardization=False, **extra)
-
-
 def _ridge_penalty(train: DataFrame, label: str, alpha: float) -> float:
     """The penalty Spark needs so that the minimised sum is ||y - Xb||^2 + alpha * ||b||^2.
 
@@ -107,25 +104,28 @@ class GrownTrees:
         return trees.feature_importances(self.grown, self.growth, names)
 
 
-def fit_model(train: DataFrame, label: str, spec: ModelSpec, features: str = "features") -> Model | TreeModel:
+def fit_model(train: DataFrame, label: str, spec: ModelSpec, features: str = "features") -> Model | LinearFit | TreeModel:
     """Fit one model on a table with a feature vector."""
     if spec.kind in ("tree", "forest", "boosted"):
         return TreeModel.of(train, label, tree_growth(spec), features)
-    s = dict(spec.settings)
-    n_features = len(vector_names(train, features))
-    if spec.kind == "linear":
-        est = _linear(n_features, label, s.pop("solver", "normal"), regParam=0.0)
-    elif spec.kind == "ridge":
-        penalty = _ridge_penalty(train, label, s.pop("alpha", 1e-4))
-        est = _linear(n_features, label, s.pop("solver", "normal"), regParam=penalty, elasticNetParam=0.0)
-    else:
+    if spec.kind not in ("linear", "ridge"):
         raise ValueError(f"unknown kind of model {spec.kind!r}")
+    s = dict(spec.settings)
+    alpha = s.pop("alpha", 1e-4) if spec.kind == "ridge" else 0.0
+    solver = s.pop("solver", "normal")
     if s:
         raise ValueError(f"unknown settings for {spec.kind}: {sorted(s)}")
+    n_features = len(vector_names(train, features))
+    if solver == "normal":
+        if n_features > NORMAL_SOLVER_LIMIT:
+            raise ValueError(f"{n_features} features: the normal solver takes {NORMAL_SOLVER_LIMIT}, set solver to 'l-bfgs'")
+        return least_squares(train, label, features, n_features, alpha)
+    penalty = _ridge_penalty(train, label, alpha) if alpha else 0.0
+    est = LinearRegression(labelCol=label, solver=solver, standardization=False, regParam=penalty, elasticNetParam=0.0)
     return est.setFeaturesCol(features).fit(train)
 
 
-def predict(model: Model | TreeModel, df: DataFrame, keep: Sequence[str], label: str) -> DataFrame:
+def predict(model: Model | LinearFit | TreeModel, df: DataFrame, keep: Sequence[str], label: str) -> DataFrame:
     """Prediction beside the true value: keep..., label, prediction."""
     return model.transform(df).select(*keep, F.col(label).alias("label"), "prediction")
 
@@ -133,7 +133,7 @@ def predict(model: Model | TreeModel, df: DataFrame, keep: Sequence[str], label:
 # -- what a model says --------------------------------------------------------
 
 
-def coefficients(model: Model, names: Sequence[str], spark, scaling: Scaling | None = None) -> DataFrame:
+def coefficients(model: Model | LinearFit, names: Sequence[str], spark, scaling: Scaling | None = None) -> DataFrame:
     """Intercept and one coefficient per feature, with its size regardless of sign.
 
     Fitting on scaled columns is numerically safer; with their `scaling` the
@@ -190,7 +190,7 @@ def compare_models(
     specs: Sequence[ModelSpec],
     keep: Sequence[str] = (),
     split: str = "split",
-) -> tuple[DataFrame, dict[str, Model | GrownTrees], dict[str, list[str]]]:
+) -> tuple[DataFrame, dict[str, Model | LinearFit | GrownTrees], dict[str, list[str]]]:
     """Fit each model once on the training rows and predict all rows.
 
     `inputs` names the feature columns of each model; models with the same ones
@@ -210,10 +210,20 @@ def compare_models(
     data = materialise(data.withColumn("_row", F.monotonically_increasing_id()), "model-vectors")
 
     train = data.where(F.col(split) == "train")
-    models: dict[str, Model | GrownTrees] = {}
+    models: dict[str, Model | LinearFit | GrownTrees] = {}
     parts, growing, n = [], None, data.count()
+    # Trees do not mind the scale of their inputs: models that differ in nothing else share their trees.
+    share: dict[tuple, list[str]] = {}
+    for spec in specs:
+        if spec.kind in ("tree", "forest", "boosted"):
+            plain = tuple(c.removesuffix(SCALED) for c in inputs[spec.name])
+            share.setdefault((tree_growth(spec), plain), []).append(spec.name)
+    cuts: dict[tuple[str, int], list[list[float]]] = {}
     for spec in specs:
         if spec.kind in ("tree", "forest", "boosted"):
+            same = next(g for g in share.values() if spec.name in g)
+            if same[0] != spec.name:
+                continue
             rows = data.select(
                 F.col("_row").alias("row"),
                 F.concat_ws("|", *[F.col(k).cast("string") for k in keep]).alias("key"),
@@ -221,7 +231,12 @@ def compare_models(
                 F.col("label").alias("y"),
                 (F.col(split) == "train").alias("trains"),
             )
-            grown = trees.grow(rows, tree_growth(spec), n).withColumn("model", F.lit(spec.name))
+            growth = tree_growth(spec)
+            vector = (used[spec.name], growth.bins)
+            if growth.rounds and vector not in cuts:
+                cuts[vector] = trees.cut_points(rows, growth.bins)
+            grown = trees.grow(rows, growth, n, cuts.get(vector))
+            grown = grown.withColumn("model", F.explode(F.array(*[F.lit(name) for name in same])))
             growing = grown if growing is None else growing.unionByName(grown)
         else:
             models[spec.name] = fit_model(train, "label", spec, used[spec.name])

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areastats.functions import as_column, gap_percent, percent, round_to, row_sum
+from areastats.functions import as_column, correlation_p_value, gap_percent, percent, round_to, row_sum
 from areastats.operators.cleaning import with_constants
 from areastats.operators.joins import pair_by_rank
 from areastats.operators.quantiles import exact_quantiles, to_long
@@ -273,23 +271,13 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), bounded.alias("correlation"))
 
 
-def correlation_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation and its two-sided p-value; both NULL where they are undefined.
+def correlation_test(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Correlation and its two-sided p-value, for each group; both NULL where they are undefined.
 
-    The t-test of a correlation is that of the slope in a one-variable regression.
+    One aggregate: the p-value is a function of n and r, see `correlation_p_value`.
     """
-    both = df.select(F.col(x).cast("double"), F.col(y).cast("double")).na.drop("any")
-    row = correlation(both, x, y).first()
-    n, r = row["n"], row["correlation"]
-    p = None
-    if r is not None and n > 2:
-        if abs(r) >= 1.0:
-            p = 0.0
-        else:
-            data = VectorAssembler(inputCols=[x], outputCol="features").transform(both)
-            fit = LinearRegression(featuresCol="features", labelCol=y, solver="normal").fit(data)
-            p = float(fit.summary.pValues[0])
-    return df.sparkSession.createDataFrame([(n, r, p)], "n long, correlation double, p_value double")
+    figures = correlation(df.withColumns({x: F.col(x).cast("double"), y: F.col(y).cast("double")}), x, y, by)
+    return figures.withColumn("p_value", correlation_p_value(F.col("correlation"), F.col("n")))
 
 
 def rank_paired_correlation(left: DataFrame, x: str, right: DataFrame, y: str) -> DataFrame:

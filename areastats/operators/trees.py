@@ -322,34 +322,42 @@ def boost_on_spark(rows: DataFrame, growth: Growth) -> DataFrame:
     return out if gains is None else out.unionByName(gains)
 
 
-def binned(rows: DataFrame, bins: int) -> DataFrame:
-    """Each feature's values as numbers of bins, cut at equal shares of the training rows.
+def cut_points(rows: DataFrame, bins: int) -> list[list[float]]:
+    """Values that cut each feature into equal shares of the training rows.
 
     These are the weighted quantiles of boosting: the hessian of squared error is 1 a row.
     """
-    width = len(rows.select("x").first().x)
     shares = [i / bins for i in range(1, bins)]
-    found = rows.where("trains").agg(*[F.percentile_approx(F.get("x", F.lit(f)), shares, 100 * bins).alias(f"c{f}") for f in range(width)]).first()
-    cuts = [np.array(sorted(set(c or []))) for c in found]
+    each = rows.where("trains").select(F.posexplode("x").alias("f", "v"))
+    found = each.groupBy("f").agg(F.percentile_approx("v", shares, 100 * bins).alias("cuts"))
+    return [sorted(set(r.cuts)) for r in found.orderBy("f").collect()]
+
+
+def binned(rows: DataFrame, cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """Each feature's values as numbers of their bins."""
+    ends = [np.array(c) for c in cuts]
 
     @F.pandas_udf("array<double>")
     def numbers(x: pd.Series) -> pd.Series:
         table = np.stack(x.to_numpy())
-        return pd.Series(list(np.stack([np.searchsorted(c, table[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(float)))
+        return pd.Series(list(np.stack([np.searchsorted(c, table[:, f], side="left") for f, c in enumerate(ends)], 1).astype(float)))
 
     return rows.withColumn("x", numbers("x"))
 
 
-def grow(rows: DataFrame, growth: Growth, n: int | None = None) -> DataFrame:
+def grow(rows: DataFrame, growth: Growth, n: int | None = None, cuts: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """Grow on a tree table (row, key, x, y, trains) of `n` rows and predict all of them.
 
+    `cuts`, for boosting, where they are known already.
+
     Returns (row, tree, value) of every row and tree, with feature -1, and (tree, feature, gain, splits) with row -1. Boosted
     trees give one value per row, their sum.
     """
     n = rows.count() if n is None else n
-    if not n:
+    if not n or rows.where("trains").isEmpty():
         return rows.sparkSession.createDataFrame([], OUT)
-    rows = binned(rows, growth.bins) if growth.rounds else rows
+    if growth.rounds:
+        rows = binned(rows, cut_points(rows, growth.bins) if cuts is None else cuts)
     rows = rows.withColumn("s", F.when(F.col("trains"), F.rint(F.col("y") / growth.unit).cast("long")).otherwise(0))
     if n <= growth.local_rows:
         return grow_in_groups(rows, growth)

@@ -69,13 +69,13 @@ def fit_variant(
     train = rows.where(F.col("split") == "train")
     out = rows
     if any(spec.scaled for spec in specs):
-        out = features.standard_scaling(train, numeric).apply(out, "_scaled")
+        out = features.standard_scaling(train, numeric).apply(out, models.SCALED)
     encoded = []
     if categories:
         out = features.fit_one_hot(train, categories).vector(out, unknown)
         encoded = [f"{c}_vec" for c in categories]
     inputs = {
-        spec.name: [f"{c}_scaled" if spec.scaled else c for c in numeric if c not in spec.without]
+        spec.name: [f"{c}{models.SCALED}" if spec.scaled else c for c in numeric if c not in spec.without]
         + [v for c, v in zip(categories, encoded) if c not in spec.without]
         for spec in specs
     }

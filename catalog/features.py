@@ -15,6 +15,15 @@ def hash_split(spark, d):
     return f.hash_split(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
 
 
+@query(
+    "exact_split",
+    """SELECT o_orderkey, o_custkey, CASE WHEN row_number() OVER (ORDER BY md5('42|' || CAST(o_orderkey AS VARCHAR)))
+         <= ceil((SELECT count(*) FROM orders) / 4.0) THEN 'test' ELSE 'train' END AS split FROM orders""",
+)
+def exact_split(spark, d):
+    return f.exact_split(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
 @query(
     "standardise",
     with_areas(

@@ -318,6 +318,39 @@ def corr_pvalue(spark, d):
     return rounded(s.correlation_test(groups, "large", "firms"))
 
 
+# The tail of the t distribution as an integral: with t = sqrt(v) tan(a), its density is proportional to cos(a)^(v - 1).
+_SIMPSON = 2000
+
+
+@query(
+    "corr_pvalue_by_region",
+    with_areas(
+        f"""SELECT reg, n, {r('rho')} AS correlation, {r('1 - 2 * area * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi())')} AS p_value
+          FROM (SELECT reg, any_value(n) AS n, any_value(rho) AS rho, any_value(top) / {3 * _SIMPSON} * sum(
+              CASE WHEN i IN (0, {_SIMPSON}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(cos(top * i / {_SIMPSON}), n - 3)) AS area
+            FROM h, (SELECT unnest(range({_SIMPSON + 1})) AS i) GROUP BY reg)""",
+        """h AS (SELECT reg, count(*) AS n, corr(rate_a_f, rate_a_o) AS rho, atan(abs(rho) / sqrt(1 - rho * rho)) AS top FROM simple
+            WHERE rate_a_f IS NOT NULL AND rate_a_o IS NOT NULL GROUP BY reg)""",
+    ),
+)
+def corr_pvalue_by_region(spark, d):
+    return rounded(s.correlation_test(areas(spark, d), "rate_a_f", "rate_a_o", by=["reg"]))
+
+
+@query(
+    "sort_rows",
+    with_areas(
+        """SELECT dep, firms, CAST(row_number() OVER (ORDER BY firms DESC NULLS LAST, dep) - 1 AS BIGINT) AS place
+           FROM (SELECT dep, CAST(sum(firms) AS BIGINT) AS firms FROM simple GROUP BY dep)"""
+    ),
+)
+def sort_rows(spark, d):
+    """Departments by firms, numbered in the order that sorting gives (a few rows, so in one partition)."""
+    groups = s.group_sums(areas(spark, d), ["dep"], ["firms"])
+    ordered = s.sort_rows(groups, "firms", ascending=False, ties=["dep"]).coalesce(1)
+    return ordered.select("dep", "firms", F.monotonically_increasing_id().alias("place"))
+
+
 @query(
     "corr_rank_paired",
     with_areas(

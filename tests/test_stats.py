@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from areastats.functions import correlation_p_value
 from areastats.operators import stats as s
 
 CLASSES = {1: "m", 2: "w"}
@@ -136,3 +137,16 @@ def test_describe_keeps_columns_without_values(spark):
     assert numbers == {"x": (2, 2.0, 2.0), "y": (0, None, None)}
     texts = {r.metric: (r.n, r.n_unique, r.top, r.freq) for r in s.describe_categories(df, ["s", "t"]).collect()}
     assert texts == {"s": (2, 1, "a", 2), "t": (0, 0, None, None)}
+
+
+@pytest.mark.parametrize("n, rho", [(3, 0.5), (5, -0.95), (40, 0.01), (2000, 0.06), (100000, 0.008)])
+def test_p_values_of_small_and_large_groups(spark, n, rho):
+    got = spark.range(1).select(correlation_p_value(F.lit(rho), F.lit(n)).alias("p")).first().p
+    assert got == pytest.approx(t_tail(rho * math.sqrt((n - 2) / (1 - rho**2)), n - 2), rel=1e-7, abs=1e-12)
+
+
+def test_p_values_by_group(spark):
+    rows = [("a", float(i), float((i * 7) % 5)) for i in range(9)] + [("b", 1.0, 2.0), ("c", 1.0, 1.0), ("c", 2.0, 2.0), ("c", 3.0, 3.0)]
+    got = {r.g: r for r in s.correlation_test(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", by=["g"]).collect()}
+    alone = s.correlation_test(spark.createDataFrame(rows[:9], "g string, x double, y double"), "x", "y").first()
+    assert got["a"].p_value == alone.p_value and got["b"].p_value is None and got["c"].p_value == 0.0
