@@ -6,16 +6,15 @@ import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce as fold
-from multiprocessing.pool import ThreadPool
 from operator import add
 
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areastats.operators.features import assemble, minmax_scaling, standard_scaling
+from areastats.operators.kmeans import KMeansFit, best_fits
 from areastats.operators.stats import group_means, value_counts
 
 # -- principal components -----------------------------------------------------
@@ -111,46 +110,23 @@ def distortion(df: DataFrame, cols: Sequence[str], centres: Sequence[Sequence[fl
     return assign_centres(df, cols, centres).agg(F.avg("distance").alias("distortion"))
 
 
-def _best_models(
-    df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int, seed: int, parallel: int, max_iter: int
-) -> dict[int, KMeansModel]:
-    """For each k the best of `n_init` starts; the fits share one cached table and run side by side.
-
-    A best fit that still moved after `max_iter` rounds is reported as a warning.
-    """
-    data = assemble(df.select(*cols), cols).select("features").persist()
-
-    def fit(job: tuple[int, int]) -> tuple[int, KMeansModel]:
-        k, start = job
-        est = KMeans(k=k, seed=seed + start, maxIter=max_iter, featuresCol="features", predictionCol="cluster")
-        return k, est.fit(data)
-
-    try:
-        with ThreadPool(parallel) as pool:
-            fitted = pool.map(fit, [(k, i) for k in ks for i in range(n_init)], chunksize=1)
-        best = {k: min((m for j, m in fitted if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
-        for k, model in best.items():
-            if model.summary.numIter >= max_iter:
-                warnings.warn(f"{k} clusters: still moving after {max_iter} rounds", stacklevel=2)
-        return best
-    finally:
-        data.unpersist()
+def _best_fits(df: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int, seed: int, max_iter: int) -> dict[int, KMeansFit]:
+    """For each k the best of `n_init` starts. One that still moved after `max_iter` rounds is reported as a warning."""
+    best = best_fits(df, cols, ks, n_init, seed, max_iter)
+    for k, fit in best.items():
+        if fit.rounds >= max_iter:
+            warnings.warn(f"{k} clusters: still moving after {max_iter} rounds", stacklevel=3)
+    return best
 
 
 def fit_clusters(
-    df: DataFrame,
-    cols: Sequence[str],
-    k: int = 4,
-    n_init: int = 10,
-    seed: int = 42,
-    parallel: int = 8,
-    max_iter: int = 300,
-) -> KMeansModel:
+    df: DataFrame, cols: Sequence[str], k: int = 4, n_init: int = 10, seed: int = 42, max_iter: int = 300
+) -> KMeansFit:
     """K-means: the best of `n_init` starts, by total squared distance."""
-    return _best_models(df, cols, [k], n_init, seed, parallel, max_iter)[k]
+    return _best_fits(df, cols, [k], n_init, seed, max_iter)[k]
 
 
-def sorted_centres(model: KMeansModel) -> list[list[float]]:
+def sorted_centres(model: KMeansFit) -> list[list[float]]:
     """Cluster centres in ascending order, so that numbering does not depend on the start."""
     return sorted([float(v) for v in c] for c in model.clusterCenters())
 
@@ -161,11 +137,10 @@ def elbow(
     ks: Sequence[int] = (2, 3, 4, 5, 6),
     n_init: int = 10,
     seed: int = 42,
-    parallel: int = 8,
     max_iter: int = 300,
 ) -> DataFrame:
     """Mean distance to the nearest centre for each number of clusters, in one pass over the rows."""
-    models = _best_models(df, cols, ks, n_init, seed, parallel, max_iter)
+    models = _best_fits(df, cols, ks, n_init, seed, max_iter)
     centres = {k: sorted_centres(m) for k, m in models.items()}
     row = df.agg(*[F.avg(F.least(*[_distance(cols, c) for c in centres[k]])).alias(str(k)) for k in ks])
     return row.unpivot([], [str(k) for k in ks], "k", "distortion").withColumn("k", F.col("k").cast("int"))

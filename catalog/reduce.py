@@ -168,8 +168,7 @@ def _line(spark, d):
     ),
 )
 def elbow(spark, d):
-    # The SQL side has the best split there is; ten starts miss it at k = 6, so this query takes more.
-    return rounded(x.elbow(_line(spark, d), ["value"], n_init=40))
+    return rounded(x.elbow(_line(spark, d), ["value"]))
 
 
 @query("elbow_all_columns")
