@@ -23,6 +23,14 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Tables written to the folder that the cluster shares, and removed when no longer needed.
 

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areastats.llm.common import Scratch, byte_words, components
+from areastats.llm.common import SEPARATORS, Scratch, byte_words, components
 
 WIDTH = 5
 COUNTER_BITS = 24
@@ -438,6 +438,27 @@ def jaccard_classes(
     )
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each class of near-duplicates, with the given columns: the one with the smallest key, a NULL key last.
+
+    Rows are told apart by 128-bit hashes of their own, not by keys: texts that share a key are judged each for
+    itself, and a class without any key keeps a row too. Of rows with the same key in one class the hash of all columns
+    decides. A row without words is a class of its own; rows equal in all columns are one.
+    """
+    given = [*docs.columns, *[F.col(c).isNull() for c in docs.columns]]
+    row = F.struct(F.xxhash64(*given).alias("h1"), F.xxhash64(F.lit("row"), *given).alias("h2"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), row.alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    blank = F.trim(F.coalesce("text", F.lit("")), F.lit(SEPARATORS)) == ""
+    named = rows.select(F.when(blank, F.col("row.h1")).otherwise(F.xxhash64("text")).alias("name"), "row", "key", "text")
+    classes = jaccard_classes(named.select("name", "text"), key="name")
+    classes = classes.select("name", F.col("component_id").alias("class")).distinct()
+    # Minima that tasks combine before the shuffle: of each text, then of each class.
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")
+    kept = named.groupBy("name").agg(first).join(classes, "name").groupBy("class").agg(F.min("first").alias("first"))
+    whole = rows.join(kept.select("first.row"), "row").dropDuplicates(["row"])
+    return whole.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir):
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
