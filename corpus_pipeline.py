@@ -11,43 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areastats.llm import jaccard, mixing, packing, quality, rules
-from areastats.llm.common import SEPARATORS, Scratch
+from areastats.llm.common import Scratch, fresh
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier takes for good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.classify(docs, quality.fit(docs, labels), score="_score")
-    return scored.where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "_score")
+    scored = quality.classify(docs, quality.fit(docs, labels), score=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def keep_regular(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return rules.regular(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates: the one with the smallest id, a NULL id last.
-
-    Rows are told apart by hashes of their own, not by ids: texts that share an id are judged each for
-    itself, and a class without any id keeps a row too. Of rows with the same id in one class the hash of all columns
-    decides. A row without words is a class of its own; rows equal in all columns are one.
-    """
-    rows = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    blank = F.trim(F.coalesce("text", F.lit("")), F.lit(SEPARATORS)) == ""
-    named = rows.select(F.when(blank, F.col("_row")).otherwise(F.xxhash64("text")).alias("_name"), "_row", "doc_id", "text")
-    classes = jaccard.jaccard_classes(named.select("_name", "text"), key="_name")
-    classes = classes.select("_name", F.col("component_id").alias("_class")).distinct()
-    # Minima that tasks combine before the shuffle: of each text, then of each class.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")
-    kept = named.groupBy("_name").agg(first).join(classes, "_name").groupBy("_class").agg(F.min("_first").alias("_first"))
-    return rows.join(kept.select("_first._row"), "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    """One row of each class of near-duplicates."""
+    return jaccard.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their domain, language and source ask for."""
     mixed = mixing.mix_sources(docs, mixing.LEVELS).where("_mix_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    copy = fresh(mixed, "_copy")
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
