@@ -36,9 +36,9 @@ class Rule:
 
     name: str
     rejects: str
-    needs: tuple[str, ...] = ()
     cost: float = 0.0
     selectivity: float = 0.0
+    needs: tuple[str, ...] = ()
 
     @property
     def gain(self) -> float:
@@ -47,16 +47,16 @@ class Rule:
 
 #: The two rules that the contract of the query fixes.
 BASE = (
-    Rule("too_few_words", "n_words < 50", ("words",)),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words", ("words", "repeats")),
+    Rule("too_few_words", "n_words < 50", needs=("words",)),
+    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words", needs=("words", "repeats")),
 )
 #: Thresholds far from clean prose of any language with letters.
 FURTHER = (
-    Rule("symbols", "10 * n_symbols > 3 * n_words", ("words", "symbols")),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words", ("words",)),
-    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines", ("lines",)),
-    Rule("shouting", "5 * n_upper > 3 * n_letters", ("letters",)),
-    Rule("no_letters", "2 * n_digits > word_chars", ("words", "digits")),
+    Rule("symbols", "10 * n_symbols > 3 * n_words", needs=("words", "symbols")),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words", needs=("words",)),
+    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines", needs=("lines",)),
+    Rule("shouting", "5 * n_upper > 3 * n_letters", needs=("letters",)),
+    Rule("no_letters", "2 * n_digits > word_chars", needs=("words", "digits")),
 )
 #: Nanoseconds a character that each group of measures takes (local[8], texts of 1.5 kB).
 UNIT_COST = {"words": 90.0, "symbols": 25.0, "lines": 20.0, "letters": 95.0, "digits": 20.0, "repeats": 120.0}

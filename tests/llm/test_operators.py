@@ -345,3 +345,34 @@ def test_urls_and_licences_odd_rows(spark):
     own = {r.page_id: (r.directory, r.licence, r.origin) for r in licences.scan_licences(df).collect()}
     assert own[3] == ("a.example.org/es/", "MIT", "own") and own[1] == ("", None, None)
     assert licences.scan_licences(df.limit(0)).count() == 0
+
+
+CLASHING = ["n_lines", "_text", "_row", "_score", "_copy", "kept", "n_words", "rejected_by", "row", "doc", "_doc", "_live", "name"]
+
+
+def test_stages_return_the_given_columns(spark, small_data):
+    docs = spark.read.parquet(f"{small_data}/documents.parquet")
+    wide = docs.withColumns({c: F.lit(77) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, small_data)
+        assert out.columns == wide.columns, name
+        values = out.select(*CLASHING).distinct().collect()
+        assert [tuple(r) for r in values] == [(77,) * len(CLASHING)], name
+        assert out.count() == stage(spark, docs, small_data).count(), name
+
+
+def test_rule_order_repeats_and_does_not_change_the_verdict(spark, small_data):
+    docs = spark.read.parquet(f"{small_data}/documents.parquet")
+    orders = {tuple(r.name for r in rules.order(rules.estimate(docs, [*rules.BASE, *rules.FURTHER]))) for _ in range(3)}
+    assert len(orders) == 1
+    judged = {r.doc_id: r.kept for r in rules.quality_rules(docs).collect()}
+    kept = {r.doc_id for r in rules.regular(docs).collect()}
+    back = rules.cascade(docs, [*rules.FURTHER[::-1], *rules.BASE[::-1]]).where("kept").select("_doc.doc_id")
+    assert kept == {i for i, k in judged.items() if k} == {r.doc_id for r in back.collect()}
+
+
+def test_rules_on_odd_texts(spark):
+    texts = [*ODD, "word " * 60, "AB CD " * 40, " ".join(str(k) for k in range(100)), "a line of words\n" * 80]
+    kept = {r.doc_id for r in rules.regular(documents(spark, texts)).collect()}
+    assert kept == {r.doc_id for r in rules.quality_rules(documents(spark, texts)).where("kept").collect()}
+    assert rules.regular(documents(spark, texts).limit(0)).count() == 0
