@@ -68,6 +68,38 @@ def feature_rows(spark, d):
     return read_features(spark, path, ["code", "name"], lines=True)
 
 
+@query(
+    "feature_collections",
+    """SELECT CAST(c_custkey AS VARCHAR) AS code, c_name || ' {"' || c_mktsegment || '\\}"' AS name,
+       CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS part, 'Point' AS geometry_type,
+       '[' || c_custkey || ',' || c_nationkey || ']' AS coordinates FROM customer""",
+)
+def feature_collections(spark, d):
+    """A point per customer, one FeatureCollection file per market segment, read in splits."""
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    name = F.concat("c_name", F.lit(' {"'), "c_mktsegment", F.lit('\\}"'))
+    # The outer "name" and the last property of some features are no features themselves.
+    part = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit(',"part":"'), nation, F.lit('","in":{"a":[{}]}'))).otherwise("")
+    body = F.concat(
+        F.lit('{"type": "Feature", "properties": {"name":'), F.substring(F.to_json(F.array(name)), 2, 1 << 20), F.lit(',"code":"'), key,
+        F.lit('"'), part, F.lit('},\n "geometry": {"type":"Point","coordinates":['), key, F.lit(","), nation, F.lit("]}}"),
+    )
+    body = F.replace(body, F.lit('],"code"'), F.lit(',"code"'))
+    customers = table(spark, d, "customer")
+    head = '{"type":"FeatureCollection","name":"a {\\"b","crs":{"type":"name","properties":{"name":"}"}},"features":['
+    segments = customers.select("c_mktsegment").distinct()
+    ranked = customers.join(customers.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("first")), "c_mktsegment")
+    texts = (
+        ranked.select("c_mktsegment", (F.col("c_custkey") * 2).alias("at"), F.concat(F.when(F.col("c_custkey") != F.col("first"), ",").otherwise(""), body).alias("value"))
+        .unionByName(segments.select("c_mktsegment", F.lit(-(1 << 62)).alias("at"), F.lit(head).alias("value")))
+        .unionByName(segments.select("c_mktsegment", F.lit(1 << 62).alias("at"), F.lit("]}").alias("value")))
+    )
+    path = scratch_path(spark, "collections")
+    # A document is written by one task, row by row; no row of the table holds more than one feature.
+    texts.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "at").drop("at").write.partitionBy("c_mktsegment").text(path)
+    return read_features(spark, path, ["code", "name", "part"])
+
+
 @query(
     "map_layer",
     with_areas(

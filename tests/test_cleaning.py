@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -117,3 +119,39 @@ def test_features_as_document_and_as_lines(spark, tmp_path):
         ("01", "Polygon", "[[[1,2],[3,4],[1,2]]]"),
         ("2A", "MultiPolygon", "[[[[1,2],[3,4],[1,2]]]]"),
     ]
+
+
+TRICKY = """{"type":"FeatureCollection", "name":"a \\"} {b\\\\", "crs":{"type":"name","properties":{"name":"urn{}}"}}, "features":[
+ {"type":"Feature","properties":{"code":"01","note":"}}{{ \\" ] {"},"geometry":{"type":"Point","coordinates":[1, 2]}},
+ {"geometry":{"coordinates":[[[[0,0],[1,1],[1,0],[0,0]]]],"type":"MultiPolygon"},"properties":{"code":"é😀\\\\"},"type":"Feature"},
+ {"type":"Feature","properties":null,"geometry":null},
+ {"type":"Feature","properties":{"code":"","in":{"a":[{},{"b":{}}]}},"geometry":{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[3,4]}]}}
+], "about":{"by":{"x":"{"}}}
+"""
+
+
+@pytest.mark.parametrize("size", ["13", "60", "128MB"])
+def test_one_document_in_splits_of_any_size(spark, tmp_path, size):
+    """Cuts fall inside strings, escapes, characters and nested brackets."""
+    (tmp_path / "a.geojson").write_text(TRICKY, encoding="utf-8")
+    (tmp_path / "b.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    many = [{"type": "Feature", "properties": {"code": f"{i}{'{' * (i % 3)}", "note": "}"}, "geometry": None} for i in range(20)]
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": many}))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        tasks = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+        assert tasks > 20 if size != "128MB" else tasks <= 8
+        features = read_features(spark, str(tmp_path), ["code", "note"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted(features.collect(), key=str)
+    want = []
+    for feature in json.loads(TRICKY)["features"] + many:
+        props, geometry = feature["properties"] or {}, feature["geometry"] or {}
+        want.append((props.get("code"), props.get("note"), geometry.get("type"), geometry.get("coordinates")))
+    assert [(r.code, r.note, r.geometry_type, r.coordinates and json.loads(r.coordinates)) for r in got] == sorted(
+        want, key=lambda w: str(next(r for r in got if (r.code, r.note, r.geometry_type) == w[:3]))
+    )
