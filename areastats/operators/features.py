@@ -7,10 +7,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from areastats.operators.cleaning import with_constants
+from areastats.sources import materialise
+
+#: Most categories a column may have to become columns of its own, or names in a model.
+MAX_CATEGORIES = 65536
 
 
 def hash_split(df: DataFrame, key: str | Sequence[str], test_percent: int = 25, into: str = "split") -> DataFrame:
@@ -140,16 +146,78 @@ class OneHot:
         return df
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> OneHot:
+def fit_one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> OneHot:
     """Learn the categories of all columns in one pass; they are collected, as part of the model.
 
-    Where the caller states `max_categories`, a column with more is an error, not cut short.
+    A column with more than `max_categories` is an error, not cut short: no more than that many
+    a column, and one, ever come to the driver. For longer lists there is `category_codes`.
     """
-    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in cols]).first().asDict() if cols else {}
-    for c, values in found.items():
-        if max_categories is not None and len(values) > max_categories:
+    if not cols:
+        return OneHot({})
+    tagged = [F.struct(F.lit(i).alias("at"), *[(F.col(c) if c == own else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{j}") for j, c in enumerate(cols)]) for i, own in enumerate(cols)]
+    # Equal values are dropped before the shuffle, so it carries a column's categories and not its rows.
+    values = df.select(F.explode(F.array(*tagged)).alias("t")).select("t.*").distinct()
+    values = values.where(F.coalesce(*[F.col(f"v{j}").cast("string") for j in range(len(cols))]).isNotNull())
+    found: dict[str, list] = {c: [] for c in cols}
+    for row in values.limit(len(cols) * max_categories + 1).collect():
+        found[cols[row["at"]]].append(row[f"v{row['at']}"])
+    for c, seen in found.items():
+        if len(seen) > max_categories:
             raise ValueError(f"{c} has more than {max_categories} categories")
-    return OneHot(found)
+    return OneHot({c: sorted(seen) for c, seen in found.items()})
+
+
+# -- columns of very many categories ------------------------------------------
+
+
+def category_codes(df: DataFrame, col: str) -> DataFrame:
+    """Dictionary of a column: (value, code), numbered from 0 in ascending order, written once.
+
+    NULL is no category. The distinct values are cut into ranges, each is numbered by itself and gets
+    the counts of the ranges before it, so no task and no driver holds all of them.
+    """
+    values = df.select(F.col(col).alias("value")).where("value IS NOT NULL").distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = values.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
+    ranges = materialise(ranges, "categories")
+    counts = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # Unpartitioned, but over one row per range.
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    numbered = ranges.withColumn("at", inside).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    return materialise(numbered.select("value", (F.col("before") + F.col("at")).cast("int").alias("code")), "categories")
+
+
+def code_column(df: DataFrame, col: str, codes: DataFrame, into: str, unknown: str = "error") -> DataFrame:
+    """Add the code of each row's value; an unseen or missing value is an error, or NULL with "zero"."""
+    names = {"value": "_value", "code": into}
+    found = df.join(codes.withColumnsRenamed(names), F.col(col) == F.col("_value"), "left").drop("_value")
+    if unknown != "error":
+        return found
+    text = F.coalesce(F.col(col).cast("string"), F.lit("no value"))
+    unseen = F.raise_error(F.concat(F.lit(f"unseen category in {col}: "), text)).cast("int")
+    return found.withColumn(into, F.coalesce(into, unseen))
+
+
+def coded_vector(df: DataFrame, col: str, codes: DataFrame, into: str | None = None, unknown: str = "error") -> DataFrame:
+    """Add the sparse vector of a column by its dictionary: `<column>_vec`, as `OneHot.vector` gives it.
+
+    The first category, and an unseen value with "zero", have no one in it. The vector carries no
+    names; the part at i stands for code i + 1.
+    """
+    into = into or f"{col}_vec"
+    coded = code_column(df, col, codes, "_code", unknown)
+    width = codes.agg(F.greatest(F.coalesce(F.max("code"), F.lit(0)), F.lit(0)).cast("int")).scalar()
+    one = F.col("_code") > 0
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        width.alias("size"),
+        F.when(one, F.array(F.col("_code") - 1)).otherwise(F.array().cast("array<int>")).alias("indices"),
+        F.when(one, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"),
+    )
+    # Spark has no cast from the parts of a sparse vector to the vector, but reads them as one.
+    read = F.from_json(F.to_json(F.struct(vector.alias("v"))), StructType().add("v", VectorUDT()))
+    return coded.withColumn(into, read["v"]).drop("_code")
 
 
 def assemble(df: DataFrame, cols: Sequence[str], into: str = "features") -> DataFrame:

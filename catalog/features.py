@@ -95,3 +95,23 @@ def one_hot_vector(spark, d):
     flags = coded.select("area", vector_to_array("features").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return flags.select("area", total.alias("ones"), F.size("v").alias("width"))
+
+
+@query(
+    "category_codes",
+    """SELECT l_linenumber, p_name, code, CAST(max(code) OVER () AS INTEGER) AS width, CASE WHEN code > 0 THEN code - 1 END AS at, n
+       FROM (SELECT l_linenumber, p_name, CAST(dense_rank() OVER (ORDER BY p_name) - 1 AS INTEGER) AS code, count(*) AS n
+             FROM lineitem JOIN (SELECT p_partkey, p_name || ' ' || p_partkey AS p_name FROM part) ON l_partkey = p_partkey GROUP BY l_linenumber, p_name)""",
+)
+def category_codes(spark, d):
+    """Lines by the name of their part, one category per part: codes, and the place of the one in the vector."""
+    name = F.concat_ws(" ", "p_name", "p_partkey").alias("p_name")
+    parts = table(spark, d, "part").select("p_partkey", name)
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_linenumber").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.groupBy("l_linenumber", "p_name").agg(F.count(F.lit(1)).alias("n"))
+    codes = f.category_codes(lines, "p_name")
+    coded = f.coded_vector(f.code_column(lines, "p_name", codes, "code"), "p_name", codes)
+    # Read back from the vector: a dense form would be as wide as the list of parts.
+    shown = F.from_json(F.to_json(F.struct("p_name_vec")), "p_name_vec struct<type tinyint, size int, indices array<int>, values array<double>>")
+    part = shown["p_name_vec"]
+    return coded.select("l_linenumber", "p_name", "code", part["size"].alias("width"), F.get(part["indices"], 0).alias("at"), "n")

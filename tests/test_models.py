@@ -210,3 +210,36 @@ def test_one_hot_of_many_categories(spark):
     total = F.aggregate(F.array(*coder.names()), F.lit(0), lambda s, v: s + v)
     got = out.select("t", total.alias("ones")).groupBy("ones").agg(F.count_distinct("t").alias("k")).collect()
     assert {r.ones: r.k for r in got} == {1: 399, 0: 1}
+
+
+def test_dictionary_of_many_categories(spark):
+    """100,000 categories, one of which a third of the rows have."""
+    df = spark.range(200_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'c7' ELSE concat('c', id % 100000) END AS t", "id")
+    codes = f.category_codes(df, "t")
+    plan = codes._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and codes.count() == df.select("t").distinct().count()
+    order = [r[0] for r in codes.orderBy("code").collect()]
+    assert order == sorted(order) and len(set(order)) == len(order) > 99_000
+    at = {v: i for i, v in enumerate(order)}
+    got = f.coded_vector(df, "t", codes).where("id % 997 < 3")
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        assert r.t_vec.size == len(order) - 1 and list(r.t_vec.indices) == [i - 1 for i in [at[r.t]] if i]
+
+
+def test_dictionary_vectors_agree_with_the_encoder(spark):
+    df = spark.createDataFrame([("2", 10), ("10", 2), ("3", 2), ("3", 7)], "t string, n int")
+    for c in ("t", "n"):
+        same = f.fit_one_hot(df, [c]).vector(df).withColumnRenamed(f"{c}_vec", "want")
+        both = f.coded_vector(same, c, f.category_codes(df, c)).select("want", f"{c}_vec").collect()
+        assert len(both) == 4 and all(a == b for a, b in both)
+    codes = f.category_codes(df, "t")
+    new = spark.createDataFrame([("9",), (None,), ("3",)], "t string")
+    got = f.coded_vector(new, "t", codes, unknown="zero").collect()
+    assert {(r.t, tuple(r.t_vec.toArray())) for r in got} == {("9", (0, 0)), (None, (0, 0)), ("3", (0, 1))}
+    with pytest.raises(Exception, match="unseen category in t"):
+        f.coded_vector(new, "t", codes).collect()
+    empty = f.category_codes(df.limit(0), "t")
+    assert empty.count() == 0 and f.coded_vector(new, "t", empty, unknown="zero").first().t_vec.size == 0
+    with pytest.raises(ValueError):
+        f.fit_one_hot(df, ["t", "n"], max_categories=2)
