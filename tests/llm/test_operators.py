@@ -376,3 +376,57 @@ def test_rules_on_odd_texts(spark):
     kept = {r.doc_id for r in rules.regular(documents(spark, texts)).collect()}
     assert kept == {r.doc_id for r in rules.quality_rules(documents(spark, texts)).where("kept").collect()}
     assert rules.regular(documents(spark, texts).limit(0)).count() == 0
+
+
+MIT_OPENING = """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * The above copyright notice shall be included in all copies.
+ */"""
+STATED = {
+    "MIT License": "MIT",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0\nint main() {}": "Apache-2.0",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+    "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL-3.0",
+    "GNU GENERAL PUBLIC LICENSE Version 3": "GPL-3.0",
+    "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nEveryone is permitted to copy this.": "GPL-3.0",
+    MIT_OPENING: "MIT",
+    MIT_OPENING.replace("persons to whom", "people to whom").replace("furnished", "given"): "MIT",
+    "Mozilla Public License Version 2.0": "MPL-2.0",
+    "Copyright (c) 2020 The Authors of This Thing. All rights reserved.": "all-rights-reserved",
+    "Copyright (c) 2020 Some Name All Rights Reserved": "all-rights-reserved",
+    "Released under the MIT License. See LICENSE for details.": "MIT",
+    "<p>Some text first. Licensed under the Apache\nLicense, Version 2.0 (the License); you may not use it otherwise.</p>": "Apache-2.0",
+    "SPDX-License-Identifier: EPL-2.0": None,
+    "SPDX-License-Identifier: GPL-2.0": None,
+    "This work is licensed under the GNU General Public License, version 2.": None,
+    "A talk about licences, the rights of readers and software released in 2020.": None,
+    "": None,
+}
+
+
+def test_licence_headers_files_and_tags(spark):
+    """Titles, tags, wrapped and slightly changed notices, opening paragraphs; other licences stay unnamed."""
+    filler = [("words " * 20 + f"license {i} software version the of") for i in range(60)]
+    rows = [(i, f"http://h{i}.net/a", t) for i, t in enumerate([*STATED, *filler])]
+    rows.append((900, "http://long.net/", "x " * 60_000 + "\n\nMIT License\n\n" + "<" * 5000 + "y" * 100_000))
+    got = {r.page_id: r.licence for r in licences.scan_licences(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {t: got[i] for i, t in enumerate(STATED)} == STATED
+    assert got[900] == "MIT" and not any(got[i] for i in range(len(STATED), len(STATED) + len(filler)))
+
+
+def test_licences_inherit_over_levels_and_break_ties(spark):
+    mit, gpl, none = "MIT License", "GNU GENERAL PUBLIC LICENSE Version 3", "nothing"
+    rows = [(1, "http://a/LICENSE", mit), (2, "http://a/b/c/d.py", none), (3, "http://a/b/x", gpl), (4, "http://a/b/y", mit), (5, "http://a/b/c/e/f", none)]
+    rows += [(6, "http://other/z", none), (6, "http://other/z", none), (7, "http://a/", f"{mit}\n\n{gpl}")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("licence", F.lit(77)).withColumn("_text", F.lit("MIT License"))
+    got = {r.page_id: (r.licence, r.origin, r.from_directory) for r in licences.scan_licences(df).collect()}
+    # a/b/ has one vote for each: the first name; two licences in one file: the more alike, here both whole, the last name.
+    assert got[2] == got[5] == ("GPL-3.0", "inherited", "a/b/") and got[7] == ("MIT", "own", None)
+    assert got[6] == (None, None, None) and got[4] == ("MIT", "own", None)
