@@ -1,11 +1,10 @@
 """Quality by compression with dictionaries of good and of bad text.
 
 Two zstandard dictionaries are built from labelled good and bad documents. A text is
-compressed with each, block by block so that the dictionary counts all along it. The
-difference of the two sizes, divided by the size without a dictionary, says which class it
-resembles; how well the text compresses by itself says whether it repeats itself. A logistic
-curve over these figures, fitted on labelled documents that no dictionary has seen, turns
-them into a probability.
+compressed with each, in short blocks so that the dictionary counts all along it and long texts
+do not become their own dictionary. The difference of the two sizes, divided by the length of the
+text, is the score's only input. A logistic curve over it (one slope, one offset), fitted on
+labelled documents that no dictionary has seen, turns it into a probability; scores rise with the difference.
 
 The classifier is fitted on a bounded sample, `per_class` labelled documents of each class
 (the smallest hashes of their keys), collected to the driver. Scoring reads every whole text.
@@ -30,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PER_CLASS = 2000
-BLOCK = 4096
-DICTIONARY_BYTES = 8_000
+BLOCK = 512
+DICTIONARY_BYTES = 110_000
 FRAGMENT = 64
 LEVEL = 3
 
@@ -67,7 +66,7 @@ class CompressionClassifier:
         self.weights: np.ndarray | None = None
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        made = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)]
+        made = []
         for data, kind in zip((self.good, self.bad), self.kinds):
             d = zstandard.ZstdCompressionDict(data, dict_type=kind)
             d.precompute_compress(level=LEVEL)
@@ -75,36 +74,24 @@ class CompressionClassifier:
         return made
 
     @staticmethod
-    def sizes(compressors: Sequence[zstandard.ZstdCompressor], text: bytes) -> list[int]:
-        """Compressed sizes of the whole text: plain, with the good, with the bad dictionary."""
-        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
-
-    @staticmethod
-    def features(n: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        plain = np.maximum(sizes[:, 0], 1)
-        differ = (sizes[:, 2] - sizes[:, 1]) / plain
-        ratio = sizes[:, 0] / np.maximum(n, 1)
-        best = np.minimum(sizes[:, 1], sizes[:, 2]) / np.maximum(n, 1)
-        size = np.log1p(n) / 10
-        base = np.stack([differ, ratio, best, size], 1)
-        pairs = [base[:, i] * base[:, j] for i in range(4) for j in range(i, 4)]
-        return np.concatenate([np.ones((len(n), 1)), base, np.stack(pairs, 1)], 1)
-
-    def fit_curve(self, texts: Sequence[bytes], labels: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> None:
-        """Weighted logistic regression by Newton steps."""
-        made = self.compressors()
-        sizes = np.array([self.sizes(made, t) for t in texts], float).reshape(-1, 3)
-        x = self.features(np.array([len(t) for t in texts], float), sizes)
-        self.mean, self.scale = x.mean(0), x.std(0)
-        self.mean[0], self.scale[0] = 0, 1
-        self.scale[self.scale == 0] = 1
-        x = (x - self.mean) / self.scale
-        w = np.zeros(x.shape[1])
+    def differences(compressors: Sequence[zstandard.ZstdCompressor], texts: Sequence[bytes]) -> np.ndarray:
+        """By how much the bad dictionary compresses each whole text worse than the good one, a byte of text."""
+        out = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            good, bad = (sum(len(c.compress(text[j : j + BLOCK])) for j in range(0, len(text), BLOCK)) for c in compressors)
+            out[i] = (bad - good) / max(len(text), 1)
+        return out
+
+    def fit_curve(self, texts: Sequence[bytes], labels: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> None:
+        """Weighted logistic regression on the difference by Newton steps."""
+        x = self.differences(self.compressors(), texts)
+        self.mean, self.scale = x.mean(), x.std() or 1.0
+        x = np.stack([np.ones(len(x)), (x - self.mean) / self.scale], 1)
+        w = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             g = x.T @ (weight * (labels - p)) - ridge * w
-            h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
             step = np.linalg.solve(h, g)
             step *= min(1.0, 4.0 / np.abs(step).max()) if step.any() else 1.0
             w += step
@@ -113,12 +100,11 @@ class CompressionClassifier:
         self.weights = w
 
     def score(self, texts: Sequence[bytes], compressors: Sequence[zstandard.ZstdCompressor]) -> np.ndarray:
-        n = np.array([len(t) for t in texts], float)
+        n = np.array([len(t) for t in texts])
         if self.weights is None or not len(n):
             return np.full(len(n), self.prior)
-        sizes = np.array([self.sizes(compressors, t) for t in texts], float).reshape(-1, 3)
-        x = (self.features(n, sizes) - self.mean) / self.scale
-        p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+        z = (self.differences(compressors, texts) - self.mean) / self.scale
+        p = 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * z, -30, 30)))
         return np.where(n > 0, p, self.prior)
 
 

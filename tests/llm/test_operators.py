@@ -281,6 +281,36 @@ def test_classifier_held_out(spark, small_data):
     assert right >= 0.97 * scored.count()
 
 
+def test_classifier_scores_by_the_difference_alone_and_is_calibrated(spark, small_data):
+    docs = spark.read.parquet(f"{small_data[:-5]}0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small_data[:-5]}0.1/labels.parquet")
+    model = quality.fit(docs, labels)
+    scored = quality.classify(docs, model).where(quality.held_out_expr("doc_id") & (F.col("text") != ""))
+    rows = scored.join(labels, "doc_id").select("text", "score", "quality").collect()
+    order = np.argsort([r.score for r in rows])
+    score = np.array([r.score for r in rows])[order]
+    good = np.array([r.quality for r in rows], float)[order]
+    for p, y in zip(np.array_split(score, 10), np.array_split(good, 10)):
+        # A tenth of the rows: what is said of them holds within three standard errors and a little.
+        assert abs(p.mean() - y.mean()) <= 3 * np.sqrt(max(p.mean() * (1 - p.mean()), 1e-4) / len(p)) + 0.03
+    # Nothing but the difference decides: the order of scores is the order of differences.
+    differ = model.differences(model.compressors(), [r.text.encode() for r in rows])[order]
+    assert (np.diff(differ) >= -1e-12)[np.diff(score) > 1e-12].all()
+
+
+def test_classifier_odd_tables(spark, small_data):
+    docs = spark.read.parquet(f"{small_data}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{small_data}/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert quality.classify(docs.limit(0), model).count() == 0
+    assert quality.fit(docs.limit(0), labels).weights is None
+    body = docs.first().text
+    long = spark.createDataFrame([(1, body * (3_000_000 // len(body)), 5.0), (1, None, 6.0), (None, "", 7.0)], "doc_id long, text string, score_ double")
+    got = quality.classify(long, model).collect()
+    assert [r.score_ for r in got] == [5.0, 6.0, 7.0] and all(0 <= r.score <= 1 for r in got)
+    assert got[1].score == got[2].score == model.prior
+
+
 def test_classifier_without_labels(spark):
     docs = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int")
