@@ -180,18 +180,32 @@ def _memberships(docs: DataFrame, counters, width: int, num: int, den: int) -> D
 
 
 def _needed(names: DataFrame) -> np.ndarray:
-    """Bitmap of 2^24 bits over set names: a first sieve for the sets to fetch."""
+    """Bitmap of 2^24 bits over set names: a first sieve for the sets to fetch.
+
+    Each task gives the parts it has set; parts are joined by their number, so the driver gets `CHUNKS` of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << NEEDED_BITS, bool)
         for batch in batches:
             bits[batch.column(0).to_numpy() & ((1 << NEEDED_BITS) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+        parts, pack = bits.reshape(CHUNKS, -1), zstandard.ZstdCompressor(level=1)
+        some = [i for i in range(CHUNKS) if parts[i].any()]
+        packed = pa.array([pack.compress(np.packbits(parts[i]).tobytes()) for i in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), packed], ["chunk", "bits"])
 
-    out = np.zeros((1 << NEEDED_BITS) // 8, np.uint8)
-    for row in names.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return out
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, unpack = np.zeros((1 << NEEDED_BITS) // 8 // CHUNKS, np.uint8), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for x in batch.column("bits"):
+                out |= np.frombuffer(unpack.decompress(x.as_py()), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    schema = "chunk int, bits binary"
+    out = np.zeros((CHUNKS, (1 << NEEDED_BITS) // 8 // CHUNKS), np.uint8)
+    for row in names.mapInArrow(run, schema).groupBy("chunk").applyInArrow(join, schema).toLocalIterator():
+        out[row.chunk] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
 
 
 def _fetch(docs: DataFrame, bits, width: int) -> DataFrame:
