@@ -16,7 +16,9 @@ How it runs:
    the last), so the restaurants of contexts of two bytes and more lie whole in one
    bucket. Restaurants of shorter contexts have at most 65,536 kinds of customers; they are
    summed up by Spark and sampled on the driver between two passes over the buckets.
-3. Each block asks its sequences and words of the buckets, and sums up its documents.
+3. Each block asks its sequences and words of the buckets, and sums up its documents. A bucket that is asked much is
+   dealt out by block: each share has a copy of the bucket's model and at most `SHARE_BYTES` of questions, or one
+   block's. Counts of such buckets are merged share by share first.
 
 Nothing grows with the corpus on the driver or in one task but the distinct sequences of one bucket.
 """
@@ -34,7 +36,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areastats.llm.common import Scratch, byte_words
@@ -42,6 +44,7 @@ from areastats.llm.common import Scratch, byte_words
 DEPTH = 5  # bytes of the longest context
 BLOCK_BYTES = 24_000_000
 PART_BYTES = 3_000_000
+SHARE_BYTES = 16_000_000  # packed keys of one bucket that go to one task
 BURN_IN = 2
 SAMPLES = 3
 STRENGTH = 0.5
@@ -195,8 +198,20 @@ def is_held(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT == 0
 
 
-def _merged(parts: DataFrame) -> DataFrame:
-    """Training counts by kind and bucket, streamed together."""
+def _shares(parts: DataFrame) -> tuple[DataFrame, int]:
+    """Into how many shares each bucket's rows are dealt (a row per kind and bucket), and their sum."""
+    size = F.sum(F.length("keys") + F.length("counts"))
+    shares = parts.groupBy("kind", "bucket").agg(F.ceil(size / SHARE_BYTES).cast("int").alias("shares"))
+    rows = [tuple(r) for r in shares.collect()]  # two kinds of as many buckets as stated
+    return parts.sparkSession.createDataFrame(rows, "kind int, bucket int, shares int"), sum(r[2] for r in rows)
+
+
+def _share() -> Column:
+    return F.pmod(F.xxhash64("block"), F.col("shares")).cast("int").alias("share")
+
+
+def _merged(parts: DataFrame, shares: DataFrame, total: int) -> DataFrame:
+    """Training counts by kind and bucket, streamed together; first share by share."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -215,7 +230,13 @@ def _merged(parts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["kind", "bucket", "kinds", "total", "keys", "counts"])
 
     schema = "kind int, bucket int, kinds long, total long, keys binary, counts binary"
-    return parts.groupBy("kind", "bucket").applyInArrow(run, schema)
+    # `shares` has a row per kind and bucket: its size is set by the stated number of buckets.
+    dealt = parts.join(F.broadcast(shares), ["kind", "bucket"])
+    by = ["kind", "bucket", "share"]
+    some = dealt.where("shares > 1").select("kind", "bucket", "keys", "counts", _share()).repartition(total + 1, *by)
+    some = some.groupBy(*by).applyInArrow(run, schema).select("kind", "bucket", "keys", "counts")
+    rest = dealt.where("shares = 1").select("kind", "bucket", "keys", "counts")
+    return rest.unionByName(some).groupBy("kind", "bucket").applyInArrow(run, schema)
 
 
 # Restaurants ---------------------------------------------------------------------------
@@ -430,7 +451,7 @@ def predict(model, low, keys: np.ndarray) -> np.ndarray:
     return out / len(low)
 
 
-def _answers(parts: DataFrame, models: DataFrame, words: DataFrame, low, buckets: int) -> DataFrame:
+def _answers(parts: DataFrame, models: DataFrame, words: DataFrame, low, shares: DataFrame, tasks: int) -> DataFrame:
     """What the buckets answer to the blocks: probabilities of sequences and counts of words."""
 
     def ngram(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -455,13 +476,19 @@ def _answers(parts: DataFrame, models: DataFrame, words: DataFrame, low, buckets
     schema = "kind int, block long, keys binary, answers binary"
     asked = parts.select("kind", "bucket", "block", "keys")
 
-    def by_bucket(df: DataFrame):
+    def dealt(kind: int, answering: DataFrame):
+        """Questions and what answers them, by bucket and share."""
+        of_kind = F.broadcast(shares.where(f"kind = {kind}").drop("kind"))  # a row per bucket
+        questions = asked.where(f"kind = {kind}").join(of_kind, "bucket").withColumn("share", _share()).drop("shares")
+        copies = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+        answering = answering.join(of_kind, "bucket").select(*answering.columns, copies)
         # A stated number of partitions: the work is in the keys' lookup, not in their bytes.
-        return df.repartition(buckets, "bucket").groupBy("bucket")
+        return [df.repartition(tasks, "bucket", "share").groupBy("bucket", "share") for df in (questions, answering)]
 
-    a = by_bucket(asked.where(f"kind = {NGRAMS}")).cogroup(by_bucket(models)).applyInArrow(ngram, schema)
-    b = by_bucket(asked.where(f"kind = {WORDS}")).cogroup(by_bucket(words.select("bucket", "keys", "counts")))
-    return a.unionByName(b.applyInArrow(word, schema))
+    left, right = dealt(NGRAMS, models)
+    a = left.cogroup(right).applyInArrow(ngram, schema)
+    left, right = dealt(WORDS, words.select("bucket", "keys", "counts"))
+    return a.unionByName(left.cogroup(right).applyInArrow(word, schema))
 
 
 def _answer_table(left: pa.Table, values: list[bytes]) -> pa.Table:
@@ -548,7 +575,9 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket
     scratch = Scratch(spark)
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = scratch.store(_blocks(docs.select(F.col(key).cast("long"), F.col(text)), buckets), "blocks")
-    counts = scratch.store(_merged(parts.where(f"kind <> {TEXTS}")), "counts")
+    asked = parts.where(f"kind <> {TEXTS}")
+    shares, total = _shares(asked)
+    counts = scratch.store(_merged(asked, shares, total), "counts")
     words = counts.where(f"kind = {WORDS}")
     sequences = counts.where(f"kind = {NGRAMS}").select("keys", "counts", "bucket").repartition(buckets, "bucket")
     tokens, kinds = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
@@ -560,7 +589,7 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", bucket
     low = sample_low(figures, seed, 1)
     low = sample_low(_second_pass(sequences, low, discounts, seed), seed + 1, SAMPLES)
     models = scratch.store(_models(sequences, low, discounts, seed + 2), "models")
-    answers = _answers(parts, models, words, low, buckets)
+    answers = _answers(parts, models, words, low, shares, max(buckets, total))
     n, v = tokens + taught, kinds + (taught > 0)
     return _scores(parts, answers, n, v, taught).withColumnRenamed("doc_id", key)
 

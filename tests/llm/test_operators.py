@@ -317,6 +317,26 @@ def test_classifier_without_labels(spark):
     assert {r.score for r in quality.classify(docs, quality.fit(docs, none)).collect()} == {0.5}
 
 
+def test_language_model_shares(spark, monkeypatch):
+    texts = [*ODD, *[f"the cat {i} sat on the mat {i % 7}" for i in range(60)]]
+    docs = documents(spark, texts).repartition(6)
+    whole = {r.doc_id: tuple(r) for r in language_model.score_texts(docs, buckets=4).collect()}
+    monkeypatch.setattr(language_model, "SHARE_BYTES", 200)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 100)
+    dealt = {r.doc_id: tuple(r) for r in language_model.score_texts(docs, buckets=4).collect()}
+    assert set(whole) == set(dealt)
+    for k, row in whole.items():
+        assert row[:5] == dealt[k][:5] and np.allclose(row[5:], dealt[k][5:], atol=1e-3)
+
+
+def test_needed_joins_parts_of_all_tasks(spark):
+    names = [(i * 2654435761 * 40503) % 2**63 - 2**62 for i in range(500)]
+    bits = jaccard._needed(spark.createDataFrame([(x,) for x in names], "a long").repartition(7))
+    slots = {x & ((1 << jaccard.NEEDED_BITS) - 1) for x in names}
+    assert set(np.flatnonzero(np.unpackbits(bits)).tolist()) == slots
+    assert not jaccard._needed(spark.createDataFrame([], "a long")).any()
+
+
 def test_language_model_figures(spark):
     texts = [*ODD, *["the cat sat on the mat"] * 20]
     got = {r.doc_id: r for r in language_model.score_texts(documents(spark, texts), buckets=4).collect()}
