@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
@@ -19,6 +20,8 @@ from areastats.sources import materialise
 
 # The normal equations need a features x features matrix on the driver.
 NORMAL_SOLVER_LIMIT = 4096
+#: Tree models of a comparison that grow at the same time.
+GROWING = 4
 #: Ending of the names of scaled columns.
 SCALED = "_scaled"
 
@@ -75,7 +78,7 @@ class TreeModel:
     @classmethod
     def of(cls, train: DataFrame, label: str, growth: Growth, features: str) -> TreeModel:
         x = vector_to_array(features)
-        key = F.xxhash64(x, F.col(label)).cast("string")
+        key = F.xxhash64(x, F.col(label)).cast("string") if growth.bootstrap else F.lit("")
         number = -1 - F.monotonically_increasing_id()  # below those of the rows to predict
         rows = train.select(number.alias("row"), key.alias("key"), x.alias("x"), F.col(label).cast("double").alias("y"), F.lit(True).alias("trains"))
         return cls(materialise(rows, "tree-rows"), growth, features)
@@ -218,27 +221,35 @@ def compare_models(
         if spec.kind in ("tree", "forest", "boosted"):
             plain = tuple(c.removesuffix(SCALED) for c in inputs[spec.name])
             share.setdefault((tree_growth(spec), plain), []).append(spec.name)
+    grows = [spec for spec in specs if any(spec.name == g[0] for g in share.values())]
+    tables = {
+        vector: data.select(
+            F.col("_row").alias("row"),
+            F.concat_ws("|", *[F.col(k).cast("string") for k in keep]).alias("key"),
+            vector_to_array(vector).alias("x"),
+            F.col("label").alias("y"),
+            (F.col(split) == "train").alias("trains"),
+        )
+        for vector in {used[spec.name] for spec in grows}
+    }
     cuts: dict[tuple[str, int], list[list[float]]] = {}
-    for spec in specs:
-        if spec.kind in ("tree", "forest", "boosted"):
-            same = next(g for g in share.values() if spec.name in g)
-            if same[0] != spec.name:
-                continue
-            rows = data.select(
-                F.col("_row").alias("row"),
-                F.concat_ws("|", *[F.col(k).cast("string") for k in keep]).alias("key"),
-                vector_to_array(used[spec.name]).alias("x"),
-                F.col("label").alias("y"),
-                (F.col(split) == "train").alias("trains"),
-            )
-            growth = tree_growth(spec)
-            vector = (used[spec.name], growth.bins)
-            if growth.rounds and vector not in cuts:
-                cuts[vector] = trees.cut_points(rows, growth.bins)
-            grown = trees.grow(rows, growth, n, cuts.get(vector))
-            grown = grown.withColumn("model", F.explode(F.array(*[F.lit(name) for name in same])))
+    for spec in grows:
+        growth = tree_growth(spec)
+        if growth.rounds and (used[spec.name], growth.bins) not in cuts:
+            cuts[used[spec.name], growth.bins] = trees.cut_points(tables[used[spec.name]], growth.bins)
+
+    def grown_as(spec: ModelSpec) -> DataFrame:
+        growth, vector = tree_growth(spec), used[spec.name]
+        grown = trees.grow(tables[vector], growth, n, cuts.get((vector, growth.bins)))
+        same = next(g for g in share.values() if spec.name in g)
+        return grown.withColumn("model", F.explode(F.array(*[F.lit(name) for name in same])))
+
+    # Levels of large trees are many short jobs: models grow side by side, each from a thread of the driver.
+    with ThreadPoolExecutor(GROWING) as pool:
+        for grown in pool.map(grown_as, grows):
             growing = grown if growing is None else growing.unionByName(grown)
-        else:
+    for spec in specs:
+        if spec.kind not in ("tree", "forest", "boosted"):
             models[spec.name] = fit_model(train, "label", spec, used[spec.name])
             scored = models[spec.name].transform(data).withColumn("model", F.lit(spec.name))
             parts.append(scored.select(*keep, "model", "prediction", split, "label"))

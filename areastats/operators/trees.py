@@ -8,10 +8,11 @@ Labels are whole multiples of `unit`, so sums do not depend on the order of rows
 trees in every run. A split is exact: all values of all features are tried, by running sums over sorted
 values. Ties go to the first feature, then to the smallest value; the threshold lies midway to the next value.
 
-Nodes with more than `local_rows` rows are split by Spark, all nodes of all trees at once: one aggregate over
-(tree, node, feature, value) a level, with running sums over coarse cells of values and within the cells, so no task has to
-sort a whole feature. Smaller nodes are bounded and finished by one task each, in numpy; a table that is
-small itself is sent once to each group of trees.
+Nodes with more than `local_rows` rows are split by Spark, all nodes of all trees at once. Their rows stay where they are, in
+blocks that are written once for all trees, and walk down the splits found so far. A level adds up one histogram of coarse cells
+a node and feature; values are only compared in cells that may hold the best cut, so what moves is a small part of the rows and
+no task has to sort a whole feature. Smaller nodes are bounded: their rows move once, to one task each, which finishes them in numpy.
+A table that is small itself is sent once to each group of trees.
 
 A forest draws its rows by weights from a hash of (row, tree), Poisson with mean 1.
 Boosting is of second order for squared error: with gradient sums G and hessian sums H (the number of rows) a leaf
@@ -33,8 +34,16 @@ from areastats.sources import materialise
 
 #: Rows that one task may grow a tree on.
 LOCAL_ROWS = 65536
-#: Coarse cells of a feature's values in the running sums on Spark.
-CELLS = 1024
+#: Coarse cells of a feature's values in the histograms of large nodes.
+CELLS = 256
+#: Rows of a block.
+BLOCK = 16384
+#: Label sums are kept as multiples of 2^SHIFT and a rest.
+SHIFT = 20
+#: Rounds of boosting after which predictions are written.
+KEPT_ROUNDS = 10
+#: Depth of boosted trees that the driver holds.
+HELD_DEPTH = 10
 #: Groups of trees that a small table is sent to.
 GROUPS = 32
 # Distribution function of the Poisson distribution with mean 1.
@@ -177,67 +186,365 @@ def boost_here(x: np.ndarray, coded: Codes, trains: np.ndarray, y: np.ndarray, g
     return out, gains
 
 
-# -- all nodes of a level, on Spark -------------------------------------------
+# -- all large nodes of a level, where their rows lie -------------------------
 
-STATE = ["tree", "node", "row", "w", "s", "x"]
 OUT = "row long, tree int, value double, feature int, gain double, splits long"
+BLOCKS = "row binary, x binary, cells binary, s binary, y binary, out binary, w binary"
+GATHERED = "tree int, node int, depth int, row binary, x binary, s binary, w binary"
 
 
-def level_splits(state: DataFrame, growth: Growth, spans: Sequence[tuple[float, float]]) -> DataFrame:
-    """Best split of every (tree, node): its feature, threshold and gain; nodes that stay whole are missing."""
-    node = ["tree", "node"]
-    train = state.where("w > 0")
-    long = train.select(*node, "w", (F.col("w") * F.col("s")).alias("ws"), F.posexplode("x").alias("f", "v"))
-    low, width = (F.array(*[F.lit(float(v)) for v in vs]) for vs in ([a for a, _ in spans], [(b - a) or 1.0 for a, b in spans]))
-    cell = F.floor((F.col("v") - F.get(low, F.col("f"))) / F.get(width, F.col("f")) * CELLS)
-    values = long.groupBy(*node, "f", "v").agg(F.sum("w").alias("n"), F.sum("ws").alias("s")).withColumn("cell", cell)
-    cells = values.groupBy(*node, "f", "cell").agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"), F.min("v").alias("first"))
-    over = Window.partitionBy(*node, "f").orderBy("cell")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast("long")
-    cells = cells.select(
-        *node, "f", "cell",
-        F.coalesce(F.sum("cn").over(before), none).alias("n0"),
-        F.coalesce(F.sum("cs").over(before), none).alias("s0"),
-        F.lead("first").over(over).alias("after"),
-    )
-    inside = Window.partitionBy(*node, "f", "cell").orderBy("v")
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    cuts = values.join(cells, [*node, "f", "cell"]).select(
-        *node, "f", "v",
-        (F.col("n0") + F.sum("n").over(running)).alias("nl"),
-        (F.col("s0") + F.sum("s").over(running)).alias("sl"),
-        F.coalesce(F.lead("v").over(inside), F.col("after")).alias("next"),
-    )
-    totals = train.groupBy(*node).agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("s")).alias("total"), F.min("s").alias("least"), F.max("s").alias("most")
-    )
-    if growth.gamma is None:
-        totals = totals.where("least < most")
-    lam = F.lit(growth.reg_lambda)
-    square = lambda s, n: s.cast("double") * s.cast("double") / (n + lam)
-    both = cuts.where("next IS NOT NULL").join(totals, node).withColumn("nr", F.col("n") - F.col("nl"))
-    both = both.where((F.col("nl") >= growth.min_child) & (F.col("nr") >= growth.min_child))
-    gain = square(F.col("sl"), F.col("nl")) + square(F.col("total") - F.col("sl"), F.col("nr"))
-    best = both.groupBy(*node).agg(
-        F.min(F.struct((-gain).alias("loss"), "f", "v", "next")).alias("b"), F.first("n").alias("n"), F.first("total").alias("total")
-    )
-    won = -F.col("b.loss") - square(F.col("total"), F.col("n"))
-    best = best.select(*node, F.col("b.f").alias("f"), ((F.col("b.v") + F.col("b.next")) / 2).alias("threshold"), won.alias("gain"))
-    return best if growth.gamma is None else best.where(F.col("gain") > growth.gamma / growth.unit**2)
+@dataclass
+class Top:
+    """The nodes of one tree that have been split or closed so far; the children of a node lie side by side."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    child: np.ndarray
+    #: Of closed nodes; the others have NaN and are not in `closed`.
+    value: np.ndarray
+    closed: np.ndarray
+
+    @classmethod
+    def root(cls) -> Top:
+        return cls(np.zeros(1, np.int64), np.zeros(1), np.full(1, -1), np.full(1, np.nan), np.zeros(1, bool))
+
+    def split(self, node: int, feature: int, threshold: float) -> int:
+        """Two new nodes; returns the number of the left one."""
+        left = len(self.child)
+        self.feature[node], self.threshold[node], self.child[node] = feature, threshold, left
+        fresh = Top.root()
+        for name in ("feature", "threshold", "child", "value", "closed"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(fresh, name), getattr(fresh, name)]))
+        return left
+
+    def close(self, node: int, value: float) -> None:
+        self.value[node], self.closed[node] = value, True
+
+    def walk(self, x: np.ndarray) -> np.ndarray:
+        """The node that each row has come to."""
+        node, here = np.zeros(len(x), np.int64), np.arange(len(x))
+        while True:
+            at = node[here]
+            inner = self.child[at] >= 0
+            here, at = here[inner], at[inner]
+            if not len(here):
+                return node
+            node[here] = self.child[at] + (x[here, self.feature[at]] > self.threshold[at])
+
+
+@dataclass(frozen=True)
+class Block:
+    """Some rows of a tree table as arrays: values, numbers of their cells, labels, and weights by tree."""
+
+    row: np.ndarray
+    x: np.ndarray
+    cells: np.ndarray
+    s: np.ndarray
+    y: np.ndarray
+    out: np.ndarray
+    w: np.ndarray
 
+    @classmethod
+    def of(cls, r, cuts: Sequence[Sequence[float]]) -> Block:
+        row = np.frombuffer(r["row"], np.int64)
+        table = lambda name, kind: np.frombuffer(r[name], kind).reshape(len(row), -1)
+        flat = lambda name, kind: np.frombuffer(r[name], kind)
+        return cls(row, table("x", float), table("cells", cell_type(cuts)), flat("s", np.int64), flat("y", float), flat("out", float), table("w", np.uint8))
+
+    def packed(self) -> pd.DataFrame:
+        return pd.DataFrame({name: [getattr(self, name).tobytes()] for name in ("row", "x", "cells", "s", "y", "out", "w")})
+
+
+def cell_type(cuts: Sequence[Sequence[float]]) -> type:
+    return np.uint16 if max(map(len, cuts), default=0) < 2**16 else np.int32
+
+
+def cell_starts(cuts: Sequence[Sequence[float]]) -> np.ndarray:
+    """Where each feature's cells begin in a node's histogram, and the end."""
+    return np.cumsum([0, *[len(c) + 1 for c in cuts]])
+
+
+def blocks_of(rows: DataFrame, growth: Growth, cuts: Sequence[Sequence[float]], base: float = 0.0) -> DataFrame:
+    """The table in blocks of about BLOCK rows, written once. Boosting keeps cells, labels and predictions, trees values and weights."""
+    ends = [np.array(c) for c in cuts]
+    none = np.zeros(0)
 
-def finish(rows: DataFrame, growth: Growth, depth: int) -> DataFrame:
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[[f"x{f}" for f in range(len(ends))]].to_numpy(float)
+        cells = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(ends)], 1).astype(cell_type(cuts))
+        row, trains = frame["row"].to_numpy(np.int64), frame["trains"].to_numpy(bool)
+        if growth.rounds:
+            y = frame["y"].to_numpy(float)
+            return Block(row, none, cells, none, y, np.full(len(y), base), trains.astype(np.uint8)).packed()
+        w = np.stack([weights_here(frame["key"], trains, t, growth).astype(np.uint8) for t in range(growth.trees)], 1)
+        return Block(row, x, cells, frame["s"].to_numpy(np.int64), none, none, w).packed()
+
+    def run(frames):
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= BLOCK:
+                yield pack(pd.concat(held, ignore_index=True))
+                held = []
+        if sum(map(len, held)):
+            yield pack(pd.concat(held, ignore_index=True))
+
+    wanted = ["row", "trains", *(["y"] if growth.rounds else ["s", *(["key"] if growth.bootstrap else [])])]
+    flat = rows.select(*wanted, *[F.get("x", F.lit(f)).alias(f"x{f}") for f in range(len(ends))])
+    if not growth.bootstrap and not growth.rounds:
+        flat = flat.withColumn("key", F.lit(""))
+    return materialise(flat.mapInPandas(run, BLOCKS), "tree-blocks")
+
+
+def total_label(v: np.ndarray) -> np.ndarray:
+    """Sums of labels, kept as high and low parts that stay whole numbers however many rows there are."""
+    return v[..., 1] * 2.0**SHIFT + v[..., 2]
+
+
+def cut_gains(left: np.ndarray, total: np.ndarray, growth: Growth) -> np.ndarray:
+    """Gains of cuts with the given sums (weight, high and low part) on the left; impossible ones: minus infinity."""
+    right = total - left
+    s, r = total_label(left), total_label(right)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = s * s / (left[:, 0] + growth.reg_lambda) + r * r / (right[:, 0] + growth.reg_lambda)
+    return np.where((left[:, 0] >= growth.min_child) & (right[:, 0] >= max(growth.min_child, 1)), gain, -np.inf)
+
+
+def histograms(slot, n_slots: int, cells, starts, w, s, centre=None) -> np.ndarray:
+    """Sums of weights and labels by slot and cell; with a `centre` by slot also what labels lie above it."""
+    kinds = [w, w * (s >> SHIFT), w * (s & (2**SHIFT - 1))]
+    if centre is not None:
+        kinds.append(w * np.maximum(s - centre[slot], 0))
+    out = np.zeros((n_slots, int(starts[-1]), len(kinds)))
+    for f in range(len(starts) - 1):
+        k = int(starts[f + 1] - starts[f])
+        key = slot * k + cells[:, f]
+        for i, v in enumerate(kinds):
+            out[:, starts[f] : starts[f + 1], i] = np.bincount(key, v, n_slots * k).reshape(n_slots, k)
+    return out
+
+
+def best_cell_cut(sums: np.ndarray, starts: np.ndarray, growth: Growth):
+    """Where each cell is one value: (total, best cut as (-gain, feature, cell, next cell, sums on the left) or None)."""
+    total, best = sums[: starts[1], :3].sum(0), None
+    for f in range(len(starts) - 1):
+        part = sums[starts[f] : starts[f + 1], :3]
+        found = np.flatnonzero(part[:, 0])
+        if len(found) < 2:
+            continue
+        left = np.cumsum(part[found], 0)[:-1]
+        gain = cut_gains(left, total, growth)
+        i = int(np.argmax(gain))
+        if gain[i] > -np.inf and (best is None or -gain[i] < best[0]):
+            best = (-float(gain[i]), f, float(found[i]), float(found[i + 1]), *left[i].tolist())
+    return total.tolist(), best
+
+
+def cells_to_search(sums: np.ndarray, centre: float, starts: np.ndarray, growth: Growth):
+    """(total, cells that may hold the best cut: (feature, cell, next cell or -1, sums before it)).
+
+    A gain is convex in the weight and the label sum on the left. Within a cell these lie in a parallelogram: the weight grows by
+    at most the cell's, the label sum departs from the centre's share by at most what lies above or below the centre. So
+    no cut within it beats the gains at the four corners, and a cell whose corners stay below a cut between two cells is out.
+    """
+    total = sums[: starts[1], :3].sum(0)
+    n_all, s_all = total[0], float(total_label(total))
+    floor, seen = -np.inf, []
+    for f in range(len(starts) - 1):
+        part = sums[starts[f] : starts[f + 1]]
+        found = np.flatnonzero(part[:, 0])
+        if not len(found):
+            continue
+        part = part[found]
+        run = np.cumsum(part[:, :3], 0)
+        before = run - part[:, :3]
+        floor = max(floor, cut_gains(run[:-1], total, growth).max(initial=-np.inf))
+        n0, s0, n, above = before[:, 0], total_label(before), part[:, 0], part[:, 3]
+        below = np.maximum(above - (total_label(part) - centre * n), 0)
+        bound = np.full(len(found), -np.inf)
+        for a in (np.zeros(len(n)), n):
+            for d in (-below, above):
+                s = s0 + centre * a + d
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = s * s / (n0 + a + growth.reg_lambda) + (s_all - s) ** 2 / (n_all - n0 - a + growth.reg_lambda)
+                bound = np.maximum(bound, np.where(np.isnan(gain), np.inf, gain))
+        seen.append((f, found, np.append(found[1:], -1), before, bound))
+    out = []
+    for f, found, following, before, bound in seen:
+        # What rounding may take from a bound is far below this share of it.
+        keep = np.flatnonzero(bound * (1 + 1e-12) >= floor) if floor > -np.inf else np.arange(len(found))
+        out += [(f, int(found[i]), int(following[i]), *before[i].tolist()) for i in keep]
+    return total.tolist(), out
+
+
+def distinct_sums(number, v, sums):
+    """Sums by (number, value), in order."""
+    order = np.lexsort((v, number))
+    number, v, sums = number[order], v[order], sums[order]
+    at = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (v[1:] != v[:-1])))
+    return number[at], v[at], np.add.reduceat(sums, at, axis=0)
+
+
+def best_value_cut(f: int, before: Sequence[float], total: Sequence[float], found, growth: Growth):
+    """The best cut after a value of one cell. Values without weight are the first ones of the next cell."""
+    entries = np.concatenate(list(found))
+    _, v, sums = distinct_sums(np.zeros(len(entries), np.int64), entries[:, 0], entries[:, 1:])
+    own = np.flatnonzero(sums[:-1, 0] > 0)
+    if not len(own):
+        return None
+    left = np.cumsum(sums, 0)[own] + np.array(before)
+    gain = cut_gains(left, np.array(total), growth)
+    i = int(np.argmax(gain))
+    return (-float(gain[i]), f, float(v[own[i]]), float(v[own[i] + 1]), *left[i].tolist()) if gain[i] > -np.inf else None
+
+
+def tasks_for(spark, keys: int, bytes_each: int) -> int:
+    """Tasks that add up so many keys: one for each few megabytes of a map task's share, as small tasks cost more than they save."""
+    return max(1, min(keys, -(-keys * bytes_each // 2**21), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, growth: Growth) -> dict:
+    """(total, best cut or None) of every large node, from all values of all features.
+
+    `large`: the mean label by (tree, node). Histograms over cells come first; values are looked at where these leave it open.
+    """
+    starts, places = cell_starts(cuts), {}
+    for tree, node in large:
+        places.setdefault(tree, []).append(node)
+
+    def at_work(part):
+        for r in part:
+            block = Block.of(r, cuts)
+            for tree, nodes in places.items():
+                to = np.full(len(tops[tree].child), -1)
+                to[nodes] = range(len(nodes))
+                slot = to[tops[tree].walk(block.x)]
+                keep = np.flatnonzero((slot >= 0) & (block.w[:, tree] > 0))
+                if len(keep):
+                    yield tree, nodes, block, keep, slot[keep], block.w[keep, tree].astype(np.int64), block.s[keep]
+
+    def coarse(part):
+        for tree, nodes, block, keep, slot, w, s in at_work(part):
+            centre = np.array([large[tree, n] for n in nodes], np.int64)
+            sums = histograms(slot, len(nodes), block.cells[keep], starts, w, s, centre)
+            least, most = np.full(len(nodes), 2**63 - 1), np.full(len(nodes), -(2**63))
+            np.minimum.at(least, slot, s)
+            np.maximum.at(most, slot, s)
+            for i in np.unique(slot):
+                yield (tree, nodes[i]), (sums[i], int(least[i]), int(most[i]))
+
+    def judged(item):
+        key, (sums, least, most) = item
+        total, open_ = cells_to_search(sums, large[key], starts, growth)
+        return key, (total, [] if growth.gamma is None and least == most else open_)
+
+    add = lambda a, b: (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]))
+    tasks = tasks_for(spark, len(large), 32 * int(starts[-1]))
+    seen = dict(data.mapPartitions(coarse).reduceByKey(add, tasks).map(judged).collect())
+    searched = [(key, *c) for key, (_, open_) in seen.items() for c in open_]
+    out = {key: (total, None) for key, (total, _) in seen.items()}
+    if not searched:
+        return out
+    marks = {t: (np.full((len(nodes), int(starts[-1])), -1, np.int32), np.full((len(nodes), int(starts[-1])), -1, np.int32)) for t, nodes in places.items()}
+    for number, ((tree, node), f, cell, following, *_) in enumerate(searched):
+        own, after = marks[tree]
+        own[places[tree].index(node), starts[f] + cell] = number
+        if following >= 0:
+            after[places[tree].index(node), starts[f] + following] = number
+
+    def fine(part):
+        for tree, _, block, keep, slot, w, s in at_work(part):
+            own, after = marks[tree]
+            sums = np.stack([w, w * (s >> SHIFT), w * (s & (2**SHIFT - 1))], 1).astype(float)
+            numbers, values, weights = [], [], []
+            for f in range(len(starts) - 1):
+                at, v = starts[f] + block.cells[keep, f], block.x[keep, f]
+                number, following = own[slot, at], after[slot, at]
+                m, first = number >= 0, np.flatnonzero(following >= 0)
+                first = first[np.lexsort((v[first], following[first]))]
+                first = first[np.unique(following[first], return_index=True)[1]]
+                numbers += [number[m], following[first]]
+                values += [v[m], v[first]]
+                weights += [sums[m], np.zeros((len(first), 3))]
+            number = np.concatenate(numbers)
+            if len(number):
+                number, v, sums = distinct_sums(number, np.concatenate(values), np.concatenate(weights))
+                entries, at = np.c_[v, sums], np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                for n, e in zip(number[at].tolist(), np.split(entries, at[1:])):
+                    yield n, e
+
+    def best(item):
+        number, found = item
+        key, f, _, _, *before = searched[number]
+        cut = best_value_cut(f, before, seen_totals[key], found, growth)
+        return [] if cut is None else [(key, cut)]
+
+    seen_totals = {key: total for key, (total, open_) in seen.items() if open_}
+    cuts_found = data.mapPartitions(fine).groupByKey(tasks_for(spark, len(searched), 2**17)).flatMap(best).reduceByKey(min, tasks)
+    return out | {key: (seen[key][0], cut) for key, cut in cuts_found.collect()}
+
+
+def node_sizes(data, tops: Sequence[Top], wanted: set, cuts) -> dict:
+    """Rows of each wanted (tree, node), whether they train or not."""
+    trees = sorted({tree for tree, _ in wanted})
+
+    def run(part):
+        for r in part:
+            block = Block.of(r, cuts)
+            for tree in trees:
+                n = np.bincount(tops[tree].walk(block.x), minlength=len(tops[tree].child))
+                yield from (((tree, node), int(n[node])) for node in np.flatnonzero(n).tolist() if (tree, node) in wanted)
+
+    return dict(data.mapPartitions(run).reduceByKey(lambda a, b: a + b, 1).collect())
+
+
+def mean_label(sums: Sequence[float]) -> int:
+    s = int(sums[1]) * 2**SHIFT + int(sums[2])
+    return round(s / sums[0]) if sums[0] else 0
+
+
+def leaf_value(sums: Sequence[float], growth: Growth) -> float:
+    n = sums[0] + growth.reg_lambda
+    return float(total_label(np.array(sums))) * growth.unit / n if n else float("nan")
+
+
+def won_by(best, total, growth: Growth) -> float | None:
+    """What a split gains, None if the node stays whole."""
+    if best is None:
+        return None
+    s = float(total_label(np.array(total)))
+    won = -best[0] - s * s / (total[0] + growth.reg_lambda)
+    return won if growth.gamma is None or won > growth.gamma / growth.unit**2 else None
+
+
+def finish(blocks: DataFrame, tops: Sequence[Top], depths: dict, cuts, growth: Growth) -> DataFrame:
     """Finish nodes of bounded size, each in one task: predictions of rows, and gains of features."""
+    trees = sorted({tree for tree, _ in depths})
+
+    def gather(frames):
+        for frame in frames:
+            for _, r in frame.iterrows():
+                block = Block.of(r, cuts)
+                for tree in trees:
+                    at = tops[tree].walk(block.x)
+                    order = np.argsort(at, kind="stable")
+                    ends = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
+                    for here in np.split(order, ends[1:]):
+                        node = int(at[here[0]])
+                        if (tree, node) in depths:
+                            parts = {n: [getattr(block, n)[here].tobytes()] for n in ("row", "x", "s")}
+                            yield pd.DataFrame({"tree": tree, "node": node, "depth": depths[tree, node], **parts, "w": [block.w[here, tree].tobytes()]})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame["x"].to_numpy())
-        leaf, n, s, gains = grow_here(x, Codes.of(x), frame["w"].to_numpy(), frame["s"].to_numpy().astype(float), growth, depth)
+        join = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
+        row, s, w = join("row", np.int64), join("s", np.int64).astype(float), join("w", np.uint8).astype(np.int64)
+        x = join("x", float).reshape(len(row), -1)
+        leaf, n, s, gains = grow_here(x, Codes.of(x), w, s, growth, int(frame["depth"].iloc[0]))
         with np.errstate(divide="ignore", invalid="ignore"):
             value = s * growth.unit / (n + growth.reg_lambda)
-        return emitted(frame["row"].to_numpy(), int(frame["tree"].iloc[0]), value[leaf], gains)
+        return emitted(row, int(frame["tree"].iloc[0]), value[leaf], gains)
 
-    return rows.groupBy("tree", "node").applyInPandas(run, OUT)
+    return blocks.mapInPandas(gather, GATHERED).groupBy("tree", "node").applyInPandas(run, OUT)
 
 
 def emitted(row, tree: int, value, gains) -> pd.DataFrame:
@@ -249,37 +556,65 @@ def emitted(row, tree: int, value, gains) -> pd.DataFrame:
     return pd.concat([out, extra], ignore_index=True)
 
 
+def gain_rows(spark, gains: Sequence[tuple[int, int, float]]) -> DataFrame:
+    """Splits of large nodes (tree, feature, gain), as OUT."""
+    return spark.createDataFrame([(-1, t, 0.0, f, g, 1) for t, f, g in gains], OUT)
+
+
 def grow_on_spark(rows: DataFrame, growth: Growth) -> DataFrame:
-    """Trees on a table of any size (row, key, x, s, trains): as OUT."""
-    width = len(rows.select("x").first().x)
-    ends = rows.agg(*[F.struct(F.min(F.get("x", F.lit(f))), F.max(F.get("x", F.lit(f)))) for f in range(width)]).first()
-    spans = [tuple(e) for e in ends]
-    each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(growth.trees - 1))))
-    big = materialise(each.select("tree", F.lit("1").alias("node"), "row", weight(F.col("key"), F.col("tree"), F.col("trains"), growth).alias("w"), "s", "x"), "trees")
-    parts, depth = [], 0
-    while True:
-        sizes = big.groupBy("tree", "node").count()
-        small = big.join(sizes.where(F.col("count") <= growth.local_rows), ["tree", "node"]).select(*STATE)
-        parts.append(finish(small, growth, depth))
-        big = materialise(big.join(sizes.where(F.col("count") > growth.local_rows), ["tree", "node"]).select(*STATE), "tree-level")
-        if big.isEmpty():
-            break
-        splits = materialise(level_splits(big, growth, spans), "tree-splits")
-        if growth.max_depth is not None and depth >= growth.max_depth:
-            splits = splits.limit(0)
-        leaves = big.join(splits, ["tree", "node"], "left_anti")
-        mean = leaves.groupBy("tree", "node").agg((F.sum(F.col("w") * F.col("s")) * growth.unit / (F.sum("w") + growth.reg_lambda)).alias("value"))
-        none = [F.lit(-1).alias("feature"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("splits")]
-        parts.append(leaves.join(mean, ["tree", "node"]).select("row", "tree", "value", *none))
-        won = splits.groupBy("tree", "f").agg(F.sum("gain").alias("gain"), F.count("*").alias("splits"))
-        parts.append(won.select(F.lit(-1).cast("long").alias("row"), "tree", F.lit(0.0).alias("value"), F.col("f").alias("feature"), "gain", "splits"))
-        side = F.when(F.get("x", F.col("f")) > F.col("threshold"), "1").otherwise("0")
-        big = big.join(splits, ["tree", "node"]).select("tree", F.concat("node", side).alias("node"), "row", "w", "s", "x")
-        depth += 1
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Trees on a table of any size (row, key, x, s, trains): as OUT.
+
+    The driver holds the splits of large nodes, of which there are at most trees * rows / local_rows a level.
+    """
+    spark = rows.sparkSession
+    cuts = cut_points(rows, CELLS, 10 * CELLS)
+    blocks = blocks_of(rows, growth, cuts)
+    data = blocks.rdd
+    tops = [Top.root() for _ in range(growth.trees)]
+    whole = label_sums(rows)
+    known = {(t, 0): whole for t in range(growth.trees)}  # of forests not the drawn rows' sums: replaced when they are seen
+    small, gains, depth = {}, [], 0
+    while known:
+        last = growth.max_depth is not None and depth >= growth.max_depth and depth > 0
+        sizes = {} if last else node_sizes(data, tops, set(known), cuts)
+        small |= {key: depth for key, n in sizes.items() if n <= growth.local_rows}
+        known = {key: sums for key, sums in known.items() if key not in small}
+        found = {} if last else split_values(data, spark, tops, {k: mean_label(v) for k, v in known.items()}, cuts, growth)
+        children = {}
+        for (tree, node), sums in known.items():
+            total, best = (sums, None) if last else found.get((tree, node), ([0.0, 0.0, 0.0], None))
+            won = won_by(best, total, growth) if growth.max_depth is None or depth < growth.max_depth else None
+            if won is None:
+                tops[tree].close(node, leaf_value(total, growth))
+                continue
+            _, f, v, following, *left = best
+            child = tops[tree].split(node, f, (v + following) / 2)
+            children[tree, child], children[tree, child + 1] = left, [a - b for a, b in zip(total, left)]
+            gains.append((tree, f, won))
+        known, depth = children, depth + 1
+    closed = [t for t, top in enumerate(tops) if top.closed.any()]
+
+    def leaves(frames):
+        for frame in frames:
+            for _, r in frame.iterrows():
+                block = Block.of(r, cuts)
+                for tree in closed:
+                    at = tops[tree].walk(block.x)
+                    here = tops[tree].closed[at]
+                    if here.any():
+                        yield emitted(block.row[here], tree, tops[tree].value[at[here]], [])
+
+    out = gain_rows(spark, gains)
+    if closed:
+        out = out.unionByName(blocks.mapInPandas(leaves, OUT))
+    return out.unionByName(finish(blocks, tops, small, cuts, growth)) if small else out
+
+
+def label_sums(rows: DataFrame) -> list[float]:
+    """Weight and label sums of the training rows."""
+    low = F.col("s").bitwiseAND(F.lit(2**SHIFT - 1))
+    found = rows.where("trains").agg(F.count("*"), F.sum(F.shiftright("s", SHIFT)), F.sum(low)).first()
+    return [float(v or 0) for v in found]
 
 
 def grow_in_groups(rows: DataFrame, growth: Growth) -> DataFrame:
@@ -304,11 +639,90 @@ def grow_in_groups(rows: DataFrame, growth: Growth) -> DataFrame:
     return each.repartition(groups, "part").groupBy("part").applyInPandas(run, OUT)
 
 
-def boost_on_spark(rows: DataFrame, growth: Growth) -> DataFrame:
-    """Rounds of boosting on a table of any size; what is written after each round is all that it keeps."""
+def boost_on_spark(rows: DataFrame, growth: Growth, cuts: Sequence[Sequence[float]]) -> DataFrame:
+    """Rounds of boosting on a table of any size: as OUT.
+
+    Rows stay where they are. A level is one histogram of all its nodes by bins, of which the driver gets the best cuts; it holds one
+    tree, of at most 2^max_depth leaves. Predictions are written every KEPT_ROUNDS rounds, between them rows walk down
+    the trees since.
+    """
+    spark, starts = rows.sparkSession, cell_starts(cuts)
+    whole = label_sums(rows)
+    base = float(total_label(np.array(whole))) / whole[0] * growth.unit if whole[0] else 0.0
+    blocks = blocks_of(rows, growth, cuts, base)
+    data, since, gains = blocks.rdd, [], []
+
+    def predicted(block: Block, tops: Sequence[Top]) -> np.ndarray:
+        out = block.out
+        for top in tops:
+            out = out + growth.step * top.value[top.walk(block.cells)]
+        return out
+
+    def kept(tops: Sequence[Top]):
+        def run(frames):
+            for frame in frames:
+                for _, r in frame.iterrows():
+                    block = Block.of(r, cuts)
+                    yield replace(block, out=predicted(block, tops)).packed()
+
+        return run
+
+    def level(tops: Sequence[Top], top: Top, nodes: Sequence[int]):
+        to = np.full(len(top.child), -1)
+        to[nodes] = range(len(nodes))
+
+        def run(part):
+            for r in part:
+                block = Block.of(r, cuts)
+                slot = to[top.walk(block.cells)]
+                keep = np.flatnonzero((slot >= 0) & (block.w[:, 0] > 0))
+                if len(keep):
+                    s = np.rint((block.y[keep] - predicted(block, tops)[keep]) / growth.unit).astype(np.int64)
+                    sums = histograms(slot[keep], len(nodes), block.cells[keep], starts, np.ones(len(keep), np.int64), s)
+                    yield from ((nodes[i], sums[i]) for i in np.unique(slot[keep]).tolist())
+
+        return run
+
+    for round_ in range(growth.rounds):
+        top, nodes, depth = Top.root(), [0], 0
+        known: dict[int, Sequence[float]] = {}
+        while nodes and depth < max(growth.max_depth, 1):
+            summed = data.mapPartitions(level(since, top, nodes)).reduceByKey(lambda a, b: a + b, tasks_for(spark, len(nodes), 24 * int(starts[-1])))
+            found = dict(summed.mapValues(lambda v: best_cell_cut(v, starts, growth)).collect())
+            nodes = []
+            for node, (total, best) in sorted(found.items()):
+                known[node] = total
+                won = won_by(best, total, growth) if depth < growth.max_depth else None
+                if won is None:
+                    continue
+                _, f, v, following, *left = best
+                child = top.split(node, f, (v + following) / 2)
+                known[child], known[child + 1] = left, [a - b for a, b in zip(total, left)]
+                nodes += [child, child + 1]
+                gains.append((0, f, won))
+            depth += 1
+        for node in np.flatnonzero(top.child < 0).tolist():
+            top.close(node, leaf_value(known[node], growth))
+        since.append(top)
+        if len(since) == KEPT_ROUNDS and round_ + 1 < growth.rounds:
+            blocks = materialise(blocks.mapInPandas(kept(since), BLOCKS), "boosted-blocks")
+            data, since = blocks.rdd, []
+
+    def final(frames):
+        for frame in frames:
+            for _, r in frame.iterrows():
+                block = Block.of(r, cuts)
+                yield emitted(block.row, 0, predicted(block, since), [])
+
+    return blocks.mapInPandas(final, OUT).unionByName(gain_rows(spark, gains))
+
+
+def boost_tree_by_tree(rows: DataFrame, growth: Growth) -> DataFrame:
+    """The same for trees of no stated depth: the driver never holds one of them whole."""
     one = replace(growth, rounds=0, trees=1)
-    base = rows.where("trains").agg((F.sum("s") / F.count("*") * growth.unit).alias("b")).first().b or 0.0
-    state = rows.withColumn("out", F.lit(float(base)))
+    whole = label_sums(rows)
+    base = float(total_label(np.array(whole))) / whole[0] * growth.unit if whole[0] else 0.0
+    state = rows.withColumn("out", F.lit(base))
     gains = None
     for _ in range(growth.rounds):
         state = state.withColumn("s", F.rint((F.col("y") - F.col("out")) / growth.unit).cast("long"))
@@ -322,14 +736,14 @@ def boost_on_spark(rows: DataFrame, growth: Growth) -> DataFrame:
     return out if gains is None else out.unionByName(gains)
 
 
-def cut_points(rows: DataFrame, bins: int) -> list[list[float]]:
+def cut_points(rows: DataFrame, bins: int, accuracy: int | None = None) -> list[list[float]]:
     """Values that cut each feature into equal shares of the training rows.
 
     These are the weighted quantiles of boosting: the hessian of squared error is 1 a row.
     """
     shares = [i / bins for i in range(1, bins)]
     each = rows.where("trains").select(F.posexplode("x").alias("f", "v"))
-    found = each.groupBy("f").agg(F.percentile_approx("v", shares, 100 * bins).alias("cuts"))
+    found = each.groupBy("f").agg(F.percentile_approx("v", shares, accuracy or 100 * bins).alias("cuts"))
     return [sorted(set(r.cuts)) for r in found.orderBy("f").collect()]
 
 
@@ -357,11 +771,15 @@ def grow(rows: DataFrame, growth: Growth, n: int | None = None, cuts: Sequence[S
     if not n or rows.where("trains").isEmpty():
         return rows.sparkSession.createDataFrame([], OUT)
     if growth.rounds:
-        rows = binned(rows, cut_points(rows, growth.bins) if cuts is None else cuts)
+        cuts = cut_points(rows, growth.bins) if cuts is None else cuts
     rows = rows.withColumn("s", F.when(F.col("trains"), F.rint(F.col("y") / growth.unit).cast("long")).otherwise(0))
+    if growth.rounds and n > growth.local_rows and growth.max_depth is not None and growth.max_depth <= HELD_DEPTH:
+        return boost_on_spark(rows, growth, cuts)
+    if growth.rounds:
+        rows = binned(rows, cuts)
     if n <= growth.local_rows:
         return grow_in_groups(rows, growth)
-    return boost_on_spark(rows, growth) if growth.rounds else grow_on_spark(rows, growth)
+    return boost_tree_by_tree(rows, growth) if growth.rounds else grow_on_spark(rows, growth)
 
 
 def predictions(grown: DataFrame) -> DataFrame:
