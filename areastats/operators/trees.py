@@ -1,7 +1,7 @@
 """Regression trees, forests and boosted trees, grown level by level on Spark.
 
 A row of a tree table has an id, its features as an array, its label and whether it trains the
-trees. Rows that do not train take part with weight 0: they walk down with the others, so a table is
+trees. Rows numbered below 0 get no prediction. Rows that do not train take part with weight 0: they walk down with the others, so a table is
 predicted while the trees grow, and trees of any size never pass through the driver.
 
 Labels are whole multiples of `unit`, so sums do not depend on the order of rows, and the same table gives the same
@@ -548,6 +548,8 @@ def finish(blocks: DataFrame, tops: Sequence[Top], depths: dict, cuts, growth: G
 
 
 def emitted(row, tree: int, value, gains) -> pd.DataFrame:
+    wanted = row >= 0
+    row, value = row[wanted], value[wanted]
     out = pd.DataFrame({"row": row, "tree": tree, "value": value, "feature": -1, "gain": 0.0, "splits": 0})
     if not gains:
         return out
@@ -719,6 +721,9 @@ def boost_on_spark(rows: DataFrame, growth: Growth, cuts: Sequence[Sequence[floa
 
 def boost_tree_by_tree(rows: DataFrame, growth: Growth) -> DataFrame:
     """The same for trees of no stated depth: the driver never holds one of them whole."""
+    # Every row needs its prediction for the next round.
+    every = F.when(F.col("row") < 0, -2 * F.col("row") - 1).otherwise(2 * F.col("row"))
+    rows = rows.withColumn("given", F.col("row")).withColumn("row", every)
     one = replace(growth, rounds=0, trees=1)
     whole = label_sums(rows)
     base = float(total_label(np.array(whole))) / whole[0] * growth.unit if whole[0] else 0.0
@@ -732,7 +737,7 @@ def boost_tree_by_tree(rows: DataFrame, growth: Growth) -> DataFrame:
         won = grown.where("feature >= 0")
         gains = won if gains is None else gains.unionByName(won)
     none = [F.lit(0).alias("tree"), F.col("out").alias("value"), F.lit(-1).alias("feature"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("splits")]
-    out = state.select("row", *none)
+    out = state.where("given >= 0").select(F.col("given").alias("row"), *none)
     return out if gains is None else out.unionByName(gains)
 
 
@@ -760,7 +765,7 @@ def binned(rows: DataFrame, cuts: Sequence[Sequence[float]]) -> DataFrame:
 
 
 def grow(rows: DataFrame, growth: Growth, n: int | None = None, cuts: Sequence[Sequence[float]] | None = None) -> DataFrame:
-    """Grow on a tree table (row, key, x, y, trains) of `n` rows and predict all of them.
+    """Grow on a tree table (row, key, x, y, trains) of `n` rows and predict those numbered from 0.
 
     `cuts`, for boosting, where they are known already.
 

@@ -88,6 +88,67 @@ def test_boosting_against_brute_force(spark, made, local_rows):
     assert len(got) == len(x)
 
 
+@pytest.mark.parametrize("growth", [Growth(max_depth=3), Growth(), Growth(max_depth=4, min_child=7.0, reg_lambda=2.0, gamma=40.0)])
+def test_cells_of_many_values_against_brute_force(spark, made, growth, monkeypatch):
+    monkeypatch.setattr(trees, "CELLS", 4)
+    monkeypatch.setattr(trees, "BLOCK", 30)
+    x, y, trains = made
+    growth = Growth(**{**growth.__dict__, "local_rows": 25})
+    model = brute_tree(x, np.rint(y / growth.unit), trains.astype(int), growth)
+    got = {r.row: r.prediction for r in trees.predictions(trees.grow(tree_table(spark, x, y, trains), growth)).collect()}
+    assert got == {i: pytest.approx(model(x[i])) for i in range(len(x))}
+
+
+def test_few_cells_are_searched_and_the_best_cut_is_in_one():
+    """What moves for an exact cut is a small part of a large node's values."""
+    rng = np.random.default_rng(3)
+    x, growth = rng.random((40000, 3)), Growth()
+    s = np.rint((2000 + 30 * (x[:, 1] > 0.437) + rng.normal(0, 20, 40000)) * 1e6).astype(np.int64)
+    cuts = [np.quantile(x[:, f], np.arange(1, 256) / 256) for f in range(3)]
+    cells = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)], 1)
+    starts, centre = trees.cell_starts(cuts), round(s.mean())
+    sums = trees.histograms(np.zeros(len(x), int), 1, cells, starts, np.ones(len(x), np.int64), s, np.array([centre]))
+    total, open_ = trees.cells_to_search(sums[0], centre, starts, growth)
+    gains = []
+    for f in range(3):
+        order = np.argsort(x[:, f])
+        n, run = np.arange(1, len(x)), np.cumsum(s[order].astype(float))
+        gain = run[:-1] ** 2 / n + (run[-1] - run[:-1]) ** 2 / (len(x) - n)
+        gains.append((gain.max(), f, cells[order, f][gain.argmax()]))
+    assert max(gains)[1:] in {(f, cell) for f, cell, *_ in open_} and len(open_) < 20
+    assert total[0] == len(x) and total[1] * 2**trees.SHIFT + total[2] == s.sum()
+
+
+def test_label_sums_beyond_a_long(spark):
+    """The sum of the prices of a few hundred million lines, in millionths, is one."""
+    rows = [(i, "k", [float(i % 2)], 4e12 + i % 2, True) for i in range(6)]
+    table = spark.createDataFrame(rows, "row long, key string, x array<double>, y double, trains boolean")
+    for growth in (Growth(local_rows=2), Growth(rounds=1, max_depth=1, local_rows=2)):
+        got = {r.row: r.prediction for r in trees.predictions(trees.grow(table, growth)).collect()}
+        assert got == {i: pytest.approx(4e12 + (i % 2 if not growth.rounds else 0.35 + 0.3 * (i % 2)), abs=0.2) for i in range(6)}
+
+
+def test_large_boosted_trees_take_one_job_a_level(spark, made):
+    x, y, trains = made
+    growth = Growth(rounds=4, max_depth=3, reg_lambda=1.0, gamma=0.0, local_rows=50)
+    table, cuts = tree_table(spark, x, y, trains), [[float(v) for v in np.unique(x[:, f])] for f in range(4)]
+    spark.sparkContext.setJobGroup("boosting", "")
+    try:
+        trees.predictions(trees.grow(table, growth, len(x), cuts)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")) <= 4 * 3 + 10
+
+
+def test_rows_that_only_train_get_no_prediction(spark, made):
+    x, y, trains = made
+    table = tree_table(spark, x, y, trains)
+    both = table.withColumn("row", F.when(F.col("trains"), -1 - F.col("row")).otherwise(F.col("row")))
+    for growth in (Growth(max_depth=2), Growth(max_depth=3, local_rows=50), Growth(rounds=2, max_depth=2, local_rows=50), Growth(rounds=2, gamma=0.0, local_rows=50)):
+        want, got = ({r.row: r.prediction for r in trees.predictions(trees.grow(t, growth)).collect()} for t in (table, both))
+        assert got == {i: pytest.approx(want[i]) for i in range(len(x)) if not trains[i]}
+
+
 def test_odd_tree_tables(spark):
     schema = "row long, key string, x array<double>, y double, trains boolean"
     assert trees.grow(spark.createDataFrame([], schema), Growth()).count() == 0
