@@ -276,7 +276,7 @@ def blocks_of(rows: DataFrame, growth: Growth, cuts: Sequence[Sequence[float]],
         if growth.rounds:
             y = frame["y"].to_numpy(float)
             return Block(row, none, cells, none, y, np.full(len(y), base), trains.astype(np.uint8)).packed()
-        w = np.stack([weights_here(frame["key"], trains, t, growth).astype(np.uint8) for t in range(growth.trees)], 1)
+        w = np.stack([weights_here(frame["key"] if growth.bootstrap else (), trains, t, growth).astype(np.uint8) for t in range(growth.trees)], 1)
         return Block(row, x, cells, frame["s"].to_numpy(np.int64), none, none, w).packed()
 
     def run(frames):
@@ -291,8 +291,6 @@ def blocks_of(rows: DataFrame, growth: Growth, cuts: Sequence[Sequence[float]],
 
     wanted = ["row", "trains", *(["y"] if growth.rounds else ["s", *(["key"] if growth.bootstrap else [])])]
     flat = rows.select(*wanted, *[F.get("x", F.lit(f)).alias(f"x{f}") for f in range(len(ends))])
-    if not growth.bootstrap and not growth.rounds:
-        flat = flat.withColumn("key", F.lit(""))
     return materialise(flat.mapInPandas(run, BLOCKS), "tree-blocks")
 
 
