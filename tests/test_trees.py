@@ -140,6 +140,25 @@ def test_large_boosted_trees_take_one_job_a_level(spark, made):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")) <= 4 * 3 + 10
 
 
+def test_few_histograms_take_no_second_stage(spark, made, monkeypatch):
+    x, y, trains = made
+    growth = Growth(rounds=3, max_depth=3, reg_lambda=1.0, gamma=0.0, local_rows=50)
+    table, cuts = tree_table(spark, x, y, trains), [[float(v) for v in np.unique(x[:, f])] for f in range(4)]
+    found, two_stages = [], []
+    for bytes_ in (trees.COLLECTED, 0):
+        monkeypatch.setattr(trees, "COLLECTED", bytes_)
+        spark.sparkContext.setJobGroup(f"boosting-{bytes_}", "")
+        try:
+            found.append({r.row: r.prediction for r in trees.predictions(trees.grow(table, growth, len(x), cuts)).collect()})
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(i) for i in tracker.getJobIdsForGroup(f"boosting-{bytes_}")]
+        two_stages.append(sum(len(j.stageIds) > 1 for j in jobs))
+    assert found[0] == found[1] and len(found[0]) == len(x)
+    assert two_stages[1] - two_stages[0] == 3 * 3
+
+
 def test_rows_that_only_train_get_no_prediction(spark, made):
     x, y, trains = made
     table = tree_table(spark, x, y, trains)
