@@ -355,12 +355,13 @@ def best_cell_cut(sums: np.ndarray, starts: np.ndarray, growth: Growth):
     return total.tolist(), (-float(gain[i]), f, float(i - starts[f]), float(following - starts[f]), *left[i].tolist())
 
 
-def cells_to_search(sums: np.ndarray, centre: float, starts: np.ndarray, growth: Growth):
+def cells_to_search(sums: np.ndarray, centre: float, starts: np.ndarray, growth: Growth, lone: np.ndarray | None = None):
     """(total, cells that may hold the best cut: (feature, cell, next cell or -1, sums before it)).
 
     A gain is convex in the weight and the label sum on the left. Within a cell these lie in a parallelogram: the weight grows by
     at most the cell's, the label sum departs from the centre's share by at most what lies above or below the centre. So
     no cut within it beats the gains at the four corners, and a cell whose corners stay below a cut between two cells is out.
+    A cell of one value (`lone` is not NaN) can only be cut at its end.
     """
     total = sums[: starts[1], :3].sum(0)
     n_all, s_all = total[0], float(total_label(total))
@@ -373,7 +374,8 @@ def cells_to_search(sums: np.ndarray, centre: float, starts: np.ndarray, growth:
         part = part[found]
         run = np.cumsum(part[:, :3], 0)
         before = run - part[:, :3]
-        floor = max(floor, cut_gains(run[:-1], total, growth).max(initial=-np.inf))
+        ends = np.append(cut_gains(run[:-1], total, growth), -np.inf)
+        floor = max(floor, ends.max())
         n0, s0, n, above = before[:, 0], total_label(before), part[:, 0], part[:, 3]
         below = np.maximum(above - (total_label(part) - centre * n), 0)
         bound = np.full(len(found), -np.inf)
@@ -383,15 +385,40 @@ def cells_to_search(sums: np.ndarray, centre: float, starts: np.ndarray, growth:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = s * s / (n0 + a + growth.reg_lambda) + (s_all - s) ** 2 / (n_all - n0 - a + growth.reg_lambda)
                 bound = np.maximum(bound, np.where(np.isnan(gain), np.inf, gain))
+        if lone is not None:
+            bound = np.where(np.isnan(lone[starts[f] + found]), bound, ends)
         seen.append((f, found, np.append(found[1:], -1), before, bound))
     out = []
     for f, found, following, before, bound in seen:
         # What rounding may take from a bound is far below this share of it.
-        keep = np.flatnonzero(bound * (1 + 1e-12) >= floor) if floor > -np.inf else np.arange(len(found))
+        keep = np.flatnonzero((bound * (1 + 1e-12) >= floor) & (bound > -np.inf)) if floor > -np.inf else np.flatnonzero(bound > -np.inf)
         out += [(f, int(found[i]), int(following[i]), *before[i].tolist()) for i in keep]
     return total.tolist(), out
 
 
+def lone_values(data, starts: np.ndarray, cuts) -> np.ndarray:
+    """The value of each cell that holds a single one in all rows, NaN for the others. Features of many values are not looked at."""
+    few = [f for f in range(len(starts) - 1) if starts[f + 1] - starts[f] < CELLS]
+    out = np.full(int(starts[-1]), np.nan)
+    if not few:
+        return out
+
+    def run(part):
+        least, most = np.full(len(out), np.inf), np.full(len(out), -np.inf)
+        for r in part:
+            block = Block.of(r, cuts)
+            for f in few:
+                at, v = starts[f] + block.cells[:, f], np.ascontiguousarray(block.x[:, f])
+                np.minimum.at(least, at, v)
+                np.maximum.at(most, at, v)
+        yield 0, (least, most)
+
+    found = data.mapPartitions(run).reduceByKey(lambda a, b: (np.minimum(a[0], b[0]), np.maximum(a[1], b[1])), 1).collect()
+    for _, (least, most) in found:
+        out[least == most] = least[least == most]
+    return out
+
+
 def distinct_sums(number, v, sums):
     """Sums by (number, value), in order."""
     order = np.lexsort((v, number))
@@ -418,10 +445,11 @@ def tasks_for(spark, keys: int, bytes_each: int) -> int:
     return max(1, min(keys, -(-keys * bytes_each // 2**21), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, growth: Growth) -> dict:
-    """(total, best cut or None) of every large node, from all values of all features.
+def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, lone: np.ndarray, growth: Growth) -> dict:
+    """(rows, total, best cut or None) of every node, from all values of all features; small ones get no cut.
 
-    `large`: the mean label by (tree, node). Histograms over cells come first; values are looked at where these leave it open.
+    `large`: the mean label by (tree, node). One pass gives histograms over cells; values are looked at where these leave it open. A cut
+    also says how many rows may go to either side at most, whether they train or not.
     """
     starts, places = cell_starts(cuts), {}
     for tree, node in large:
@@ -435,29 +463,48 @@ def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, growth: Gr
                 to[nodes] = range(len(nodes))
                 slot = to[tops[tree].walk(block.x)]
                 keep = np.flatnonzero((slot >= 0) & (block.w[:, tree] > 0))
-                if len(keep):
-                    yield tree, nodes, block, keep, slot[keep], block.w[keep, tree].astype(np.int64), block.s[keep]
+                yield tree, nodes, block, slot, keep, slot[keep], block.w[keep, tree].astype(np.int64), block.s[keep]
 
     def coarse(part):
-        for tree, nodes, block, keep, slot, w, s in at_work(part):
+        for tree, nodes, block, every, keep, slot, w, s in at_work(part):
+            here = np.flatnonzero(every >= 0)
+            if not len(here):
+                continue
             centre = np.array([large[tree, n] for n in nodes], np.int64)
             sums = histograms(slot, len(nodes), block.cells[keep], starts, w, s, centre)
+            if len(keep) == len(here) and (w == 1).all():
+                n_rows = sums[..., 0]
+            else:
+                n_rows = histograms(every[here], len(nodes), block.cells[here], starts, np.ones(len(here), np.int64), np.zeros(len(here), np.int64))[..., 0]
             least, most = np.full(len(nodes), 2**63 - 1), np.full(len(nodes), -(2**63))
             np.minimum.at(least, slot, s)
             np.maximum.at(most, slot, s)
-            for i in np.unique(slot):
-                yield (tree, nodes[i]), (sums[i], int(least[i]), int(most[i]))
+            for i in np.unique(every[here]):
+                yield (tree, nodes[i]), (np.c_[sums[i], n_rows[i]], int(least[i]), int(most[i]))
 
     def judged(item):
         key, (sums, least, most) = item
-        total, open_ = cells_to_search(sums, large[key], starts, growth)
-        return key, (total, [] if growth.gamma is None and least == most else open_)
+        n, total = int(sums[: starts[1], 4].sum()), sums[: starts[1], :3].sum(0).tolist()
+        if n <= growth.local_rows or not total[0] or (growth.gamma is None and least == most):
+            return key, (n, total, [], [])
+        known, open_ = [], []
+        for f, cell, following, *before in cells_to_search(sums[:, :4], large[key], starts, growth, lone)[1]:
+            own = sums[starts[f] : starts[f + 1]]
+            most_left = own[: following + 1, 4].sum() if following >= 0 else float(n)
+            sides = (float(most_left), float(own[cell:, 4].sum()))
+            v, after = lone[starts[f] + cell], lone[starts[f] + following]
+            if following < 0 or np.isnan(v) or np.isnan(after):
+                open_.append((f, cell, following, sides, *before))
+                continue
+            left = np.array(before) + own[cell, :3]
+            known.append((-float(cut_gains(left[None], np.array(total), growth)[0]), f, float(v), float(after), *left.tolist(), *sides))
+        return key, (n, total, [min(known)] if known else [], open_)
 
     add = lambda a, b: (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]))
-    tasks = tasks_for(spark, len(large), 32 * int(starts[-1]))
+    tasks = tasks_for(spark, len(large), 40 * int(starts[-1]))
     seen = dict(data.mapPartitions(coarse).reduceByKey(add, tasks).map(judged).collect())
-    searched = [(key, *c) for key, (_, open_) in seen.items() for c in open_]
-    out = {key: (total, None) for key, (total, _) in seen.items()}
+    searched = [(key, *c) for key, (_, _, _, open_) in seen.items() for c in open_]
+    out = {key: (n, total, known[0] if known else None) for key, (n, total, known, _) in seen.items()}
     if not searched:
         return out
     marks = {t: (np.full((len(nodes), int(starts[-1])), -1, np.int32), np.full((len(nodes), int(starts[-1])), -1, np.int32)) for t, nodes in places.items()}
@@ -468,7 +515,7 @@ def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, growth: Gr
             after[places[tree].index(node), starts[f] + following] = number
 
     def fine(part):
-        for tree, _, block, keep, slot, w, s in at_work(part):
+        for tree, _, block, _, keep, slot, w, s in at_work(part):
             own, after = marks[tree]
             sums = np.stack([w, w * (s >> SHIFT), w * (s & (2**SHIFT - 1))], 1).astype(float)
             numbers, values, weights = [], [], []
@@ -490,27 +537,16 @@ def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, growth: Gr
 
     def best(item):
         number, found = item
-        key, f, _, _, *before = searched[number]
+        key, f, _, _, sides, *before = searched[number]
         cut = best_value_cut(f, before, seen_totals[key], found, growth)
-        return [] if cut is None else [(key, cut)]
+        return [] if cut is None else [(key, (*cut, *sides))]
 
-    seen_totals = {key: total for key, (total, open_) in seen.items() if open_}
+    seen_totals = {key: total for key, (_, total, _, open_) in seen.items() if open_}
     cuts_found = data.mapPartitions(fine).groupByKey(tasks_for(spark, len(searched), 2**17)).flatMap(best).reduceByKey(min, tasks)
-    return out | {key: (seen[key][0], cut) for key, cut in cuts_found.collect()}
-
-
-def node_sizes(data, tops: Sequence[Top], wanted: set, cuts) -> dict:
-    """Rows of each wanted (tree, node), whether they train or not."""
-    trees = sorted({tree for tree, _ in wanted})
-
-    def run(part):
-        for r in part:
-            block = Block.of(r, cuts)
-            for tree in trees:
-                n = np.bincount(tops[tree].walk(block.x), minlength=len(tops[tree].child))
-                yield from (((tree, node), int(n[node])) for node in np.flatnonzero(n).tolist() if (tree, node) in wanted)
-
-    return dict(data.mapPartitions(run).reduceByKey(lambda a, b: a + b, 1).collect())
+    for key, cut in cuts_found.collect():
+        n, total, known = out[key]
+        out[key] = (n, total, cut if known is None else min(cut, known))
+    return out
 
 
 def mean_label(sums: Sequence[float]) -> int:
@@ -578,35 +614,45 @@ def gain_rows(spark, gains: Sequence[tuple[int, int, float]]) -> DataFrame:
     return spark.createDataFrame([(-1, t, 0.0, f, g, 1) for t, f, g in gains], OUT)
 
 
-def grow_on_spark(rows: DataFrame, growth: Growth) -> DataFrame:
-    """Trees on a table of any size (row, key, x, s, trains): as OUT.
+def grow_on_spark(rows: DataFrame, growth: Growth, n: int | None = None) -> DataFrame:
+    """Trees on a table of any size (row, key, x, s, trains), of `n` rows: as OUT.
 
-    The driver holds the splits of large nodes, of which there are at most trees * rows / local_rows a level.
+    The driver holds the splits of large nodes, of which there are at most trees * rows / local_rows a level. A level is one pass,
+    and a second one where features have more values than cells.
     """
     spark = rows.sparkSession
+    n = rows.count() if n is None else n
     cuts = cut_points(rows, CELLS, 10 * CELLS)
     blocks = blocks_of(rows, growth, cuts)
-    data = blocks.rdd
+    data = blocks.select("x", "cells", "s", "w").rdd
+    lone = lone_values(data, cell_starts(cuts), cuts)
     tops = [Top.root() for _ in range(growth.trees)]
     whole = label_sums(rows)
-    known = {(t, 0): whole for t in range(growth.trees)}  # of forests not the drawn rows' sums: replaced when they are seen
+    # Sums of labels (of forests not those of the drawn rows: replaced when they are seen) and rows at most.
+    known = {(t, 0): (whole, n) for t in range(growth.trees)}
     small, gains, depth = {}, [], 0
     while known:
         last = growth.max_depth is not None and depth >= growth.max_depth and depth > 0
-        sizes = {} if last else node_sizes(data, tops, set(known), cuts)
-        small |= {key: depth for key, n in sizes.items() if n <= growth.local_rows}
-        known = {key: sums for key, sums in known.items() if key not in small}
-        found = {} if last else split_values(data, spark, tops, {k: mean_label(v) for k, v in known.items()}, cuts, growth)
+        if last:
+            found = {key: (n, sums, None) for key, (sums, _) in known.items()}
+        else:
+            # Most small nodes are known by the rows that they hold at most; the pass that would split the others counts them.
+            small |= {key: depth for key, (_, most) in known.items() if most <= growth.local_rows}
+            known = {key: v for key, v in known.items() if key not in small}
+            found = split_values(data, spark, tops, {k: mean_label(sums) for k, (sums, _) in known.items()}, cuts, lone, growth) if known else {}
         children = {}
-        for (tree, node), sums in known.items():
-            total, best = (sums, None) if last else found.get((tree, node), ([0.0, 0.0, 0.0], None))
+        for (tree, node), (size, total, best) in found.items():
+            if not last and size <= growth.local_rows:
+                small[tree, node] = depth
+                continue
             won = won_by(best, total, growth) if growth.max_depth is None or depth < growth.max_depth else None
             if won is None:
                 tops[tree].close(node, leaf_value(total, growth))
                 continue
             _, f, v, following, *left = best
+            left, (most_left, most_right) = left[:3], left[3:]
             child = tops[tree].split(node, f, (v + following) / 2)
-            children[tree, child], children[tree, child + 1] = left, [a - b for a, b in zip(total, left)]
+            children[tree, child], children[tree, child + 1] = (left, most_left), ([a - b for a, b in zip(total, left)], most_right)
             gains.append((tree, f, won))
         known, depth = children, depth + 1
     closed = [t for t, top in enumerate(tops) if top.closed.any()]
@@ -819,7 +865,7 @@ def grow(rows: DataFrame, growth: Growth, n: int | None = None, cuts: Sequence[S
         rows = binned(rows, cuts)
     if n <= growth.local_rows:
         return grow_in_groups(rows, growth)
-    return boost_tree_by_tree(rows, growth) if growth.rounds else grow_on_spark(rows, growth)
+    return boost_tree_by_tree(rows, growth) if growth.rounds else grow_on_spark(rows, growth, n)
 
 
 def predictions(grown: DataFrame) -> DataFrame:

@@ -159,6 +159,33 @@ def test_few_histograms_take_no_second_stage(spark, made, monkeypatch):
     assert two_stages[1] - two_stages[0] == 3 * 3
 
 
+def test_a_level_on_few_values_is_one_pass(spark):
+    """Nothing but histograms is needed where a cell holds one value."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 32, 1500).astype(float)[:, None], rng.normal(size=1500).round(3)
+    table, growth = tree_table(spark, x, y, np.ones(1500, bool)), Growth(local_rows=3)
+    spark.sparkContext.setJobGroup("few values", "")
+    try:
+        grown = trees.grow_on_spark(table.withColumn("s", F.rint(F.col("y") / growth.unit).cast("long")), growth, 1500)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few values"))
+    means = pd.Series(y).groupby(x[:, 0]).mean()
+    assert {r.row: r.prediction for r in trees.predictions(grown).collect()} == {i: pytest.approx(means[v]) for i, v in enumerate(x[:, 0])}
+    depth = deepest(x[:, 0], np.rint(y / growth.unit), set(x[:, 0]))
+    assert jobs <= depth + 12  # sizes, histograms and values in passes of their own took 3 a level
+
+
+def deepest(x, y, values):
+    """Levels of the tree that tells all values apart."""
+    if len(values) == 1:
+        return 1
+    cuts = sorted(values)[:-1]
+    gains = [y[x <= c].sum() ** 2 / (x <= c).sum() + y[x > c].sum() ** 2 / (x > c).sum() for c in cuts]
+    cut = cuts[int(np.argmax(gains))]
+    return 1 + max(deepest(x[m], y[m], set(x[m])) for m in (x <= cut, x > cut))
+
+
 def test_rows_that_only_train_get_no_prediction(spark, made):
     x, y, trains = made
     table = tree_table(spark, x, y, trains)
