@@ -117,6 +117,39 @@ def test_vectors_against_brute_force(spark):
     assert got[302].kept and neighbours.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_many_chunks(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((30, 20))
+    # Labels over several chunks and chunks of several labels, two sizes of vectors, copies in every batch, repeated keys.
+    made = [(i, (centre[i % 30] + rng.standard_normal(20) * 0.25)[: 20 - 4 * (i % 7 == 0)].tolist(), i % 9 if i % 2 else 77) for i in range(400)]
+    made += [(1000 + i, made[5][1], made[5][2]) for i in range(40)] + [(7, made[9][1], made[9][2])]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>, label int").repartition(4)
+    for cosine in (0.93, 0.99):
+        want = links_of(made, cosine)
+        links = sorted((made[i][0], len(want.get(i, ()))) for i in range(len(made)))
+        out = neighbours.link_vectors(df, cosine, chunk=16).collect()
+        assert sorted((r.vec_id, r.n_links) for r in out) == links
+        component = {r.vec_id: r.component_id for r in out if r.vec_id != 7}
+        assert all(component[made[i][0]] == component[made[j][0]] for i, js in want.items() for j in js if 7 not in (made[i][0], made[j][0]))
+
+
+def shuffled(spark):
+    """Bytes of the files that shuffles have left so far."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_vectors_are_moved_once(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").localCheckpoint()
+    before = shuffled(spark)
+    out = neighbours.link_vectors(df)
+    assert shuffled(spark) - before < 3 * x.size * 4
+    rows = out.collect()
+    assert len(rows) == 4000 and all(r.n_links == 0 for r in rows)
+
+
 def test_jaccard_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(10)]
