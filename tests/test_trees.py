@@ -1,5 +1,7 @@
 """Trees against brute force, and both ways of growing them against each other."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from areastats.operators import features as f
 from areastats.operators import trees
 from areastats.operators.least_squares import least_squares
 from areastats.operators.trees import Growth
+from areastats.sources import tables
 
 
 def brute_tree(x, y, w, growth, depth=0):
@@ -119,6 +122,37 @@ def test_few_cells_are_searched_and_the_best_cut_is_in_one():
     assert total[0] == len(x) and total[1] * 2**trees.SHIFT + total[2] == s.sum()
 
 
+def test_no_wave_takes_more_rows_than_stated(monkeypatch):
+    monkeypatch.setattr(trees, "WAVE", 1000)
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 300)
+    small = {(t, n): (3, 40 + 37 * (t * 7 + n) % 260) for t in range(20) for n in range(9)}
+    found = trees.waves(small)
+    assert sorted(key for tasks in found for task in tasks for key in task) == sorted(small) and len(found) > 10
+    assert max(sum(small[key][1] for task in tasks for key in task) for tasks in found) <= 1000
+    assert max(sum(small[key][1] for key in task) for tasks in found for task in tasks) <= 300
+
+
+def test_a_forest_in_waves_leaves_only_its_sums(spark, made, monkeypatch, tmp_path):
+    monkeypatch.setattr(trees, "WAVE", 150)
+    x, y, trains = made
+    x, y, trains = np.tile(x, (3, 1)), np.tile(y, 3), np.tile(trains, 3)
+    growth = Growth(trees=5, bootstrap=True, local_rows=60)
+    want = np.zeros(len(x))
+    for t in range(5):
+        model = brute_tree(x, np.rint(y / growth.unit), trees.weights_here([f"k{i}" for i in range(len(x))], trains, t, growth), growth)
+        want += [model(row) / 5 for row in x]
+    # Rows in several spans, some that only train.
+    row = F.col("row") * 1000 - F.when(F.col("trains") & (F.col("row") % 5 == 0), 10**7).otherwise(0)
+    table = tree_table(spark, x, y, trains).withColumn("row", row)
+    monkeypatch.setattr(tables, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{uuid.uuid4().hex}"))
+    grown = trees.grow(table, growth)
+    found = {r.row: r.prediction for r in trees.predictions(grown).collect()}
+    assert found == {i * 1000: pytest.approx(v) for i, v in enumerate(want) if not (trains[i] and i % 5 == 0)}
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) == 1 and left[0].startswith("tree-sums")
+    assert grown.where("feature < 0").count() == len(found)  # not a row for each tree
+
+
 def test_label_sums_beyond_a_long(spark):
     """The sum of the prices of a few hundred million lines, in millionths, is one."""
     rows = [(i, "k", [float(i % 2)], 4e12 + i % 2, True) for i in range(6)]
