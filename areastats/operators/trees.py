@@ -118,17 +118,36 @@ def gain_of(n_left, s_left, n_all, s_all, growth: Growth) -> np.ndarray:
     return np.where((n_left >= growth.min_child) & (n_right >= max(growth.min_child, 1)), gain, -np.inf)
 
 
-def best_sorted_cuts(code, w, ws, at: Segments, growth: Growth):
-    """For nodes that can be cut by one feature, the best cut: nodes, gains, code on the left, next code. Rows are in order of (node, code)."""
-    s_run = np.cumsum(ws)
-    s_left = s_run - np.repeat(np.append(0.0, s_run)[at.first], at.count)
-    gain = gain_of(np.cumsum(w) - at.n_before, s_left, at.n_all, at.s_all, growth)
+def best_sorted_cuts(code, both, at: Segments, growth: Growth):
+    """For nodes that can be cut by one feature, the best cut: nodes, gains, code on the left, next code.
+
+    Rows are in order of (node, code); `both` is their weight, and their weighted label as imaginary part: one sum for the two.
+    """
+    run = np.cumsum(both)
+    s_run = run.imag.copy()
+    s_left = s_run - np.repeat(np.append(0.0, s_run).take(at.first), at.count)
+    n_left = run.real - at.n_before
+    n_right, s_right = at.n_all - n_left, at.s_all - s_left
     # A cut lies between two values of a node.
-    gain[:-1][code[1:] == code[:-1]] = -np.inf
-    gain[at.first + at.count - 1] = -np.inf
+    cut = np.empty(len(code), bool)
+    np.not_equal(code[1:], code[:-1], out=cut[:-1])
+    cut[at.first + at.count - 1] = False
+    if growth.min_child > 1:
+        cut &= (n_left >= growth.min_child) & (n_right >= growth.min_child)
+    s_left *= s_left
+    s_right *= s_right
+    if growth.reg_lambda:
+        n_left += growth.reg_lambda
+        n_right += growth.reg_lambda
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s_left /= n_left
+        s_right /= n_right
+    s_left += s_right
+    gain = np.where(cut, s_left, -np.inf)
     most = np.maximum.reduceat(gain, at.first)
-    pick = np.flatnonzero(gain == np.repeat(np.where(most > -np.inf, most, np.nan), at.count))
-    where = at.node[pick]
+    most[most == -np.inf] = np.nan
+    pick = np.flatnonzero(gain == np.repeat(most, at.count))
+    where = at.node.take(pick)
     one = np.append(True, where[1:] != where[:-1])[: len(where)]
     pick, where = pick[one], where[one]
     return where, gain[pick], code[pick], code[pick + 1]
@@ -159,18 +178,20 @@ def grow_here(coded: Codes, w: np.ndarray, s: np.ndarray, growth: Growth, depth:
     if not len(rows):
         return leaf, np.zeros(1), np.zeros(1), (np.zeros(0, np.int64), np.zeros(0))
     # The rows that train by their number among these; the others only walk down.
-    of, weight = codes[:, rows], w[rows].astype(float)
+    of, weight = [c.take(rows) for c in codes], w[rows].astype(float)
     label = s[rows]
     weighted = weight * label
+    both = weight + 1j * weighted
     order: dict[int, np.ndarray] = {}
     own, count, node = np.arange(len(rows)), np.array([len(rows)]), np.zeros(len(here), np.int64)
     sums_n, sums_s, split_by, won, done = [], [], [], [], 0
     while True:
         first = np.cumsum(count) - count
-        n, total = np.add.reduceat(weight[own], first), np.add.reduceat(weighted[own], first)
+        w_own, ws_own = weight.take(own), weighted.take(own)
+        n, total = np.add.reduceat(w_own, first), np.add.reduceat(ws_own, first)
         open_ = np.ones(len(count), bool)
         if growth.gamma is None:
-            y = label[own]
+            y = label.take(own)
             open_ = np.maximum.reduceat(y, first) > np.minimum.reduceat(y, first)
         if growth.max_depth is not None and depth >= growth.max_depth:
             open_[:] = False
@@ -179,19 +200,18 @@ def grow_here(coded: Codes, w: np.ndarray, s: np.ndarray, growth: Growth, depth:
         if open_.any():
             # Only nodes that are searched stay in order.
             searched, stay = np.flatnonzero(open_), np.repeat(open_, count)
-            at, mine = Segments.of(count[open_], n[open_], total[open_]), own[stay]
-            order = {f: o[stay] for f, o in order.items()}
-            w_mine, ws_mine = weight[mine], weighted[mine]
+            at, mine, w_mine, ws_mine = Segments.of(count[open_], n[open_], total[open_]), own[stay], w_own[stay], ws_own[stay]
+            if len(mine) < len(own):
+                order = {f: o[stay] for f, o in order.items()}
             for f, size in enumerate(sizes):
                 if size < 2:
                     continue
                 if f not in order and size * len(searched) <= len(mine):
-                    found = best_counted_cuts(of[f, mine], size, w_mine, ws_mine, at, growth)
+                    found = best_counted_cuts(of[f].take(mine), size, w_mine, ws_mine, at, growth)
                 else:
                     if f not in order:
-                        order[f] = mine[np.argsort(at.node * size + of[f, mine], kind="stable")]
-                    o = order[f]
-                    found = best_sorted_cuts(of[f, o], weight[o], weighted[o], at, growth)
+                        order[f] = mine.take(np.argsort(at.node * size + of[f].take(mine), kind="stable"))
+                    found = best_sorted_cuts(of[f].take(order[f]), both.take(order[f]), at, growth)
                 where, gain, low, high = found
                 where = searched[where]
                 better = gain > best[where]
@@ -220,9 +240,9 @@ def grow_here(coded: Codes, w: np.ndarray, s: np.ndarray, growth: Growth, depth:
         child = 2 * (np.cumsum(split) - 1)
         here, node = here[~closed], node[~closed]
         node = child[node] + (codes[feature[node], here] > cut[node])
-        at_node, own = np.repeat(np.flatnonzero(split), count[split]), own[stay]
-        to_right = np.zeros(len(rows), bool)
-        to_right[own] = of[feature[at_node], own] > cut[at_node]
+        own, to_right = own[stay], np.zeros(len(rows), bool)
+        at_node = np.repeat(np.flatnonzero(split), count[split])
+        to_right[own] = codes[feature.take(at_node), rows.take(own)] > cut.take(at_node)
         starts = np.cumsum(count[split]) - count[split]
         n_right = np.add.reduceat(to_right[own].astype(np.int64), starts)
         if open_.sum() > split.sum():
@@ -230,10 +250,12 @@ def grow_here(coded: Codes, w: np.ndarray, s: np.ndarray, growth: Growth, depth:
             order = {f: o[kept] for f, o in order.items()}
         count = np.stack([count[split] - n_right, n_right], 1).reshape(-1)
         places = np.repeat(np.arange(len(count)) % 2 == 1, count)
+        lefts, rights = np.flatnonzero(~places), np.flatnonzero(places)
 
         def dealt(o: np.ndarray) -> np.ndarray:
-            goes, out = to_right[o], np.empty_like(o)
-            out[~places], out[places] = o[~goes], o[goes]  # noqa: B023
+            goes, out = to_right.take(o), np.empty_like(o)  # noqa: B023
+            out[rights] = o.compress(goes)  # noqa: B023
+            out[lefts] = o.compress(~goes)  # noqa: B023
             return out
 
         own, order = dealt(own), {f: dealt(o) for f, o in order.items()}
@@ -596,26 +618,28 @@ def split_values(data, spark, tops: Sequence[Top], large: dict, cuts, lone: np.n
     if not searched:
         return out
     marks = {t: (np.full((len(nodes), int(starts[-1])), -1, np.int32), np.full((len(nodes), int(starts[-1])), -1, np.int32)) for t, nodes in places.items()}
-    # By tree and feature the nodes with cells to look into.
-    opened: dict[int, dict[int, np.ndarray]] = {}
+    opened: dict[int, set[int]] = {}
     for number, ((tree, node), f, cell, following, *_) in enumerate(searched):
         own, after = marks[tree]
-        opened.setdefault(tree, {}).setdefault(f, np.zeros(len(places[tree]), bool))[places[tree].index(node)] = True
+        opened.setdefault(tree, set()).add(f)
         own[places[tree].index(node), starts[f] + cell] = number
         if following >= 0:
             after[places[tree].index(node), starts[f] + following] = number
 
+    either = {tree: ((own >= 0) | (after >= 0)).reshape(-1) for tree, (own, after) in marks.items()}
+
     def fine(part):
         for tree, _, block, _, keep, slot, w, s in at_work(part):
             own, after = marks[tree]
             numbers, values, weights = [], [], []
-            every_slot, every_row, every_weight, every_label = slot, keep, w, s
-            for f, wanted in opened.get(tree, {}).items():
-                some = wanted[every_slot]
-                slot, row, w, s = (v[some] for v in (every_slot, every_row, every_weight, every_label))
-                sums = np.stack([w, w * (s >> SHIFT), w * (s & (2**SHIFT - 1))], 1).astype(float)
-                at, v = starts[f] + block.cells[row, f], block.x[row, f]
-                number, following = own[slot, at], after[slot, at]
+            cells, begin = np.ascontiguousarray(block.cells[keep].T), slot * int(starts[-1])
+            for f in opened.get(tree, ()):
+                at = begin + (starts[f] + cells[f])
+                some = np.flatnonzero(either[tree].take(at))
+                at, v = at[some], block.x[keep[some], f]
+                number, following = own.reshape(-1)[at], after.reshape(-1)[at]
+                weighs, labels = w[some], s[some]
+                sums = np.stack([weighs, weighs * (labels >> SHIFT), weighs * (labels & (2**SHIFT - 1))], 1).astype(float)
                 m, first = number >= 0, np.flatnonzero(following >= 0)
                 first = first[np.lexsort((v[first], following[first]))]
                 first = first[np.unique(following[first], return_index=True)[1]]

@@ -122,6 +122,19 @@ def test_few_cells_are_searched_and_the_best_cut_is_in_one():
     assert total[0] == len(x) and total[1] * 2**trees.SHIFT + total[2] == s.sum()
 
 
+@pytest.mark.parametrize("growth", [Growth(), Growth(min_child=5.0), Growth(max_depth=6, reg_lambda=2.0, gamma=3.0)])
+def test_a_feature_is_sorted_once(made, growth, monkeypatch):
+    x, y, trains = made
+    rng = np.random.default_rng(4)
+    x, s = np.c_[x, rng.normal(size=len(x)), rng.normal(size=len(x)).round(2)], np.rint(y / growth.unit)
+    w, sorts, argsort = rng.poisson(1, len(x)) * trains, [], np.argsort
+    coded, model = trees.Codes.of(x), brute_tree(x, s, w, growth)
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or argsort(*a, **b))
+    leaf, n, sums, _ = trees.grow_here(coded, w, s, growth)
+    assert len(sorts) <= x.shape[1]
+    assert list((sums * growth.unit / (n + growth.reg_lambda))[leaf]) == [pytest.approx(model(row)) for row in x]
+
+
 def test_no_wave_takes_more_rows_than_stated(monkeypatch):
     monkeypatch.setattr(trees, "WAVE", 1000)
     monkeypatch.setattr(trees, "LOCAL_ROWS", 300)
